@@ -47,24 +47,34 @@ def snapshot_delta(observations: DataFrame, sold_at: str = "first_insert") -> Da
     )
 
 
-def upsert_snapshots(old: DataFrame, delta: DataFrame, sold_at: str = "first_insert") -> DataFrame:
-    """Merge of stored and new snapshots; first_seen_at and a stored sold_at are kept."""
-    rows = old.withColumn("gen", F.lit(0)).unionByName(delta.withColumn("gen", F.lit(1)))
-    newest = [c for c in old.columns if c not in (*LISTING, "first_seen_at", "sold_at", "price_changed")]
-    kept = F.min_by("sold_at", F.col("gen")) if sold_at == "first_insert" else F.min("sold_at")
+def merge_snapshots(rows: DataFrame, gen: str, sold_at: str = "first_insert") -> DataFrame:
+    """Several generations of snapshots merged, ``gen`` telling older from newer.
+
+    first_seen_at is that of the oldest generation; so is sold_at, unless it follows transitions.
+    """
+    plain = [c for c in rows.columns if c != gen]
+    newest = [c for c in plain if c not in (*LISTING, "first_seen_at", "sold_at", "price_changed")]
+    # wrapped in a struct, so a NULL of the oldest generation counts as its value
+    kept = F.min_by(F.struct("sold_at"), F.col(gen))["sold_at"] if sold_at == "first_insert" else F.min("sold_at")
     return (
         rows.groupBy(*LISTING)
         .agg(
-            F.max_by(F.struct(*newest), F.col("gen")).alias("n"),
-            F.min_by("first_seen_at", F.col("gen")).alias("first_seen_at"),
+            F.max_by(F.struct(*newest), F.col(gen)).alias("n"),
+            F.min_by("first_seen_at", F.col(gen)).alias("first_seen_at"),
             kept.alias("sold_at"),
             (F.bool_or("price_changed") | (F.min("price") != F.max("price"))).alias("price_changed"),
         )
         .select(*LISTING, "n.*", "first_seen_at", "sold_at", "price_changed")
-        .select(*old.columns)
+        .select(*plain)
     )
 
 
+def upsert_snapshots(old: DataFrame, delta: DataFrame, sold_at: str = "first_insert") -> DataFrame:
+    """Merge of stored and new snapshots; first_seen_at and a stored sold_at are kept."""
+    rows = old.withColumn("gen", F.lit(0)).unionByName(delta.withColumn("gen", F.lit(1)))
+    return merge_snapshots(rows, "gen", sold_at).select(*old.columns)
+
+
 def mark_sold(snapshots: DataFrame, sold: DataFrame, at) -> DataFrame:
     """Set status and time of the listings named in ``sold`` (ip_id, source_id)."""
     hit = sold.select(*LISTING).distinct().withColumn("__hit", F.lit(True))

@@ -1,23 +1,16 @@
-"""Explicit schemas of the stored tables and of the messages; nothing is ever inferred."""
+"""Explicit schemas (DDL) of the stored tables and of the messages; nothing is ever inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
 PRICE_ITEM = "struct<source_id: string, title: string, price: int, image_url: string, item_url: string>"
 
-ENTITIES = _schema(
+ENTITIES = (
     "id bigint, name string, name_en string, name_cn string, category string, tags array<string>, "
     "image_url string, external_id string, notes string, weight decimal(5,2), status string, "
     "last_crawled_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz, deleted_at timestamp_ntz"
 )
 
-HOURS = _schema(
+HOURS = (
     "ip_id bigint, hour_bucket timestamp_ntz, inflow bigint, outflow bigint, liquidity_index decimal(8,4), "
     "active_count int, avg_price decimal(10,2), median_price decimal(10,2), min_price decimal(10,2), "
     f"max_price decimal(10,2), min_item {PRICE_ITEM}, max_item {PRICE_ITEM}, price_stddev decimal(10,2), "
@@ -25,8 +18,8 @@ HOURS = _schema(
 )
 
 
-def _rolled(bucket: str, records: str) -> T.StructType:
-    return _schema(
+def _rolled(bucket: str, records: str) -> str:
+    return (
         f"ip_id bigint, {bucket} date, total_inflow bigint, total_outflow bigint, avg_liquidity decimal(8,4), "
         "max_sold_price decimal(10,2), min_sold_price decimal(10,2), median_sold_price decimal(10,2), "
         f"avg_sold_price decimal(10,2), min_price_item {PRICE_ITEM}, max_price_item {PRICE_ITEM}, "
@@ -38,19 +31,19 @@ DAYS = _rolled("date_bucket", "hourly_records")
 WEEKS = _rolled("week_start", "daily_records")
 MONTHS = _rolled("month_start", "weekly_records")
 
-SNAPSHOTS = _schema(
+SNAPSHOTS = (
     "ip_id bigint, source_id string, title string, price int, status string, image_url string, item_url string, "
     "first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, sold_at timestamp_ntz, price_changed boolean, "
     "created_at timestamp_ntz, updated_at timestamp_ntz"
 )
 
-ALERTS = _schema(
+ALERTS = (
     "ip_id bigint, alert_type string, severity string, message string, metric_value decimal(10,4), "
     "threshold_value decimal(10,4), hour_bucket timestamp_ntz, acknowledged boolean, "
     "acknowledged_at timestamp_ntz, created_at timestamp_ntz"
 )
 
-SCHEDULE = _schema("ip_id bigint, next_at timestamp_ntz")
+SCHEDULE = "ip_id bigint, next_at timestamp_ntz"
 
 TABLES = {
     "ip_metadata": ENTITIES,
@@ -64,17 +57,19 @@ TABLES = {
 }
 
 # Messages: 64-bit numbers come as strings, fields with a zero value may be missing.
-CRAWL_RESULT = _schema(
+MESSAGE_ITEMS = (
+    "array<struct<sourceId: string, title: string, price: int, imageUrl: string, itemUrl: string, status: string>>"
+)
+CRAWL_RESULT = (
     "ipId string, taskId string, crawledAt string, errorMessage string, totalFound int, pagesCrawled int, "
-    "retryCount int, items array<struct<sourceId: string, title: string, price: int, imageUrl: string, "
-    "itemUrl: string, status: string>>"
+    f"retryCount int, items {MESSAGE_ITEMS}"
 )
-TASK = _schema(
+TASK = (
     "ipId string, keyword string, taskId string, createdAt string, retryCount int, pagesOnSale int, pagesSold int, "
     "event string, at string"
 )
-SEED_FILE = _schema(
+SEED_FILE = (
     "ips array<struct<name: string, name_en: string, name_cn: string, category: string, tags: array<string>, "
     "image_url: string, external_id: string, weight: double, notes: string>>"
 )
-PAGES = _schema("page_id bigint, url string, html string")
+PAGES = "page_id bigint, url string, html string"

@@ -38,7 +38,7 @@ def _results(raw: DataFrame, zone: str) -> DataFrame:
         F.coalesce("errorMessage", F.lit("")).alias("error_message"),
         F.coalesce("pagesCrawled", F.lit(0)).alias("pages_crawled"),
         F.coalesce("retryCount", F.lit(0)).alias("retry_count"),
-        F.coalesce("items", F.array().cast(schemas.CRAWL_RESULT["items"].dataType)).alias("items"),
+        F.coalesce("items", F.array().cast(schemas.MESSAGE_ITEMS)).alias("items"),
     )
 
 

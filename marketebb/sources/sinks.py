@@ -15,8 +15,9 @@ from pyspark.sql.types import StructType
 from marketebb.session import stage
 
 
-def conform(df: DataFrame, schema: StructType) -> DataFrame:
+def conform(df: DataFrame, ddl: str) -> DataFrame:
     """Columns of the stored schema in order, cast to its types; missing ones are NULL."""
+    schema = StructType.fromDDL(ddl)
     return df.select(
         *[
             (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
