@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,87 +23,82 @@ ALT_SUFFIX = "のサムネイル"
 CELL_SCHEMA = "href string, name string, alt string, src string, sticker string, prices array<string>"
 
 
-class _Cells(HTMLParser):
-    """Collects the raw pieces of each item cell of one page."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.cells: list[dict] = []
-        self.open: list[tuple[str, str | None, list | None]] = []
-        self.cell: dict | None = None
-        self.depth = 0
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        test_id, classes = a.get("data-testid", ""), a.get("class", "")
-        if self.cell is None and test_id == CELL:
-            self.cell = {"href": None, "name": None, "alt": None, "src": None, "sticker": None, "boxes": []}
-            self.depth = len(self.open)
+_TOKEN = re.compile(
+    r"""<!--.*?-->|<(script|style)\b.*?</\1\s*>|<(/?)([a-zA-Z][\w-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([^<]+)""", re.S | re.I
+)
+_ATTRIBUTE = re.compile(r"""([\w-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    return {name.lower(): html.unescape(a or b or c) for name, a, b, c in _ATTRIBUTE.findall(raw)}
+
+
+def _price_rank(tag: str, test_id: str, classes: str) -> int | None:
+    """Order in which price texts are tried; a number node inside a price node goes first."""
+    if tag == "span" and classes.startswith("number"):
+        return 0
+    if "merPrice" in classes.split():
+        return 1
+    if tag == "span" and classes.startswith("merPrice"):
+        return 2
+    return 3 if test_id == "price" else None
+
+
+def _cells_of(page: str) -> Iterator[dict]:
+    """Raw pieces of each item cell of a page: first link, image, sticker, name, and price texts."""
+    cell, boxes = None, []
+    stack: list[tuple[str, list | None]] = []  # open tags inside the cell, with where their text goes
+    for token in _TOKEN.finditer(page):
+        closing, tag, raw, data = token.group(2, 3, 4, 5)
+        if data is not None:
+            for _, sink in stack:
+                if sink is not None:
+                    sink.append(data)
+            continue
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if closing:
+            if cell is not None and any(t == tag for t, _ in stack):
+                while stack.pop()[0] != tag:
+                    pass
+                if not stack:
+                    yield _finished(cell, boxes)
+                    cell = None
+            continue
+        if cell is None and CELL not in raw:
+            continue
+        at = _attributes(raw)
+        test_id, classes = at.get("data-testid", ""), at.get("class", "")
+        if cell is None:
+            if test_id != CELL:
+                continue
+            cell, boxes, stack = dict.fromkeys(("href", "name", "alt", "src", "sticker")), [], []
         sink = None
-        if self.cell is not None:
-            if tag == "a" and self.cell["href"] is None:
-                self.cell["href"] = a.get("href", "")
-            if tag == "img" and self.cell["alt"] is None and self.cell["src"] is None:
-                self.cell["alt"], self.cell["src"] = a.get("alt"), a.get("src")
-            if test_id == STICKER and self.cell["sticker"] is None:
-                self.cell["sticker"] = a.get("aria-label", "")
-            if test_id == NAME and self.cell["name"] is None:
-                sink = self.cell["name"] = []
-            rank = self._price_rank(tag, test_id, classes)
-            if rank is not None:
-                sink = []
-                self.cell["boxes"].append((rank, sink))
-        if tag not in VOID:
-            self.open.append((tag, test_id, sink))
-
-    @staticmethod
-    def _price_rank(tag, test_id, classes):
-        """Order in which price texts are tried; a number node inside a price node goes first."""
-        if "merPrice" in classes.split():
-            return 1
-        if tag == "span" and classes.startswith("merPrice"):
-            return 2
-        if test_id == "price":
-            return 3
-        if tag == "span" and classes.startswith("number"):
-            return 0
-        return None
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
-        else:
-            return
-        if self.cell is not None and len(self.open) <= self.depth:
-            self._finish()
-
-    def handle_data(self, data):
-        for _, _, sink in self.open:
-            if sink is not None:
-                sink.append(data)
-
-    def close(self):
-        super().close()
-        if self.cell is not None:
-            self._finish()
-
-    def _finish(self):
-        cell, self.cell = self.cell, None
-        boxes = cell.pop("boxes")
-        if not any(rank > 0 for rank, _ in boxes):
-            boxes = []
-        cell["prices"] = ["".join(t) for _, t in sorted(boxes, key=lambda b: b[0])]
-        cell["name"] = None if cell["name"] is None else "".join(cell["name"]).strip()
-        self.cells.append(cell)
-
-
-def _parse(html: str) -> list[dict]:
-    parser = _Cells()
-    parser.feed(html)
-    parser.close()
-    return parser.cells
+        if tag == "a" and cell["href"] is None:
+            cell["href"] = at.get("href", "")
+        elif tag == "img" and cell["alt"] is None and cell["src"] is None:
+            cell["alt"], cell["src"] = at.get("alt"), at.get("src")
+        if test_id == STICKER and cell["sticker"] is None:
+            cell["sticker"] = at.get("aria-label", "")
+        elif test_id == NAME and cell["name"] is None:
+            sink = cell["name"] = []
+        rank = _price_rank(tag, test_id, classes)
+        if rank is not None:
+            sink = []
+            boxes.append((rank, sink))
+        if tag not in VOID and not raw.endswith("/"):
+            stack.append((tag, sink))
+    if cell is not None:
+        yield _finished(cell, boxes)
+
+
+def _finished(cell: dict, boxes: list) -> dict:
+    """Texts joined; number nodes count only inside a price node."""
+    tried = sorted(boxes, key=lambda b: b[0]) if any(rank > 0 for rank, _ in boxes) else []
+    cell["prices"] = [html.unescape("".join(parts)) for _, parts in tried]
+    cell["name"] = None if cell["name"] is None else html.unescape("".join(cell["name"])).strip()
+    return cell
 
 
 def cells(pages: DataFrame) -> DataFrame:
@@ -113,8 +109,8 @@ def cells(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows = [
                 (page_id, pos, c["href"], c["name"], c["alt"], c["src"], c["sticker"], c["prices"])
-                for page_id, html in zip(batch["page_id"], batch["html"], strict=True)
-                for pos, c in enumerate(_parse(html or ""))
+                for page_id, page in zip(batch["page_id"], batch["html"], strict=True)
+                for pos, c in enumerate(_cells_of(page or ""))
             ]
             yield pd.DataFrame(rows, columns=columns)
 

@@ -573,6 +573,22 @@ def pages_to_items(spark, sf):
     return listing_pages.items(driver.table(spark, sf, "pages"))
 
 
+@query(
+    """SELECT o_orderkey AS page_id, CAST(0 AS INTEGER) AS pos,
+              CASE WHEN o_orderkey % 5 = 2 THEN 'shops_' ELSE 'm' END || o_orderkey AS source_id,
+              'Part & ' || o_custkey AS title, CAST(round(o_totalprice) AS INTEGER) AS price,
+              CASE WHEN o_orderkey % 5 = 2 THEN '/t.webp'
+                   ELSE 'https://static.mercdn.net/thumb/item/webp/m' || o_orderkey || '_1.jpg' END AS image_url,
+              'https://jp.mercari.com' || CASE WHEN o_orderkey % 5 = 2 THEN '/shops/product/' ELSE '/item/m' END
+                   || o_orderkey AS item_url,
+              CASE WHEN o_orderstatus = 'F' THEN 'sold' ELSE 'on_sale' END AS status
+       FROM orders WHERE o_orderkey % 5 <> 4"""
+)
+def listing_page_items(spark, sf):
+    """Items of result pages that Spark writes from the orders."""
+    return listing_pages.items(driver.listing_pages(spark, sf))
+
+
 @query(
     """SELECT page_id, CASE WHEN contains(url, '/item/') THEN CASE WHEN starts_with(url_tail, 'm') THEN url_tail ELSE '' END
                             WHEN contains(url, '/shops/product/') THEN 'shops_' || url_tail ELSE '' END AS listing,

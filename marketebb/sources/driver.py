@@ -84,6 +84,45 @@ def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result page per order, written as listing markup.
+
+    By order key modulo five: shop listings (2), prices without a currency sign (3), place holders
+    without a price (4). Each page repeats its cell with another price, as overlapping scrolls do.
+    """
+    kind = F.col("o_orderkey") % 5
+    key = F.col("o_orderkey").cast("string")
+    yen = F.round("o_totalprice").cast("int")
+    href = F.when(kind == 2, F.concat(F.lit("/shops/product/"), key)).otherwise(F.concat(F.lit("/item/m"), key))
+    sticker = F.when(
+        F.col("o_orderstatus") == "F", '<div data-testid="thumbnail-sticker" aria-label="売り切れ"></div>'
+    ).otherwise("")
+
+    def cell(amount: Column) -> Column:
+        digits = F.format_number(amount, 0)
+        plain = F.concat(F.lit('<span class="merPrice">'), digits, F.lit("</span>"))
+        signed = F.concat(
+            F.lit('<span class="merPrice"><span class="currency">¥</span><span class="number__x">'),
+            digits,
+            F.lit("</span></span>"),
+        )
+        return F.concat(
+            F.lit('<li data-testid="item-cell"><a href="'),
+            href,
+            F.lit('"><img alt="Part &amp; '),
+            F.col("o_custkey").cast("string"),
+            F.lit('のサムネイル" src="/t.webp">'),
+            sticker,
+            F.when(kind == 4, "").when(kind == 3, plain).otherwise(signed),
+            F.lit("</a></li>"),
+        )
+
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("page_id"),
+        F.concat(F.lit("<html><body><ul>"), cell(yen), cell(yen + 1), F.lit("</ul></body></html>")).alias("html"),
+    )
+
+
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity dimension from ``customer``."""
     key = F.col("c_custkey")
