@@ -129,11 +129,11 @@ def status(schedule: DataFrame, entities: DataFrame, now: datetime) -> DataFrame
 def stats(schedule: DataFrame, now: datetime) -> DataFrame:
     """Total, overdue, and seconds to the next time (0 when none lies ahead, at most 24 h)."""
     wait = (times.micros(F.col("next_at")) - times.micros(times.ntz(now))) / times.US_PER_SECOND
-    ahead = F.min(F.when(wait >= 0, wait))
+    ahead = F.min(F.when(wait >= 0, F.least(wait, F.lit(86_400.0))))
     return schedule.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(wait < 0).alias("overdue"),
-        F.coalesce(F.least(ahead, F.lit(86_400.0)), F.lit(0.0)).alias("next_in_s"),
+        F.coalesce(ahead, F.lit(0.0)).alias("next_in_s"),
     )
 
 

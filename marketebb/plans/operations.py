@@ -139,8 +139,8 @@ def schedule_refresh(spark, sf):
 @query(
     o.select(
         """SELECT count(*) AS total, count(*) FILTER (WHERE next_at < TIMESTAMP '2024-01-30 12:10:05') AS overdue,
-                  coalesce(least(min(CASE WHEN next_at >= TIMESTAMP '2024-01-30 12:10:05'
-                    THEN epoch(next_at - TIMESTAMP '2024-01-30 12:10:05') END), 86400), 0) AS next_in_s FROM sched""",
+                  coalesce(min(CASE WHEN next_at >= TIMESTAMP '2024-01-30 12:10:05'
+                    THEN least(epoch(next_at - TIMESTAMP '2024-01-30 12:10:05'), 86400) END), 0) AS next_in_s FROM sched""",
         *CRAWLED,
     )
 )
