@@ -15,6 +15,17 @@ def _names(metadata: DataFrame) -> DataFrame:
     return metadata.select(F.col("id").alias("ip_id"), F.col("name").alias("ip_name"))
 
 
+def lookup(df: DataFrame, **keys) -> DataFrame:
+    """Rows with the given key values, such as one hour row, one snapshot or one entity by name.
+
+    The literals reach the scan, so partitions and row groups without the key are skipped.
+    """
+    for name, wanted in keys.items():
+        literal = times.ntz(wanted) if isinstance(wanted, datetime) else F.lit(wanted)
+        df = df.filter(F.col(name) == literal)
+    return df
+
+
 def hour_report(hours: DataFrame, metadata: DataFrame, now: datetime, limit: int = 20) -> DataFrame:
     """Newest hour rows of the last 24 hours with entity names."""
     recent = hours.filter(F.col("hour_bucket") >= times.ntz(now - timedelta(hours=24)))

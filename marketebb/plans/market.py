@@ -216,6 +216,15 @@ def hourly_price_stats(spark, sf):
     return _hour_prices(hourly.hourly(*busy(spark, sf), "exact"))
 
 
+@query(o.select(_HOUR_SQL + _LAST + " FROM hours_last", *BUSY, o.HOURS_LAST))
+def hour_upsert(spark, sf):
+    """Hour rows stored after the first twenty minutes, then the rest of each hour merged in."""
+    crawls = stage(hourly.crawl_stats(*busy(spark, sf)), "crawls")
+    early = F.minute("crawl_ts") < 20
+    old = hourly.hours_from_crawls(crawls.filter(early))
+    return _hour_prices(hourly.merge_hours(old, hourly.hours_from_crawls(crawls.filter(~early))))
+
+
 @query(
     o.select(
         f"""SELECT m.id AS ip_id, arg_max(hour_bucket, hour_bucket) AS hour_bucket,
@@ -275,6 +284,19 @@ def item_snapshots_upsert(spark, sf):
     return snapshots.upsert_snapshots(first, second).drop("updated_at")
 
 
+@query(
+    o.select(
+        """SELECT ip_id, source_id, min(crawl_ts) FILTER (WHERE status = 'sold') AS sold_at FROM obs
+           WHERE length(source_id) > 0 GROUP BY ip_id, source_id""",
+        o.OBS,
+    )
+)
+def snapshots_sold_by_transition(spark, sf):
+    """The other reading of sold_at: the first time a listing is seen sold."""
+    delta = snapshots.snapshot_delta(driver.observations(spark, sf), "transition")
+    return delta.select("ip_id", "source_id", "sold_at")
+
+
 ROLL_SQL = """total_inflow, total_outflow, round(avg_liquidity, 6) AS avg_liquidity, max_sold_price, min_sold_price,
   round(median_sold_price, 6) AS median_sold_price, round(avg_sold_price, 6) AS avg_sold_price, sample_count,
   min_source, max_source"""
@@ -346,6 +368,26 @@ def retention_snapshots(spark, sf):
     return kept.select("ip_id", "source_id", "price", "status")
 
 
+@query(
+    o.select(
+        """SELECT 'day' AS level, ip_id, date_bucket AS bucket, total_inflow, total_outflow FROM days
+           WHERE date_bucket >= DATE '1998-03-03'
+           UNION ALL
+           SELECT 'week', ip_id, week_start, total_inflow, total_outflow FROM weeks WHERE week_start >= DATE '1997-05-26'""",
+        *SHIP,
+        o.WEEKS,
+    )
+)
+def retention_days_weeks(spark, sf):
+    """Day and week rows that are kept on 1 June 1998."""
+    now = datetime(1998, 6, 1, 10)
+    rows = stage(ship_days(spark, sf), "days")
+    columns = ("ip_id", "bucket", "total_inflow", "total_outflow")
+    kept_days = retention.keep_days(rows, now).withColumnRenamed("date_bucket", "bucket").select(F.lit("day").alias("level"), *columns)
+    weeks = retention.keep_weeks(rollup.weekly(rows), now).withColumnRenamed("week_start", "bucket")
+    return kept_days.unionByName(weeks.select(F.lit("week").alias("level"), *columns))
+
+
 # --- boards -------------------------------------------------------------------------------------
 
 
@@ -490,3 +532,26 @@ def alert_acknowledge(spark, sf):
     keys = alert_rules.alert_list(rows, severity="critical").select("ip_id", "alert_type", "created_at")
     done = alert_rules.acknowledge(rows, keys, NOW)
     return done.select("ip_id", "alert_type", "created_at", "acknowledged", "acknowledged_at", "outcome")
+
+
+@query(
+    o.select(
+        """SELECT a.ip_id, alert_type, severity, crawl_ts AS created_at, coalesce(m.name, '') AS ip_name,
+                  (SELECT count(*) FROM alerts WHERE severity <> 'info') AS total
+           FROM (SELECT * FROM alerts WHERE severity <> 'info' ORDER BY crawl_ts DESC, ip_id, alert_type LIMIT 50 OFFSET 50) a
+           LEFT JOIN meta m ON m.id = a.ip_id""",
+        *ALERT_PARTS,
+        ALERTS,
+        o.META,
+    )
+)
+def alert_page(spark, sf):
+    """Second page of the open alerts above info level, newest first, with names."""
+    rows = stage(alert_rule_page(spark, sf), "alerts")
+    order = [F.desc("created_at"), F.col("ip_id"), F.col("alert_type")]
+    named = alert_rules.with_entity_name(boards.page(rows, order, 2, 50), driver.metadata(spark, sf))
+    return named.select("ip_id", "alert_type", "severity", "created_at", "ip_name", "total")
+
+
+def alert_rule_page(spark: SparkSession, sf: str) -> DataFrame:
+    return alert_rules.alert_list(alert_rows(spark, sf)).filter("severity <> 'info'")

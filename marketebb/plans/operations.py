@@ -11,8 +11,10 @@ from marketebb.functions import text, times
 from marketebb.operators import boards, entities, listing_pages, reports, schedule, snapshots, tasks, weights
 from marketebb.plans import market
 from marketebb.plans import oracle as o
-from marketebb.plans.registry import query, rounded
-from marketebb.sources import driver
+from marketebb.plans.registry import ORACLES, query, rounded
+from marketebb.session import scratch_dir
+from marketebb.sources import driver, readers
+from marketebb.streaming import task_state
 
 NOON = datetime(2024, 1, 30, 12)
 TS_NOON = "TIMESTAMP '2024-01-30 12:00:00'"
@@ -382,6 +384,12 @@ def entity_update_delete(spark, sf):
     return entities.soft_delete(entities.partial_update(meta, changes), gone).select("id", "category", "weight", "status")
 
 
+@query(o.select("SELECT id, name, category, status FROM meta WHERE name = 'Customer#000000007'", o.META))
+def entity_by_name(spark, sf):
+    found = reports.lookup(driver.metadata(spark, sf), name="Customer#000000007")
+    return found.select("id", "name", "category", "status")
+
+
 # --- reports ------------------------------------------------------------------------------------
 
 
@@ -520,6 +528,98 @@ def entity_detail(spark, sf):
     return rounded(rows.withColumn("items", F.coalesce(F.array_join(item_text, ","), F.lit(""))), "liquidity_index")
 
 
+# --- messages and functions ----------------------------------------------------------------------
+
+
+@query(
+    o.select(
+        """SELECT user_id AS ip_id, CAST(event_id AS VARCHAR) AS task_id,
+                  date_trunc('second', ts) + INTERVAL 9 HOUR AS crawl_ts, CAST(0 AS BIGINT) AS pos,
+                  'm' || CAST(k AS VARCHAR) AS source_id, CASE WHEN event_type = 'purchase' THEN 'sold' ELSE 'available' END AS status,
+                  CASE WHEN event_type = 'view' THEN 0 ELSE CAST(round(value * 100) AS INTEGER) END AS price
+           FROM kruns WHERE event_type <> 'error' AND k <> 0""",
+        o.RUNS,
+    )
+)
+def message_observations(spark, sf):
+    """Result messages written from the events, read back and taken apart.
+
+    As in the wire form, long numbers are text and zero fields are missing; errors are failed crawls.
+    """
+    events = driver.table(spark, sf, "events").withColumn("k", driver.props_number())
+    item = F.struct(
+        F.when(F.col("k") != 0, F.concat(F.lit("m"), F.col("k").cast("string"))).alias("sourceId"),
+        F.when(F.col("event_type") != "view", F.round(F.col("value") * 100).cast("int")).alias("price"),
+        F.when(F.col("event_type") == "purchase", "ITEM_STATUS_SOLD").alias("status"),
+    )
+    seconds = F.floor(times.micros(F.col("ts")) / times.US_PER_SECOND).cast("string")
+    message = F.struct(
+        F.col("user_id").cast("string").alias("ipId"),
+        F.col("event_id").cast("string").alias("taskId"),
+        seconds.alias("crawledAt"),
+        F.when(F.col("event_type") == "error", "net::ERR_FAILED").alias("errorMessage"),
+        F.array(item).alias("items"),
+    )
+    results = readers.crawl_results_from_text(events.select(F.to_json(message).alias("value")))
+    return readers.observations(results).drop("title", "image_url", "item_url")
+
+
+@query(
+    """SELECT event_id, date_trunc('hour', ts) AS hour, CAST(date_trunc('week', ts) AS DATE) AS monday,
+              CAST(date_trunc('month', ts) AS DATE) AS month,
+              time_bucket(INTERVAL 15 MINUTE, ts + INTERVAL 15 MINUTE - INTERVAL 1 MICROSECOND) AS slot,
+              strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+09:00' AS rfc3339,
+              CASE event_id % 3 WHEN 0 THEN date_trunc('second', ts) - INTERVAL 9 HOUR
+                WHEN 1 THEN date_trunc('day', ts) END AS parsed,
+              CAST(ts AS DATE) = CAST(ts + INTERVAL 6 HOUR AS DATE) AS same_day
+       FROM events"""
+)
+def time_functions(spark, sf):
+    """Calendar functions over the event times, and text forms of them read back."""
+    ts = F.col("ts")
+    written = (
+        F.when(F.col("event_id") % 3 == 0, times.format_rfc3339(ts))
+        .when(F.col("event_id") % 3 == 1, F.date_format(ts, "yyyy-MM-dd"))
+        .otherwise(F.date_format(ts, "yyyy/MM/dd"))
+    )
+    utc = times.from_epoch(F.unix_seconds(times.parse_time(written)), "UTC")
+    return driver.table(spark, sf, "events").select(
+        "event_id",
+        times.hour_floor(ts).alias("hour"),
+        times.monday_of(ts).alias("monday"),
+        times.month_start(ts).alias("month"),
+        times.align_up(ts, 15).alias("slot"),
+        times.format_rfc3339(ts).alias("rfc3339"),
+        utc.alias("parsed"),
+        times.same_day(ts, times.plus_seconds(ts, F.lit(6 * 3600))).alias("same_day"),
+    )
+
+
+@query(
+    r"""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || ',' || source WHEN 1 THEN NULL ELSE NULL END AS tags,
+               doc_id % 3 = 2 AS bad, CASE WHEN doc_id % 3 = 0 THEN '["' || lang || '","' || source || '"]' ELSE '[]' END AS written,
+               CASE WHEN doc_id % 2 = 0 THEN '{"source_id":"m' || doc_id || '","price":' || n_chars || '}' END AS item
+        FROM documents"""
+)
+def json_columns(spark, sf):
+    """Tags and price items written as JSON and read back; bad JSON is flagged."""
+    docs = driver.table(spark, sf, "documents")
+    stored = (
+        F.when(F.col("doc_id") % 3 == 0, F.to_json(F.array("lang", "source")))
+        .when(F.col("doc_id") % 3 == 2, F.concat(F.lit("{"), F.col("lang")))
+    )
+    source_id = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("m"), F.col("doc_id").cast("string"))).otherwise("")
+    item = F.to_json(F.struct(source_id.alias("source_id"), F.col("n_chars").cast("int").alias("price")))
+    read = docs.select("doc_id", stored.alias("stored"), readers.item_from_json(item).alias("item"))
+    return read.select(
+        "doc_id",
+        F.array_join(readers.tags_from_json(F.col("stored")), ",").alias("tags"),
+        readers.bad_tags(F.col("stored")).alias("bad"),
+        readers.tags_to_json(readers.tags_from_json(F.col("stored"))).alias("written"),
+        readers.item_to_json(F.col("item")).alias("item"),
+    )
+
+
 # --- pages and texts ----------------------------------------------------------------------------
 
 
@@ -735,6 +835,27 @@ def one_open_task(spark, sf):
     return tasks.accepted_pushes(driver.task_events(spark, sf))
 
 
+def _streamed(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
+    """Run a stream over all present data; its output as a table."""
+    out = scratch_dir(spark, label)
+    running = (
+        df.writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", scratch_dir(spark, f"{label}-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return spark.read.schema(df.schema).parquet(out)
+
+
+@query(ORACLES["one_open_task"])
+def stream_push_gate(spark, sf):
+    """The one-open-task rule as a stateful stream."""
+    events = driver.task_events_of(driver.stream_table(spark, sf, "events"))
+    return _streamed(spark, task_state.push_gate(events), "gate")
+
+
 @query(
     o.select(
         """SELECT task_id, arg_min(event, seq) AS event, min(ts) AS ts, min(seq) AS seq, count(*) - 1 AS dropped
@@ -778,6 +899,13 @@ def block_streaks(spark, sf):
     return tasks.block_streaks(driver.run_log(spark, sf), ttl_s=5 * 3600)
 
 
+@query(ORACLES["block_streaks"])
+def stream_block_streaks(spark, sf):
+    """Block streaks as a stateful stream."""
+    log = driver.run_log_of(driver.stream_table(spark, sf, "events"))
+    return _streamed(spark, task_state.block_streak_stream(log, ttl_s=5 * 3600), "streaks")
+
+
 @query(
     o.select(
         """SELECT count(*) FILTER (WHERE outcome = 'success') AS processed,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "marketebb", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings the operators assume (AQE, UTC, RocksDB state)."""
+    """A session with the settings the operators assume (AQE, UTC)."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -19,9 +19,6 @@ def build_session(app: str = "marketebb", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
-        "spark.sql.streaming.stateStore.providerClass": (
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-        ),
         **conf,
     }
     for key, value in settings.items():

@@ -23,14 +23,15 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def _k() -> Column:
+def props_number() -> Column:
+    """The number in the props text."""
     return F.regexp_extract("props", r"(\d+)", 1).cast("int")
 
 
 def observations_of(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("user_id").alias("ip_id"),
-        F.concat(F.lit("m"), (_k() % 20).cast("string")).alias("source_id"),
+        F.concat(F.lit("m"), (props_number() % 20).cast("string")).alias("source_id"),
         F.when(F.col("event_type") == "purchase", "sold").otherwise("available").alias("status"),
         F.round(F.col("value") * 100).cast("int").alias("price"),
         times.hours_floor(F.col("ts"), 6).alias("crawl_ts"),
@@ -45,7 +46,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def busy_observations(spark: SparkSession, sf_dir: str, minutes: int = 20) -> DataFrame:
     """The same events read as eight busy entities with several crawls an hour."""
-    k = _k()
+    k = props_number()
     return table(spark, sf_dir, "events").select(
         (F.col("user_id") % 8).alias("ip_id"),
         F.concat(F.lit("m"), k.cast("string")).alias("source_id"),
@@ -72,7 +73,7 @@ def import_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items per result page of a task, from ``events``."""
-    k = _k()
+    k = props_number()
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("task_id"),
         F.when(F.col("event_id") % 2 == 0, "on_sale").otherwise("sold").alias("status"),
@@ -177,7 +178,7 @@ def task_events_of(events: DataFrame) -> DataFrame:
         .otherwise("dead")
         .alias("event"),
         F.col("ts"),
-        (_k() % 5).alias("retry_count"),
+        (props_number() % 5).alias("retry_count"),
         F.col("event_id").alias("seq"),
     )
 
@@ -188,8 +189,12 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collector log from ``events``: errors split into blocks and other failures."""
-    k = _k()
-    return table(spark, sf_dir, "events").select(
+    return run_log_of(table(spark, sf_dir, "events"))
+
+
+def run_log_of(events: DataFrame) -> DataFrame:
+    k = props_number()
+    return events.select(
         F.col("event_id").alias("task_id"),
         F.concat(F.lit("n"), (F.col("user_id") % 16).cast("string")).alias("node"),
         F.col("ts"),

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marketebb.functions import times
 from marketebb.operators.transitions import HOUR_US, LISTING, TTL_AVAILABLE_HOURS, TTL_SOLD_HOURS
+from marketebb.streaming import with_rocksdb
 
 OUTPUT = (
     "ip_id long, source_id string, t long, status string, price int, pos long, "
@@ -93,7 +94,8 @@ def transition_stream(
     ``late`` marks sightings older than what is already known of the listing; they change nothing.
     """
     keyed = (
-        observations.filter(F.length("source_id") > 0)
+        with_rocksdb(observations)
+        .filter(F.length("source_id") > 0)
         .withColumn("event_time", F.col("crawl_ts").cast("timestamp"))
         .withWatermark("event_time", lateness)
         .select(

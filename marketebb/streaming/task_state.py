@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from marketebb.functions import times
 from marketebb.operators.tasks import BLOCK_STREAK, MAX_RETRIES, STREAK_TTL_S
+from marketebb.streaming import with_rocksdb
 
 
 class _OneRecord(StatefulProcessor):
@@ -34,7 +35,8 @@ class _OneRecord(StatefulProcessor):
 def _timed(df: DataFrame, lateness: str) -> DataFrame:
     stamp = F.col("ts").cast("timestamp")
     return (
-        df.withColumn("event_time", stamp)
+        with_rocksdb(df)
+        .withColumn("event_time", stamp)
         .withWatermark("event_time", lateness)
         .withColumn("t", times.micros(F.col("ts")))
         .withColumn("ms", F.unix_millis("event_time"))
