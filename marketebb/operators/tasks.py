@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketebb.functions import times
@@ -104,34 +104,60 @@ def processed_within(processed: DataFrame, now, hours: int = 24) -> DataFrame:
 def block_streaks(log: DataFrame, threshold: int = BLOCK_STREAK, ttl_s: int = STREAK_TTL_S) -> DataFrame:
     """Blocked runs per node with the count of blocks since the last success.
 
-    A pause longer than ``ttl_s`` between blocks also restarts the count. ``cooldown`` marks the
-    block that reaches the threshold. Counts come from running totals over day slices: the streak
-    is the number of blocks so far minus that number at the last restart.
+    A pause longer than ``ttl_s`` between runs also restarts the count. ``cooldown`` marks the block
+    that reaches the threshold. Inside an hour of a node the count is the number of blocks so far minus
+    that number at the last restart; what an hour inherits comes from one summary row per node and hour.
     """
     ok = F.col("outcome").isin("success", "empty_result")
     blocked = F.col("outcome") == "403_forbidden"
-    rows = (
-        log.filter(ok | blocked)
-        .withColumn("slice", F.col("ts").cast("date"))
-        .withColumn("blocked", blocked)
-        .withColumn("us", times.micros(F.col("ts")))
+    ttl_us = ttl_s * times.US_PER_SECOND
+    us = F.col("us")
+    # Both users of these rows need exactly these columns, so one shuffle serves both.
+    rows = log.filter(ok | blocked).select(
+        "node",
+        "task_id",
+        blocked.cast("long").alias("block"),
+        times.micros(F.col("ts")).alias("us"),
+        times.hour_floor(F.col("ts")).alias("slice"),
     )
-    rows = slices.previous(rows, ["node"], "slice", ["us", "task_id"], {"prev_us": "us"})
-    restart = ~F.col("blocked") | F.col("prev_us").isNull() | (F.col("us") - F.col("prev_us") > ttl_s * times.US_PER_SECOND)
-    rows = rows.withColumn("restart", restart)
-    rows = slices.running(
-        rows,
-        ["node"],
-        "slice",
-        ["us", "task_id"],
-        {"blocks": ("sum", F.col("blocked").cast("long"))},
+    in_order = Window.partitionBy("node", "slice").orderBy("us", "task_id")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    restart = (F.col("block") == 0) | (us - F.col("before") > ttl_us)
+    marked = (
+        rows.withColumn("before", F.lag("us").over(in_order))
+        .withColumn("blocks", F.sum("block").over(so_far))
+        .withColumn("base", F.max(F.when(restart, F.col("blocks") - F.col("block"))).over(so_far))
+    )
+
+    hours = marked.groupBy("node", "slice").agg(
+        F.sum("block").alias("n"), F.max("base").alias("base"), F.min("us").alias("first"), F.max("us").alias("last")
     )
-    base = F.when(F.col("restart"), F.col("blocks") - F.col("blocked").cast("long"))
-    rows = slices.running(rows, ["node"], "slice", ["us", "task_id"], {"base": ("max", base)})
+    over_hours = Window.partitionBy("node").orderBy("slice")
+    past = over_hours.rowsBetween(Window.unboundedPreceding, 0)
+    pause = F.col("last_before").isNull() | (F.col("first") - F.col("last_before") > ttl_us)
+    reset = F.when(F.col("base").isNotNull(), F.col("upto") - F.col("n") + F.col("base")).when(
+        F.col("pause"), F.col("upto") - F.col("n")
+    )
+    inherited = (
+        hours.withColumn("last_before", F.lag("last").over(over_hours))
+        .withColumn("pause", pause)
+        .withColumn("upto", F.sum("n").over(past))
+        .withColumn("open", F.col("upto") - F.max(reset).over(past))
+        .select(
+            "node", "slice", F.when(F.col("pause"), 0).otherwise(F.lag("open").over(over_hours)).alias("inherited")
+        )
+    )
+    streak = F.col("blocks") - F.coalesce("base", -F.col("inherited"))
     return (
-        rows.filter("blocked")
-        .withColumn("streak", F.col("blocks") - F.coalesce("base", F.lit(0)))
-        .select("node", "task_id", "ts", "streak", (F.col("streak") == threshold).alias("cooldown"))
+        marked.join(inherited, ["node", "slice"])
+        .filter(F.col("block") == 1)
+        .select(
+            "node",
+            "task_id",
+            times.from_micros(us).alias("ts"),
+            streak.alias("streak"),
+            (streak == threshold).alias("cooldown"),
+        )
     )
 
 
@@ -249,28 +275,44 @@ def operation_alerts(
         ["minute"],
         {"depth": ("sum", F.col("delta")), "dead_total": ("sum", F.col("dead"))},
     )
+    # a run of minutes above a limit shares the count of minutes at or below it so far
+    runs = slices.running(
+        depth.select("q", "slice", "minute", "depth", "dead_total"),
+        ["q"],
+        "slice",
+        ["minute"],
+        {
+            "depth_run": ("sum", (F.col("depth") <= backlog).cast("long")),
+            "dead_run": ("sum", (F.col("dead_total") <= 0).cast("long")),
+        },
+    )
 
-    def standing(value: str, limit: float, hold: int, rule: str, severity: str) -> DataFrame:
-        """Runs of minutes above the limit that last at least ``hold`` minutes."""
-        marked = depth.select("q", "slice", "minute", F.col(value).cast("double").alias("value")).withColumn(
-            "above", F.col("value") > limit
-        )
-        marked = slices.running(
-            marked, ["q"], "slice", ["minute"], {"run": ("sum", (~F.col("above")).cast("long"))}
+    def rule(name: str, severity: str, value: str, run: str, limit: int, hold: int) -> Column:
+        return F.struct(
+            F.lit(name).alias("rule"),
+            F.lit(severity).alias("severity"),
+            F.col(value).alias("value"),
+            F.col(run).alias("run"),
+            (F.col(value) > limit).alias("above"),
+            F.lit(hold * 60 * times.US_PER_SECOND).alias("hold"),
         )
-        bounds = marked.groupBy("run").agg(
+
+    both = F.array(
+        rule("queue_backlog", "warning", "depth", "depth_run", backlog, 5),
+        rule("dead_letters", "critical", "dead_total", "dead_run", 0, 1),
+    )
+    standing = (
+        runs.select("minute", F.explode(both).alias("r"))
+        .select("minute", "r.*")
+        .groupBy("rule", "severity", "run", "hold")
+        .agg(
             F.min(F.when(F.col("above"), F.col("minute"))).alias("since"),
-            F.max("minute").alias("last"),
-            F.max("value").alias("value"),
-        )
-        held = times.micros(F.col("last")) - times.micros(F.col("since"))
-        return bounds.filter(F.col("since").isNotNull() & (held >= hold * 60 * times.US_PER_SECOND)).select(
-            F.lit(rule).alias("rule"),
-            F.lit(severity).alias("severity"),
-            "since",
-            F.col("last").alias("until"),
-            "value",
+            F.max("minute").alias("until"),
+            F.max("value").cast("double").alias("value"),
         )
+        .filter(times.micros(F.col("until")) - times.micros(F.col("since")) >= F.col("hold"))
+        .select("rule", "severity", "since", "until", "value")
+    )
 
     end = times.plus_seconds(F.col("window_start"), F.lit(minutes * 60))
     blocks = (
@@ -290,9 +332,6 @@ def operation_alerts(
             "value",
         )
 
-    return (
-        standing("depth", backlog, 5, "queue_backlog", "warning")
-        .unionByName(standing("dead_total", 0, 1, "dead_letters", "critical"))
-        .unionByName(windowed(blocks, "collector_blocked", "critical"))
-        .unionByName(windowed(slow, "high_latency", "warning"))
+    return standing.unionByName(windowed(blocks, "collector_blocked", "critical")).unionByName(
+        windowed(slow, "high_latency", "warning")
     )

@@ -45,7 +45,7 @@ def days(spark: SparkSession, sf: str) -> DataFrame:
 def busy(spark: SparkSession, sf: str, minutes: int = 20) -> tuple[DataFrame, DataFrame]:
     """Flow and sold sample of the busy view."""
     moved = stage(transitions.transitions(driver.busy_observations(spark, sf, minutes)), "transitions")
-    return transitions.crawl_flow(moved), hourly.sold_sample(moved)
+    return stage(transitions.crawl_flow(moved), "flow"), hourly.sold_sample(moved)
 
 
 def _sources(df: DataFrame, low: str = "min_item", high: str = "max_item") -> DataFrame:

@@ -321,8 +321,8 @@ def categories(spark, sf):
 PLAN = """plan AS (
   SELECT m.id, e.name, category_ AS category, CASE WHEN w > 0 THEN w ELSE 1.0 END AS weight, 'active' AS status,
          CASE WHEN m.id IS NULL THEN 'created' ELSE 'updated' END AS outcome,
-         CASE WHEN m.id IS NULL THEN 1 ELSE 0 END AS created,
-         n - CASE WHEN m.id IS NULL THEN 1 ELSE 0 END AS updated, 0 AS skipped
+         CAST(CASE WHEN m.id IS NULL THEN 1 ELSE 0 END AS BIGINT) AS created,
+         n - CASE WHEN m.id IS NULL THEN 1 ELSE 0 END AS updated, CAST(0 AS BIGINT) AS skipped
   FROM (SELECT name, arg_max(category, pos) AS category_, arg_max(weight, pos) AS w, count(*) AS n
         FROM entries WHERE name <> '' GROUP BY name) e LEFT JOIN meta m ON m.name = e.name)"""
 
