@@ -24,8 +24,12 @@ def carry(
     """Join to each row what the other slices of its key contribute.
 
     ``summary`` names the aggregates of one slice; ``carried`` receives the window over the slices
-    of a key in order and returns the columns to attach.
+    of a key in order and returns the columns to attach. Rows with a NULL key belong to no slice.
     """
+    # The join would add this filter to one side only; stated first, both sides stay alike and can
+    # share a shuffle.
+    for name in (*keys, slice_col):
+        df = df.filter(F.col(name).isNotNull())
     per_slice = df.groupBy(*keys, slice_col).agg(*[c.alias(n) for n, c in summary.items()])
     over_slices = Window.partitionBy(*keys).orderBy(slice_col)
     columns = carried(over_slices)

@@ -119,7 +119,7 @@ def block_streaks(log: DataFrame, threshold: int = BLOCK_STREAK, ttl_s: int = ST
         blocked.cast("long").alias("block"),
         times.micros(F.col("ts")).alias("us"),
         times.hour_floor(F.col("ts")).alias("slice"),
-    )
+    ).filter("node IS NOT NULL AND slice IS NOT NULL")
     in_order = Window.partitionBy("node", "slice").orderBy("us", "task_id")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
     restart = (F.col("block") == 0) | (us - F.col("before") > ttl_us)
