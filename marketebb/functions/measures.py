@@ -31,7 +31,7 @@ def minutes_to_weight(minutes: Column, base_minutes: int) -> Column:
     return F.lit(float(base_minutes)) / F.when(minutes > 0, minutes.cast("double")).otherwise(float(base_minutes))
 
 
-def interval_seconds(weight: Column, base: int, low: int, high: int) -> Column:
-    """Observation interval in whole seconds: base/weight inside [low, high] (all in seconds)."""
-    raw = F.lit(float(base)) / usable_weight(weight)
-    return F.greatest(F.least(raw, F.lit(float(high))), F.lit(float(low))).cast("long")
+def interval_us(weight: Column, base_s: int, low_s: int, high_s: int) -> Column:
+    """Observation interval in whole microseconds: base/weight inside [low, high] (given in seconds)."""
+    raw = F.lit(base_s * 1e6) / usable_weight(weight)
+    return F.greatest(F.least(raw, F.lit(high_s * 1e6)), F.lit(low_s * 1e6)).cast("long")

@@ -71,13 +71,22 @@ def micros(ts: Column) -> Column:
 
 def from_micros(us: Column) -> Column:
     """Inverse of :func:`micros`."""
-    return ntz("1970-01-01 00:00:00") + F.expr("INTERVAL '0.000001' SECOND") * us
+    return plus_micros(ntz("1970-01-01 00:00:00"), us)
 
 
 def plus_seconds(ts: Column, seconds: Column) -> Column:
     return ts + F.expr("INTERVAL '1' SECOND") * seconds
 
 
+def plus_micros(ts: Column, us: Column) -> Column:
+    return ts + F.expr("INTERVAL '0.000001' SECOND") * us
+
+
+def seconds_floor(ts: Column) -> Column:
+    us = micros(ts)
+    return from_micros(us - F.pmod(us, F.lit(US_PER_SECOND)))
+
+
 def from_epoch(seconds: Column, zone: str = MARKET_ZONE) -> Column:
     """Unix seconds to the wall clock of ``zone``."""
     utc = plus_seconds(ntz("1970-01-01 00:00:00"), seconds)

@@ -82,7 +82,11 @@ def leaderboard(
     day_rows: DataFrame | None = None,
     week_rows: DataFrame | None = None,
 ) -> DataFrame:
-    """Board over the last complete hours, yesterday's day rows or last week's week rows."""
+    """Board over the last complete hours, yesterday's day rows or last week's week rows.
+
+    An unknown kind counts as "hot".
+    """
+    kind = kind if kind in KINDS else "hot"
     window = board_window(hours)
     if window == 168:
         rows = bucket_board_rows(week_rows, "week_start", times.last_full_week(now))

@@ -1,4 +1,4 @@
-"""Observation schedule as a table (ip_id, next_at)."""
+"""Observation schedule as a table (ip_id, next_at); times are kept to the second."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketebb.functions import times
-from marketebb.functions.measures import interval_seconds
+from marketebb.functions.measures import interval_us
 from marketebb.operators.slices import global_rank
 
 BASE_S, MIN_S, MAX_S = 7200, 3600, 7200
@@ -29,11 +29,11 @@ def initial(
     Entities never observed or already due start at now + 10 s x position among the active ones.
     """
     placed = global_rank(active(entities), {"block": F.floor(F.col("id") / ID_BLOCK)}, [F.col("id")])
-    regular = times.plus_seconds(F.col("last_crawled_at"), interval_seconds(F.col("weight"), base, low, high))
+    regular = times.plus_micros(F.col("last_crawled_at"), interval_us(F.col("weight"), base, low, high))
     staggered = times.plus_seconds(times.ntz(now), (F.col("position") - 1) * STAGGER_S)
     return placed.select(
         F.col("id").alias("ip_id"),
-        F.when(regular >= times.ntz(now), regular).otherwise(staggered).alias("next_at"),
+        times.seconds_floor(F.when(regular >= times.ntz(now), regular).otherwise(staggered)).alias("next_at"),
     )
 
 
@@ -44,8 +44,9 @@ def next_times(
 
     Input: ip_id, crawl_ts, new_weight.
     """
-    raw = times.plus_seconds(F.col("crawl_ts"), interval_seconds(F.col("new_weight"), base, low, high))
-    return crawled.select("ip_id", "crawl_ts", times.align_up(raw, slot_minutes).alias("next_at"))
+    raw = times.plus_micros(F.col("crawl_ts"), interval_us(F.col("new_weight"), base, low, high))
+    aligned = times.seconds_floor(times.align_up(raw, slot_minutes))
+    return crawled.select("ip_id", "crawl_ts", aligned.alias("next_at"))
 
 
 def due(schedule: DataFrame, now: datetime) -> DataFrame:
@@ -102,12 +103,12 @@ def apply_changes(
     ``now``, ``remove`` takes the entity off.
     """
     joined = schedule.join(changes, "ip_id", "full")
-    later = times.plus_seconds(times.ntz(now), interval_seconds(F.col("weight"), base, low, high))
+    later = times.plus_micros(times.ntz(now), interval_us(F.col("weight"), base, low, high))
     return (
         joined.filter(F.coalesce(F.col("action"), F.lit("")) != "remove")
         .withColumn(
             "next_at",
-            F.when(F.col("action") == "reweight", later)
+            F.when(F.col("action") == "reweight", times.seconds_floor(later))
             .when(F.col("action").isin("add", "trigger"), times.ntz(now))
             .otherwise(F.col("next_at")),
         )

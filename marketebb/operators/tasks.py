@@ -41,6 +41,24 @@ def queue_depths(events: DataFrame) -> DataFrame:
     return latest_events(events).groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("tasks"))
 
 
+def queue_stats(events: DataFrame, now) -> DataFrame:
+    """One row: tasks waiting, processing and dead, entities with an open task, remembered ids."""
+    count = F.count(F.lit(1))
+    ends = events.filter(F.col("event").isin("pushed", "acked", "dead"))
+    marks = ends.groupBy("ip_id").agg(F.max_by("event", F.struct("ts", "seq")).alias("last"))
+    remembered = processed_within(events.filter(F.col("event") == "acked"), now)
+    latest = latest_events(events)
+    return latest.agg(
+        F.count_if(F.col("event") == "pushed").alias("waiting"),
+        F.count_if(F.col("event") == "started").alias("processing"),
+        F.count_if(F.col("event") == "dead").alias("dead"),
+    ).select(
+        "*",
+        marks.filter(F.col("last") == "pushed").agg(count).scalar().alias("pending_entities"),
+        remembered.select("task_id").distinct().agg(count).scalar().alias("processed_ids"),
+    )
+
+
 def stuck_tasks(events: DataFrame, now, timeout_s: int = 1800, max_retries: int = MAX_RETRIES) -> DataFrame:
     """Started tasks without an end for longer than the timeout: try again, or give up."""
     latest = latest_events(events).filter(F.col("event") == "started")

@@ -21,7 +21,7 @@ TS_NOON = "TIMESTAMP '2024-01-30 12:00:00'"
 
 # --- schedule -----------------------------------------------------------------------------------
 
-INTERVAL_S = "CAST(floor(greatest(least({base} / {w}, 7200.0), 3600.0)) AS BIGINT)"
+PAUSE = "to_microseconds(CAST(floor(greatest(least(7200000000.0 / {w}, 7200000000.0), 3600000000.0)) AS BIGINT))"
 CRAWLED = (
     o.OBS,
     o.META,
@@ -29,8 +29,8 @@ CRAWLED = (
        LEFT JOIN (SELECT ip_id, max(crawl_ts) AS at FROM obs GROUP BY 1) l ON l.ip_id = m.id)""",
     """act AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS position FROM crawled WHERE status = 'active')""",
     f"""sched AS (
-       SELECT id AS ip_id, CASE WHEN last_crawled_at + {INTERVAL_S.format(base=7200.0, w='weight')} * INTERVAL 1 SECOND >= {TS_NOON}
-         THEN last_crawled_at + {INTERVAL_S.format(base=7200.0, w='weight')} * INTERVAL 1 SECOND
+       SELECT id AS ip_id, CASE WHEN last_crawled_at + {PAUSE.format(w='weight')} >= {TS_NOON}
+         THEN date_trunc('second', last_crawled_at + {PAUSE.format(w='weight')})
          ELSE {TS_NOON} + position * 10 * INTERVAL 1 SECOND END AS next_at FROM act)""",
 )
 
@@ -51,7 +51,7 @@ def schedule_initial(spark, sf):
 @query(
     o.select(
         f"""SELECT ip_id, crawl_ts, time_bucket(INTERVAL 15 MINUTE,
-                  crawl_ts + {INTERVAL_S.format(base=7200.0, w='weight')} * INTERVAL 1 SECOND
+                  crawl_ts + {PAUSE.format(w='weight')}
                   + INTERVAL 15 MINUTE - INTERVAL 1 MICROSECOND) AS next_at
             FROM (SELECT DISTINCT ip_id, time_bucket(INTERVAL 20 MINUTE, ts) + INTERVAL 7 MINUTE AS crawl_ts
                   FROM (SELECT user_id AS ip_id, ts FROM events)) c JOIN meta ON id = ip_id""",
@@ -164,7 +164,7 @@ def schedule_status(spark, sf):
 @query(
     o.select(
         f"""SELECT coalesce(s.ip_id, c.id) AS ip_id,
-                   CASE WHEN c.id % 11 = 1 THEN {TS_NOON} + {INTERVAL_S.format(base=7200.0, w='(c.weight + 1)')} * INTERVAL 1 SECOND
+                   CASE WHEN c.id % 11 = 1 THEN date_trunc('second', {TS_NOON} + {PAUSE.format(w='(c.weight + 1)')})
                         WHEN c.id % 11 IN (2, 3) THEN {TS_NOON} ELSE next_at END AS next_at
             FROM sched s FULL JOIN (SELECT * FROM meta WHERE id % 11 IN (0, 1, 2, 3)) c ON c.id = s.ip_id
             WHERE c.id IS NULL OR c.id % 11 <> 0""",
@@ -810,6 +810,21 @@ def queue_depths(spark, sf):
     return tasks.queue_depths(driver.task_events(spark, sf))
 
 
+@query(
+    o.select(
+        """SELECT count(*) FILTER (WHERE e = 'pushed') AS waiting, count(*) FILTER (WHERE e = 'started') AS processing,
+                  count(*) FILTER (WHERE e = 'dead') AS dead,
+                  (SELECT count(*) FROM (SELECT ip_id, arg_max(event, seq) AS l FROM tasks WHERE event <> 'started' GROUP BY 1)
+                   WHERE l = 'pushed') AS pending_entities,
+                  (SELECT count(DISTINCT task_id) FROM tasks WHERE event = 'acked' AND ts > TIMESTAMP '2024-01-29 12:00:00') AS processed_ids
+           FROM (SELECT task_id, arg_max(event, seq) AS e FROM tasks GROUP BY 1)""",
+        o.TASKS,
+    )
+)
+def queue_stats(spark, sf):
+    return tasks.queue_stats(driver.task_events(spark, sf), NOON)
+
+
 @query(
     o.select(
         """SELECT task_id, ip_id, CAST(r + 1 AS INTEGER) AS retry_count, CASE WHEN r + 1 > 3 THEN 'dead' ELSE 'retry' END AS outcome

@@ -136,6 +136,10 @@ def test_next_times(spark):
     df = spark.createDataFrame([(1, datetime(2024, 1, 2, 10, 17), 2.0), (2, datetime(2024, 1, 2, 10, 15), 9.0)], "ip_id long, crawl_ts timestamp_ntz, new_weight double")
     got = dict(rows(schedule.next_times(df), "ip_id", "next_at"))
     assert got == {1: datetime(2024, 1, 2, 11, 30), 2: datetime(2024, 1, 2, 11, 15)}
+    # 7200 / 1.75 is 4114.28... seconds: just past the quarter, so the next one
+    close = spark.createDataFrame([(1, datetime(2024, 1, 2, 10, 6, 26), 1.75)], df.schema)
+    assert schedule.next_times(close).first()["next_at"] == datetime(2024, 1, 2, 11, 30)
+    assert schedule.next_times(close, slot_minutes=0).first()["next_at"] == datetime(2024, 1, 2, 11, 15)
 
 
 def test_batches_follow_the_order(spark):

@@ -104,7 +104,7 @@ def test_liquidity(spark, i, o, expected):
 )
 def test_interval(spark, w, minutes):
     weight = F.lit(w).cast("double")
-    assert value(spark, measures.interval_seconds(weight, 3600, 900, 14400)) == minutes * 60
+    assert value(spark, measures.interval_us(weight, 3600, 900, 14400)) == minutes * 60_000_000
 
 
 def test_weight_round_trip(spark):

@@ -257,6 +257,7 @@ def test_boards_choose_their_source(meta, hours, spark):
     for asked in (0, 24, 30, 167):
         got = boards.leaderboard("hot", asked, 10, now, meta, hours, days, weeks)
         assert rows(got, "rank", "ip_id", "inflow", "ip_name") == [(1, 1, 3, "one")]
+    assert boards.leaderboard("other", 24, 10, now, meta, hours, days, weeks).first()["score"] > 2
     week = boards.leaderboard("inflow", 168, 10, now, meta, hours, days, weeks)
     assert rows(week, "ip_id", "score", "ip_name", "ip_name_en") == [(7, 3.0, "", "")]
     # the running hour stays out: at 00:20 the last two hours are 22 and 23
