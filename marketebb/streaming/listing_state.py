@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -112,3 +112,15 @@ def transition_stream(
         ListingLife(available_hours, sold_hours), OUTPUT, "Append", "EventTime"
     )
     return moved.withColumn("crawl_ts", times.from_micros(F.col("t"))).drop("t")
+
+
+def stored_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The listing state a stream has stored, as a table (one row per remembered listing)."""
+    raw = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+    return raw.select(
+        F.col("key.ip_id").alias("ip_id"),
+        F.col("key.source_id").alias("source_id"),
+        F.col("value.status").alias("status"),
+        F.col("value.price").alias("price"),
+        times.from_micros(F.col("value.t")).alias("last_seen"),
+    )

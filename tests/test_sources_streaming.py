@@ -12,7 +12,7 @@ from marketebb.operators import transitions as T
 from marketebb.session import stage
 from marketebb.sources import driver, readers, sinks
 from marketebb.streaming import flow, listing_state, task_state
-from tests.conftest import OBS, SF, rows
+from tests.conftest import OBS, SF, at, rows
 from tests.test_transitions import random_observations
 
 EPOCH = datetime(1970, 1, 1)
@@ -141,7 +141,27 @@ def test_state_stream_equals_batch(spark, tmp_path):
         F.count(F.lit(1)).alias("copies")
     )
     columns = ("ip_id", "source_id", "crawl_ts", "status", "price", "kind", "prev_price", "copies")
-    assert rows(counted, *columns) == rows(T.transitions(spark.createDataFrame(data, OBS)), *columns)
+    moved = T.transitions(spark.createDataFrame(data, OBS))
+    assert rows(counted, *columns) == rows(moved, *columns)
+    # with so long a lateness no timer has fired, so every listing is still remembered
+    known = listing_state.stored_state(spark, str(tmp_path / "cp"))
+    columns = ("ip_id", "source_id", "status", "price", "last_seen")
+    assert rows(known, *columns) == rows(T.state_table(moved), *columns)
+
+
+def test_timers_forget_expired_listings(spark, tmp_path):
+    for i, (source, ts) in enumerate([("old", "01 00:00"), ("new", "05 00:00"), ("newer", "05 01:00")]):
+        df = spark.createDataFrame([(1, source, "available", 5, at(ts), i)], OBS)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = (
+        listing_state.transition_stream(obs_stream(spark, tmp_path / "in"), "0 seconds")
+        .writeStream.format("noop")
+        .option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert rows(listing_state.stored_state(spark, str(tmp_path / "cp")), "source_id") == [("new",), ("newer",)]
 
 
 def test_write_path_equals_batch_with_a_restart(spark, tmp_path):
