@@ -51,6 +51,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def touched(stored: DataFrame, delta: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Stored rows of the partitions that occur in a delta.
+
+    The bounds are known before the scan starts, so partitions outside them are not read.
+    """
+    for c in by:
+        low, high = (delta.agg(f(c)).scalar() for f in (F.min, F.max))
+        stored = stored.filter(F.col(c).between(low, high))
+    return stored.join(delta.select(*by).distinct(), list(by), "left_semi")
+
+
 def merge_partitions(delta: DataFrame, path: str, by: Sequence[str], merge) -> None:
     """Merge a delta into the partitions it touches: ``merge(old, delta) -> new``.
 
@@ -62,6 +73,5 @@ def merge_partitions(delta: DataFrame, path: str, by: Sequence[str], merge) -> N
     if not exists(spark, path):
         overwrite_partitions(delta, path, by)
         return
-    touched = delta.select(*by).distinct()
-    old = spark.read.parquet(path).join(touched, list(by), "left_semi")
+    old = touched(spark.read.parquet(path), delta, by)
     overwrite_partitions(stage(merge(old.select(*delta.columns), delta), "merge"), path, by)

@@ -27,7 +27,6 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketebb.functions import times
 from marketebb.operators import alerts as alert_rules
 from marketebb.operators import hourly, schedule, transitions, weights
 from marketebb.operators.snapshots import merge_snapshots, snapshot_delta
@@ -94,8 +93,7 @@ def process(
     sinks.write_batch(snapshot_delta(fresh, sold_at), f"{root}/snapshots", batch_id)
 
     if sinks.exists(spark, f"{root}/crawls"):
-        days = by_day.select("day").distinct()
-        stored = spark.read.schema(by_day.schema).parquet(f"{root}/crawls").join(days, "day", "left_semi")
+        stored = sinks.touched(spark.read.schema(by_day.schema).parquet(f"{root}/crawls"), by_day, ["day"])
         sinks.replace_buckets(hourly.hours_from_crawls(stored), f"{root}/hours", "hour_bucket")
 
     if entities is not None:

@@ -3,7 +3,6 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from marketebb.operators import entities, listing_pages, reports, tasks
 from tests.conftest import rows

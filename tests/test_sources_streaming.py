@@ -99,6 +99,11 @@ def test_partition_sinks(spark, tmp_path):
 
     sinks.merge_partitions(spark.createDataFrame([(5, "b"), (7, "c")], "v int, p string"), path, ["p"], add)
     assert rows(spark.read.parquet(path), "v", "p") == [(1, "a"), (14, "b"), (7, "c")]
+    one_part = spark.createDataFrame([(5, "b")], "v int, p string")
+    scan = sinks.touched(spark.read.parquet(path), one_part, ["p"])
+    assert rows(scan, "v", "p") == [(14, "b")]
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(p" in plan and "Subquery" in plan
     batches = str(tmp_path / "b")
     for _ in range(2):
         sinks.write_batch(one, batches, 3)
