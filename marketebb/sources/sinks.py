@@ -51,6 +51,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, below: int) -> None:
+    """Remove the partition folders of an integer column below a value."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(folder):
+        name, _, number = entry.getPath().getName().partition("=")
+        if name == column and number.isdigit() and int(number) < below:
+            fs.delete(entry.getPath(), True)
+
+
 def touched(stored: DataFrame, delta: DataFrame, by: Sequence[str]) -> DataFrame:
     """Stored rows of the partitions that occur in a delta.
 

@@ -166,3 +166,23 @@ def snapshots(spark: SparkSession, root: str, sold_at: str = "first_insert") ->
     """Current snapshots: all deltas merged, newest batch last."""
     rows = spark.read.parquet(f"{root}/snapshots")
     return merge_snapshots(rows, "batch_id", sold_at)
+
+
+def compact_snapshots(spark: SparkSession, root: str, batch_id: int, sold_at: str = "first_insert") -> None:
+    """Fold the snapshot deltas up to a finished batch into one.
+
+    The merged rows take the place of the batch before the older deltas go; merging both gives the
+    same snapshots, so readers see no difference at any point. A batch that was folded must not run again.
+    """
+    path = f"{root}/snapshots"
+    rows = spark.read.parquet(path).filter(F.col("batch_id") <= batch_id)
+    merged = stage(merge_snapshots(rows, "batch_id", sold_at), "snapshots")
+    sinks.write_batch(merged, path, batch_id)
+    sinks.drop_partitions(spark, path, "batch_id", batch_id)
+
+
+def drop_old_versions(spark: SparkSession, root: str, batch_id: int) -> None:
+    """Remove state and schedule versions that no later batch than ``batch_id`` reads."""
+    for table in ("state", "schedule"):
+        if sinks.exists(spark, f"{root}/{table}"):
+            sinks.drop_partitions(spark, f"{root}/{table}", "batch_id", batch_id)

@@ -194,6 +194,13 @@ def test_write_path_equals_batch_with_a_restart(spark, tmp_path):
     flow.process(spark.createDataFrame([r for r in data if r[4] < cut][:20], OBS), None, 2, root, entities)
     assert spark.read.parquet(f"{root}/late").count() == 20
     assert rows(flow.hours(spark, root), *columns) == before
+    # folding deltas and dropping old versions changes no result
+    kept = rows(flow.snapshots(spark, root), *snap)
+    flow.compact_snapshots(spark, root, 1)
+    flow.drop_old_versions(spark, root, 1)
+    assert rows(flow.snapshots(spark, root), *snap) == kept
+    assert not sinks.exists(spark, f"{root}/snapshots/batch_id=0") and not sinks.exists(spark, f"{root}/state/batch_id=0")
+    assert sinks.exists(spark, f"{root}/state/batch_id=1")
 
 
 def test_message_stream_takes_each_task_once(spark, tmp_path):
