@@ -15,11 +15,19 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from marketebb.llm import decontaminate as _decontaminate  # noqa: E402
 from marketebb.llm import near_dedup as _near_dedup  # noqa: E402
+from marketebb.llm import packing, pii  # noqa: E402
+from marketebb.llm import quality as _quality  # noqa: E402
+from marketebb.llm.queries import vocabulary  # noqa: E402
 from marketebb.llm.shared import documents, stage, table  # noqa: E402
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules or the forest reject go."""
+    return _quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
     return _near_dedup.keep_one(docs)
@@ -30,9 +38,22 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is masked."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 token ids, a row for each piece of a document."""
+    return packing.pack(docs, vocabulary())
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality),
     ("near_dedup", near_dedup),
     ("decontaminate", decontaminate),
+    ("personal_data", personal_data),
+    ("pack", pack),
 ]
 
 #: The stages train models and build signatures, which SQL cannot express.

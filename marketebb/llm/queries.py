@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketebb.llm import decontaminate, idfile, near_dedup, packing, quality, sharding, warc
+from marketebb.llm import decontaminate, idfile, language, near_dedup, packing, pii, quality, sharding, warc
 from marketebb.llm.shared import documents, table
 
 
@@ -20,6 +20,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(documents(spark, sf_dir))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -40,12 +44,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary())
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(documents(spark, sf_dir))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_quality, op3_decontaminate, op5_sharding, op6_warc, op7_token_ids, op8_packing, op10_near_dedup)
+    own = (
+        op1_quality, op2_pii, op3_decontaminate, op5_sharding, op6_warc, op7_token_ids, op8_packing, op9_language, op10_near_dedup,
+    )
     return {f.__name__: f for f in own}
 
 

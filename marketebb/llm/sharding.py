@@ -79,8 +79,8 @@ def new_map(slots: DataFrame, shards: int = SHARDS) -> DataFrame:
 def edited_map(old: DataFrame, slots: DataFrame, shards: int, tolerance: float = TOLERANCE) -> DataFrame:
     """The next version for new slot sizes or more shards.
 
-    From the largest slot down, a slot moves to the lightest shard if its own keeps at least the mean and that one gets no
-    more than the mean, both up to the tolerance. All other slots stay.
+    From the largest slot down, a slot moves to the lightest shard if that is under the mean, its own keeps at least the mean
+    and that one gets no more than the mean, all up to the tolerance. All other slots stay.
     """
     rows = old.select("version", "virtual_slot", "shard").join(slots, "virtual_slot")
     one = rows.agg(
@@ -93,7 +93,7 @@ def edited_map(old: DataFrame, slots: DataFrame, shards: int, tolerance: float =
     def step(acc: Column, x: Column) -> Column:
         own, to = F.element_at(acc["loads"], x["shard"] + 1), _lightest(acc["loads"])
         least = F.array_min(acc["loads"])
-        move = (own + x["b"] >= F.col("mean") * (1 - tolerance)) & (least - x["b"] <= F.col("mean") * (1 + tolerance)) & (x["b"] < 0) & (to != x["shard"])
+        move = (own + x["b"] >= F.col("mean") * (1 - tolerance)) & (least - x["b"] <= F.col("mean") * (1 + tolerance)) & (x["b"] < 0) & (least < F.col("mean") * (1 - tolerance))
         loads = F.when(move, _with(_with(acc["loads"], x["shard"], own + x["b"]), to, least - x["b"])).otherwise(acc["loads"])
         return F.struct(loads.alias("loads"), F.concat(acc["to"], F.array(F.when(move, to).otherwise(x["shard"]))).alias("to"))
 
