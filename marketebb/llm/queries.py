@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketebb.llm import decontaminate, idfile, language, near_dedup, packing, pii, quality, sharding, warc
+from marketebb.llm import decontaminate, idfile, language, licences, near_dedup, packing, pii, quality, sharding, warc
 from marketebb.llm.shared import documents, table
 
 
@@ -28,6 +28,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(documents(spark, sf_dir))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
@@ -54,7 +58,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_quality, op2_pii, op3_decontaminate, op5_sharding, op6_warc, op7_token_ids, op8_packing, op9_language, op10_near_dedup,
+        op1_quality, op2_pii, op3_decontaminate, op4_licences, op5_sharding, op6_warc, op7_token_ids, op8_packing, op9_language, op10_near_dedup,
     )
     return {f.__name__: f for f in own}
 
