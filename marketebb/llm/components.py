@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketebb.llm.shared import stage
+from marketebb.llm.shared import discard, stage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
     e, known = stage(e, "edges"), None
     for _ in range(most_rounds):
-        e = stage(_star(_star(e, True).where("a > b"), False).where("a > b"), "edges")
+        old, e = e, stage(_star(_star(e, True).where("a > b"), False).where("a > b"), "edges")
+        discard(old)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
         if state == known:
             break

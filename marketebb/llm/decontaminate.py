@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketebb.llm import words as W
-from marketebb.llm.shared import stage
+from marketebb.llm.shared import fresh, stage
 
 WINDOW, SHINGLE = 10, 3
 _A_Z, _a_z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -161,10 +161,10 @@ def keep_clean(docs: DataFrame, items: DataFrame, **how: int) -> DataFrame:
     What goes is named by text, since the verdict depends on the text alone; the names are few and Catalyst decides how
     to join them.
     """
-    keyed = docs.withColumn("_text", F.sha2("text", 256))
-    found = hits(keyed.select(F.col("_text").alias("doc_id"), "text"), items, **how).where("hits is not null")
-    found = stage(found.select(F.col("doc_id").alias("_text")).distinct(), "contaminated")
-    return keyed.join(found, "_text", "left_anti").select(docs.columns)
+    (key,) = fresh(docs, "text_digest")
+    found = hits(docs.select(F.sha2("text", 256).alias("doc_id"), "text"), items, **how).where("hits is not null")
+    found = stage(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, F.sha2("text", 256)).join(found, key, "left_anti").select(docs.columns)
 
 
 SQL = """

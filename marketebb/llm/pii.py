@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketebb.llm.shared import fresh
+
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE, SURE, ROUNDS, DROP = 3_000, 0.9, 12, 0.3
 MARKS = ".,;:!?\"'()[]{}<>=|*"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -336,8 +337,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
     return train([r.text for r in rows.dropDuplicates(["h"]).orderBy("h").limit(sample).collect()])
 
 
-def annotate(docs: DataFrame, field: Field, masked: bool = False) -> DataFrame:
-    """All columns and a struct ``_pii``: counts of base spans, base_sha256, spans; with ``masked`` the text without them."""
+def annotate(docs: DataFrame, field: Field, name: str, masked: bool = False) -> DataFrame:
+    """All columns and a struct ``name``: counts of base spans, base_sha256, spans; with ``masked`` the text without them."""
     field_ = docs.sparkSession.sparkContext.broadcast(field)
     text_at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
@@ -358,10 +359,10 @@ def annotate(docs: DataFrame, field: Field, masked: bool = False) -> DataFrame:
             if masked:
                 columns.append(pa.array([mask(t, s) if s else None for t, s in zip(texts, every, strict=True)], pa.string()))
                 names.append("masked")
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(columns, names)], [*b.schema.names, "_pii"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.StructArray.from_arrays(columns, names)], [*b.schema.names, name])
 
     kind = ",".join(f"n_{k}:long" for k in KINDS) + ",base_sha256:string,spans:string" + ",masked:string" * masked
-    return docs.mapInArrow(find, T.StructType([*docs.schema.fields, T.StructField("_pii", T.DataType.fromDDL(f"struct<{kind}>"))]))
+    return docs.mapInArrow(find, T.StructType([*docs.schema.fields, T.StructField(name, T.DataType.fromDDL(f"struct<{kind}>"))]))
 
 
 def mask(text: str, spans: list[Span]) -> str:
@@ -376,17 +377,17 @@ def mask(text: str, spans: list[Span]) -> str:
 
 def pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256 and all spans of every document."""
-    out = annotate(docs.select("doc_id", "text"), fit(docs, sample))
+    out = annotate(docs.select("doc_id", "text"), fit(docs, sample), "_pii")
     return out.select("doc_id", *(F.col(f"_pii.{c}") for c in (*(f"n_{k}" for k in KINDS), "base_sha256", "spans")))
 
 
 def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents with their personal data masked; n_chars follows where it is a column and the text has changed."""
     names = docs.columns
-    out = annotate(docs, fit(docs, sample), masked=True)
+    (found,) = fresh(docs, "personal_data")
+    out = annotate(docs, fit(docs, sample), found, masked=True)
     text = next(c for c in names if c.lower() == "text")
-    changed = F.col("_pii.masked").isNotNull()
-    out = out.withColumn(text, F.coalesce("_pii.masked", F.col(text)))
+    masked = F.col(found)["masked"]
     if (n := next((c for c in names if c.lower() == "n_chars"), None)) is not None:
-        out = out.withColumn(n, F.when(changed, F.length(text)).otherwise(F.col(n)).cast(docs.schema[n].dataType))
-    return out.select(names)
+        out = out.withColumn(n, F.when(masked.isNotNull(), F.length(masked)).otherwise(F.col(n)).cast(docs.schema[n].dataType))
+    return out.withColumn(text, F.coalesce(masked, F.col(text))).select(names)
