@@ -36,7 +36,7 @@ def odd(spark):
     texts = [
         (1, base), (2, " ".join(near)), (3, base), (3, base), (3, base), (None, base), (None, None), (None, ""), (4, None), (5, ""),
         (6, " \n\t ,;! "), (7, long_), (8, "two words"), (9, "Two WORDS"), (10, prose(5, 9)), (11, prose(5, 9) + " more"), (12, "one"), (12, "one"),
-        (13, "É" + prose(8, 80) + " mail bob.1@mail7.example.com ip 10.2.3.4 +1 (455) 555-8597 4961199590345293"), (14, prose(9, 200) + " " + prose(9, 200)),
+        (13, "É" + prose(8, 80) + " mail bob.1@mail7.example.com ip 10.2.3.4 +1 (455) 555-8597 card 4961199590345293"), (14, prose(9, 200) + " " + prose(9, 200)),
     ]
     return spark.createDataFrame(rows(texts), SCHEMA).repartition(3)
 
