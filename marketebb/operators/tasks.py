@@ -273,11 +273,13 @@ def operation_alerts(
     blocked: int = 5,
     p95_s: float = 60.0,
     minutes: int = 5,
+    latency_hold: int = 5,
 ) -> DataFrame:
     """Operation rules as (rule, severity, since, until, value).
 
     Backlog (pushes minus starts) above a limit for five minutes, dead tasks standing for a minute,
-    more than five blocks in five minutes, 95th latency percentile above a limit for a window.
+    more than five blocks in a window of ``minutes`` that slides by the minute, the 95th latency percentile of such a
+    window above a limit for ``latency_hold`` minutes. Windowed rules give one row for each run of minutes above.
     """
     step = (
         F.when(F.col("event") == "pushed", 1).when(F.col("event") == "started", -1).otherwise(0).cast("long")
@@ -332,24 +334,36 @@ def operation_alerts(
         .select("rule", "severity", "since", "until", "value")
     )
 
-    end = times.plus_seconds(F.col("window_start"), F.lit(minutes * 60))
-    blocks = (
-        log.filter(F.col("outcome") == "403_forbidden")
-        .groupBy(times.minutes_floor(F.col("ts"), minutes).alias("window_start"))
-        .agg(F.count(F.lit(1)).cast("double").alias("value"))
-        .filter(F.col("value") > blocked)
+    minute = times.minutes_floor(F.col("ts"), 1).alias("minute")
+    blocks = sliding(log.filter(F.col("outcome") == "403_forbidden").groupBy(minute).agg(F.array(F.count(F.lit(1))).alias("counts")), minutes)
+    blocks = blocks.select("minute", F.element_at("counts", 1).cast("double").alias("value")).filter(F.col("value") > blocked)
+    slow = sliding(log.groupBy(minute).agg(_bucket_counts(DURATION_BOUNDS).alias("counts")), minutes)
+    slow = slow.select("minute", _quantile(F.col("counts"), DURATION_BOUNDS, 0.95).alias("value")).filter(F.col("value") > p95_s)
+    return (
+        standing.unionByName(_episodes(blocks, "collector_blocked", "critical", 0))
+        .unionByName(_episodes(slow, "high_latency", "warning", latency_hold))
     )
-    slow = latency_quantiles(log, minutes, [0.95]).withColumnRenamed("p95", "value").filter(F.col("value") > p95_s)
 
-    def windowed(df: DataFrame, rule: str, severity: str) -> DataFrame:
-        return df.select(
-            F.lit(rule).alias("rule"),
-            F.lit(severity).alias("severity"),
-            F.col("window_start").alias("since"),
-            end.alias("until"),
-            "value",
-        )
 
-    return standing.unionByName(windowed(blocks, "collector_blocked", "critical")).unionByName(
-        windowed(slow, "high_latency", "warning")
-    )
+def sliding(per_minute: DataFrame, minutes: int) -> DataFrame:
+    """(minute, counts): counts of the window of so many minutes that ends with each minute.
+
+    Events are counted per minute first; only those counts are repeated for overlapping windows.
+    """
+    width = F.col("counts")
+    spread = per_minute.withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(minutes - 1))))
+    spread = spread.select(times.plus_seconds(F.col("minute"), F.col("ahead") * 60).alias("minute"), F.posexplode(width).alias("k", "n"))
+    sums = spread.groupBy("minute", "k").agg(F.sum("n").alias("n"))
+    ordered = F.sort_array(F.collect_list(F.struct("k", "n")))
+    return sums.groupBy("minute").agg(F.transform(ordered, lambda x: x["n"]).alias("counts"))
+
+
+def _episodes(minutes: DataFrame, rule: str, severity: str, hold_minutes: int) -> DataFrame:
+    """Runs of consecutive minutes of (minute, value) that last at least so long."""
+    rows = minutes.select(F.lit(rule).alias("q"), F.col("minute").cast("date").alias("slice"), "minute", "value")
+    rows = slices.previous(rows, ["q"], "slice", ["minute"], {"before": "minute"})
+    gap = F.coalesce(times.micros(F.col("minute")) - times.micros(F.col("before")) > 60 * times.US_PER_SECOND, F.lit(True))
+    rows = slices.running(rows, ["q"], "slice", ["minute"], {"run": ("sum", gap.cast("long"))})
+    runs = rows.groupBy("q", "run").agg(F.min("minute").alias("since"), F.max("minute").alias("until"), F.max("value").alias("value"))
+    long_enough = times.micros(F.col("until")) - times.micros(F.col("since")) >= hold_minutes * 60 * times.US_PER_SECOND
+    return runs.filter(long_enough).select(F.col("q").alias("rule"), F.lit(severity).alias("severity"), "since", "until", "value")

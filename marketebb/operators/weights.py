@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,50 +81,73 @@ def adjust_once(crawls: DataFrame, rules: WeightRules = WeightRules()) -> DataFr
 def adjust_over_time(flow: DataFrame, entities: DataFrame, rules: WeightRules = WeightRules()) -> DataFrame:
     """Interval and weight of each entity after each crawl, starting from the entity's weight.
 
-    Each interval depends on the one before, and the clamps rule out a window form. The crawls of
-    an entity are therefore read in order, one row per crawl, from a sorted partition: the fold keeps
-    a single number per entity, Spark sorts and spills, and no group is held in memory.
+    The stored weight stays as it is until an interval changes; from then on it is the weight of the interval.
+
+    A crawl maps whole minutes to whole minutes, and such maps compose. The crawls of an entity and day fold into one table
+    (minutes before the day -> minutes after it); the tables of an entity's days are chained, and each day is then run
+    through from its own start. No row holds more than a day of crawls, or one small table for each day of an entity.
     """
     asked = activity(rules, F.col("first_crawl"), F.col("inflow"), F.col("sold"))
+    crawls = flow.select("ip_id", F.col("crawl_ts").cast("date").alias("day"), F.struct("crawl_ts", asked.alias("asked")).alias("crawl"))
     start = entities.select(
-        F.col("id").alias("ip_id"), weight_to_minutes(F.col("weight"), rules.base).alias("start_minutes")
-    )
-    crawls = (
-        flow.select("ip_id", "crawl_ts", asked.alias("asked"))
-        .join(start, "ip_id", "left")
-        .withColumn("start_minutes", F.coalesce("start_minutes", F.lit(rules.base)))
-        .repartition("ip_id")
-        .sortWithinPartitions("ip_id", "crawl_ts")
+        F.col("id").alias("ip_id"), usable_weight(F.col("weight")).alias("weight"), weight_to_minutes(F.col("weight"), rules.base).alias("minutes")
     )
+    days = crawls.groupBy("ip_id", "day").agg(F.sort_array(F.collect_list("crawl")).alias("crawls")).join(start, "ip_id", "left")
+    days = days.withColumn("weight", F.coalesce("weight", F.lit(1.0))).withColumn("minutes", F.coalesce("minutes", F.lit(rules.base)))
+
+    def run(crawls: Column, minutes: Column, changed: Column) -> Column:
+        """Minutes and whether any crawl has changed them, after these crawls."""
+        return F.aggregate(
+            crawls,
+            F.struct(minutes.cast("int").alias("m"), changed.alias("changed")),
+            lambda a, c: F.struct(step(rules, a["m"], c["asked"]).cast("int").alias("m"), (a["changed"] | (step(rules, a["m"], c["asked"]) != a["m"])).alias("changed")),
+        )
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entity, minutes = None, 0
-        for batch in batches:
-            before, after = [], []
-            rows = zip(batch["ip_id"], batch["asked"], batch["start_minutes"], strict=True)
-            for ip_id, what, initial in rows:
-                if ip_id != entity:
-                    entity, minutes = ip_id, int(initial)
-                before.append(minutes)
-                if what == "active":
-                    minutes = max(minutes - rules.fast_step, rules.low)
-                elif what == "cold":
-                    minutes = min(minutes + rules.slow_step, rules.high)
-                elif what == "regress":
-                    gap = rules.base - minutes
-                    minutes += max(-rules.regress_step, min(rules.regress_step, gap))
-                after.append(minutes)
-            yield batch[["ip_id", "crawl_ts", "asked"]].assign(old_minutes=before, new_minutes=after)
-
-    folded = crawls.mapInPandas(
-        fold, "ip_id long, crawl_ts timestamp_ntz, asked string, old_minutes int, new_minutes int"
+    # no interval leaves this range
+    lowest, highest = F.least("minutes", F.lit(min(rules.low, rules.base))), F.greatest("minutes", F.lit(max(rules.high, rules.base)))
+    days = days.withColumn("lowest", lowest).withColumn("reach", F.sequence("lowest", highest))
+    tables = days.withColumn("table", F.transform("reach", lambda m: run(F.col("crawls"), m, F.lit(False))))
+    chain = tables.groupBy("ip_id").agg(
+        F.sort_array(F.collect_list(F.struct("day", "table"))).alias("days"), F.first("minutes").alias("minutes"), F.first("lowest").alias("lowest")
     )
-    changed = F.col("new_minutes") != F.col("old_minutes")
+    begin = F.aggregate(
+        "days",
+        F.struct(F.col("minutes").cast("int").alias("m"), F.lit(False).alias("changed"), F.array().cast("array<struct<day:date,m:int,changed:boolean>>").alias("out")),
+        lambda a, d: F.struct(
+            F.element_at(d["table"], a["m"] - F.col("lowest") + 1)["m"].alias("m"),
+            (a["changed"] | F.element_at(d["table"], a["m"] - F.col("lowest") + 1)["changed"]).alias("changed"),
+            F.concat(a["out"], F.array(F.struct(d["day"].alias("day"), a["m"].alias("m"), a["changed"].alias("changed")))).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+    begins = chain.select("ip_id", F.inline(begin)).withColumnsRenamed({"m": "start_minutes", "changed": "changed_before"})
+    steps = F.aggregate(
+        "crawls",
+        F.struct(
+            F.col("start_minutes").alias("m"), F.col("changed_before").alias("changed"),
+            F.array().cast("array<struct<crawl_ts:timestamp_ntz,asked:string,old_minutes:int,new_minutes:int,changed:boolean>>").alias("out"),
+        ),
+        lambda a, c: F.struct(
+            step(rules, a["m"], c["asked"]).cast("int").alias("m"),
+            (a["changed"] | (step(rules, a["m"], c["asked"]) != a["m"])).alias("changed"),
+            F.concat(
+                a["out"],
+                F.array(
+                    F.struct(
+                        c["crawl_ts"].alias("crawl_ts"), c["asked"].alias("asked"), a["m"].alias("old_minutes"), step(rules, a["m"], c["asked"]).cast("int").alias("new_minutes"),
+                        (a["changed"] | (step(rules, a["m"], c["asked"]) != a["m"])).alias("changed"),
+                    )
+                ),
+            ).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+    folded = days.join(begins, ["ip_id", "day"]).select("ip_id", "weight", F.inline(steps))
     return folded.select(
         "ip_id",
         "crawl_ts",
-        F.when(changed, F.col("asked")).otherwise("none").alias("adjustment"),
+        F.when(F.col("new_minutes") != F.col("old_minutes"), F.col("asked")).otherwise("none").alias("adjustment"),
         "old_minutes",
         "new_minutes",
-        minutes_to_weight(F.col("new_minutes"), rules.base).alias("new_weight"),
+        F.when(F.col("changed"), minutes_to_weight(F.col("new_minutes"), rules.base)).otherwise(F.col("weight")).alias("new_weight"),
     )

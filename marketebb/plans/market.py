@@ -414,14 +414,14 @@ WEEK_BOARD = """board_rows AS (SELECT ip_id, total_inflow AS inflow, total_outfl
 
 @query(o.select(o.board("board_rows", "inflow", 20), *DAYS, o.META, DAY_BOARD))
 def board_inflow_day(spark, sf):
-    board = boards.leaderboard("inflow", 30, 20, NOW, driver.metadata(spark, sf), day_rows=days(spark, sf))
+    board = boards.leaderboard("inflow", 24, 20, NOW, driver.metadata(spark, sf), day_rows=days(spark, sf))
     return rounded(board, "score")
 
 
-@query(o.select(o.board("board_rows", "outflow", 100), *WEEKS, o.META, WEEK_BOARD))
+@query(o.select(o.board("board_rows", "outflow", 1000), *WEEKS, o.META, WEEK_BOARD))
 def board_outflow_week(spark, sf):
     weeks = rollup.weekly(days(spark, sf))
-    board = boards.leaderboard("outflow", 500, 1000, NOW, driver.metadata(spark, sf), week_rows=weeks)
+    board = boards.leaderboard("outflow", 168, 1000, NOW, driver.metadata(spark, sf), week_rows=weeks)
     return rounded(board, "score")
 
 

@@ -193,7 +193,7 @@ RULES = weights.WeightRules(base=120, low=60, high=180, busy_per_page=2, quiet_i
 @query(
     o.select(
         """SELECT ip_id, crawl_ts, CASE WHEN new_m <> old_m THEN asked ELSE 'none' END AS adjustment,
-                  old_m AS old_minutes, new_m AS new_minutes, round(120.0 / new_m, 6) AS new_weight
+                  old_m AS old_minutes, new_m AS new_minutes, round(w, 6) AS new_weight
            FROM fold WHERE n > 0""",
         o.busy(360),
         o.TRANS,
@@ -206,15 +206,17 @@ RULES = weights.WeightRules(base=120, low=60, high=180, busy_per_page=2, quiet_i
              FROM flow)""",
         """fold AS (
              SELECT id AS ip_id, CAST(NULL AS TIMESTAMP) AS crawl_ts, CAST(0 AS BIGINT) AS n, 'none' AS asked,
-                    CAST(round(120.0 / weight) AS INTEGER) AS old_m, CAST(round(120.0 / weight) AS INTEGER) AS new_m
+                    CAST(round(120.0 / weight) AS INTEGER) AS old_m, CAST(round(120.0 / weight) AS INTEGER) AS new_m,
+                    CAST(weight AS DOUBLE) AS w
              FROM meta WHERE id < 8
              UNION ALL
-             SELECT a.ip_id, a.crawl_ts, a.n, a.asked, f.new_m,
-                    CASE a.asked WHEN 'active' THEN greatest(f.new_m - 15, 60) WHEN 'cold' THEN least(f.new_m + 15, 180)
-                      WHEN 'regress' THEN CASE WHEN f.new_m < 120 THEN least(f.new_m + 5, 120)
-                                               ELSE greatest(f.new_m - 5, 120) END
-                      ELSE f.new_m END
-             FROM fold f JOIN asked a ON a.ip_id = f.ip_id AND a.n = f.n + 1)""",
+             SELECT ip_id, crawl_ts, n, asked, was, now, CASE WHEN now = was THEN w ELSE 120.0 / now END
+             FROM (SELECT a.ip_id, a.crawl_ts, a.n, a.asked, CAST(round(120.0 / f.w) AS INTEGER) AS was, f.w,
+                          CASE a.asked WHEN 'active' THEN greatest(f.new_m - 15, 60) WHEN 'cold' THEN least(f.new_m + 15, 180)
+                            WHEN 'regress' THEN CASE WHEN f.new_m < 120 THEN least(f.new_m + 5, 120)
+                                                     ELSE greatest(f.new_m - 5, 120) END
+                            ELSE f.new_m END AS now
+                   FROM fold f JOIN asked a ON a.ip_id = f.ip_id AND a.n = f.n + 1))""",
         recursive=True,
     )
 )
@@ -667,12 +669,6 @@ def block_type(spark, sf):
     return listing_pages.page_checks(driver.table(spark, sf, "pages"))
 
 
-@query()
-def pages_to_items(spark, sf):
-    """Items of the saved pages (these hold no listings, so the result is empty)."""
-    return listing_pages.items(driver.table(spark, sf, "pages"))
-
-
 @query(
     """SELECT o_orderkey AS page_id, CAST(0 AS INTEGER) AS pos,
               CASE WHEN o_orderkey % 5 = 2 THEN 'shops_' ELSE 'm' END || o_orderkey AS source_id,
@@ -997,9 +993,21 @@ def rate_per_minute(spark, sf):
     return rounded(rows, "pushed_per_min", "processed_per_min", "failed_per_min")
 
 
-@query(
-    o.select(
-        """SELECT 'queue_backlog' AS rule, 'warning' AS severity, since, until, value FROM (
+def _ops_sql(minutes: int) -> str:
+    """The rules as written: increase over a sliding window, p95 of a sliding window held for five minutes."""
+    cuts = tasks.DURATION_BOUNDS
+    counts = ", ".join(f"count(*) FILTER (WHERE duration_s <= {b}) AS c{i}" for i, b in enumerate(cuts))
+    cases = " ".join(
+        f"WHEN c{i} >= r THEN {cuts[i - 1] if i else 0.0} + ({b} - {cuts[i - 1] if i else 0.0}) * (r - {f'c{i - 1}' if i else 0}) / (c{i} - {f'c{i - 1}' if i else 0})"
+        for i, b in enumerate(cuts)
+    )
+
+    def runs_of(table: str) -> str:
+        return f"""(SELECT min(t) AS since, max(t) AS until, CAST(max(v) AS DOUBLE) AS value FROM (
+            SELECT *, t - row_number() OVER (ORDER BY t) * INTERVAL 1 MINUTE AS g FROM {table}) GROUP BY g)"""
+
+    return o.select(
+        f"""SELECT 'queue_backlog' AS rule, 'warning' AS severity, since, until, value FROM (
              SELECT min(m) FILTER (WHERE depth > 100) AS since, max(m) AS until, CAST(max(depth) AS DOUBLE) AS value
              FROM depth_runs GROUP BY g) WHERE since IS NOT NULL AND until - since >= INTERVAL 5 MINUTE
            UNION ALL
@@ -1007,26 +1015,34 @@ def rate_per_minute(spark, sf):
              SELECT min(m) FILTER (WHERE dead_total > 0) AS since, max(m) AS until, CAST(max(dead_total) AS DOUBLE) AS value
              FROM dead_runs GROUP BY g) WHERE since IS NOT NULL AND until - since >= INTERVAL 1 MINUTE
            UNION ALL
-           SELECT 'collector_blocked', 'critical', b, b + INTERVAL 6 HOUR, CAST(n AS DOUBLE)
-           FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts) AS b, count(*) AS n FROM runs WHERE outcome = '403_forbidden'
-                 GROUP BY 1) WHERE n > 5
+           SELECT 'collector_blocked', 'critical', since, until, value FROM {runs_of("blk")}
            UNION ALL
-           SELECT 'high_latency', 'warning', window_start, window_start + INTERVAL 6 HOUR, round(v, 6)
-           FROM (SELECT window_start, """
-        + _q(0.95)
-        + """ AS v FROM tot t) WHERE v > 60""",
+           SELECT 'high_latency', 'warning', since, until, round(value, 6) FROM {runs_of("lat")}
+           WHERE until - since >= INTERVAL 5 MINUTE""",
         o.TASKS,
         o.RUNS,
-        LATENCY.format(minutes=360),
-        """mins AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS m,
+        f"""ends AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) + k * INTERVAL 1 MINUTE AS t, outcome, duration_s
+                     FROM runs, range({minutes}) AS x(k)),
+           blk AS (SELECT t, count(*) AS v FROM ends WHERE outcome = '403_forbidden' GROUP BY t HAVING count(*) > 5),
+           lat AS (SELECT * FROM (SELECT t, CASE {cases} ELSE {float(cuts[-1])} END AS v
+                                  FROM (SELECT t, count(*) * CAST(0.95 AS DOUBLE) AS r, {counts} FROM ends GROUP BY t)) WHERE v > 60),
+           mins AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS m,
                     sum(CASE event WHEN 'pushed' THEN 1 WHEN 'started' THEN -1 ELSE 0 END) AS d,
                     sum(CASE WHEN event = 'dead' THEN 1 ELSE 0 END) AS dead FROM tasks GROUP BY 1),
            cumd AS (SELECT m, sum(d) OVER (ORDER BY m) AS depth, sum(dead) OVER (ORDER BY m) AS dead_total FROM mins),
            depth_runs AS (SELECT *, sum(CASE WHEN depth > 100 THEN 0 ELSE 1 END) OVER (ORDER BY m) AS g FROM cumd),
            dead_runs AS (SELECT *, sum(CASE WHEN dead_total > 0 THEN 0 ELSE 1 END) OVER (ORDER BY m) AS g FROM cumd)""",
     )
-)
+
+
+@query(_ops_sql(360))
 def ops_alerts(spark, sf):
     """Operation rules; the thin log is judged per six hours."""
     rows = tasks.operation_alerts(driver.task_events(spark, sf), driver.run_log(spark, sf), minutes=360)
     return rounded(rows, "value")
+
+
+@query(_ops_sql(5))
+def ops_alerts_5m(spark, sf):
+    """Operation rules over windows of five minutes."""
+    return rounded(tasks.operation_alerts(driver.task_events(spark, sf), driver.run_log(spark, sf)), "value")

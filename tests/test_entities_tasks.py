@@ -195,7 +195,7 @@ def test_operation_alerts(spark):
     pushes = [(f"t{i}", i, "pushed", 0, 0) for i in range(101)]
     held = events(spark, *pushes, ("q", 1, "pushed", 3, 0), ("q2", 2, "pushed", 6, 0), *[(f"t{i}", i, "started", 7, 0) for i in range(50)])
     brief = events(spark, *pushes, *[(f"t{i}", i, "started", 2, 0) for i in range(50)])
-    runs = log(spark, *[("n", 0, "403_forbidden", 100.0)] * 6)
+    runs = log(spark, *[("n", 0, "403_forbidden", 100.0)] * 6, *[("n", i, "ok", 100.0) for i in range(1, 6)])
     calm = log(spark, *[("n", 0, "403_forbidden", 1.0)] * 5)
     assert rows(tasks.operation_alerts(held, runs), "rule") == [("collector_blocked",), ("high_latency",), ("queue_backlog",)]
     assert tasks.operation_alerts(brief, calm).count() == 0
