@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,20 +12,36 @@ from marketebb.functions import times
 from marketebb.functions.measures import hot_score
 
 KINDS = ("hot", "inflow", "outflow")
-MAX_BOARD = 100
 
 
-def board_window(hours: int) -> int:
-    """Window actually used: 1..23 hours, 24 (yesterday) or 168 (last full week)."""
-    if hours <= 0:
-        return 24
-    if hours >= 168:
-        return 168
-    return 24 if hours >= 24 else hours
+class Request(NamedTuple):
+    """What a list or board is asked for."""
 
+    hours: int
+    limit: int
+    page: int
+    size: int
+    last: int
 
-def board_limit(limit: int) -> int:
-    return 10 if limit <= 0 else min(limit, MAX_BOARD)
+
+def normalise_request(
+    hours: int = 24, limit: int = 10, page: int = 1, size: int = 20, last: int = 24, most: int = 100, most_hours: int = 168
+) -> Request:
+    """The request rules of a public list, for callers that want them; the operators themselves have no bounds.
+
+    A board is over 1..23 hours, 24 (yesterday) or 168 (last full week); sizes that are not positive take their default,
+    larger ones the given maximum.
+    """
+    window = 24 if hours <= 0 else 168 if hours >= 168 else min(hours, 24)
+    return Request(
+        window, 10 if limit <= 0 else min(limit, most), max(page, 1), 20 if size <= 0 else min(size, most), 24 if last <= 0 else min(last, most_hours)
+    )
+
+
+def positive(name: str, value: int) -> int:
+    if value < 1:
+        raise ValueError(f"{name} must be positive, not {value}")
+    return value
 
 
 def hour_board_rows(hours: DataFrame, start, end) -> DataFrame:
@@ -57,9 +74,9 @@ def top_k(rows: DataFrame, kind: str = "hot", limit: int = 10) -> DataFrame:
         rows.filter((F.col("inflow") > 0) | (F.col("outflow") > 0))
         .withColumn("score", score)
         .orderBy(F.desc("score"), "ip_id")
-        .limit(board_limit(limit))
+        .limit(positive("limit", limit))
     )
-    # At most MAX_BOARD rows are left for this window.
+    # no more than the rows asked for meet in this window
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "ip_id"))
     return best.withColumn("rank", rank.cast("long"))
 
@@ -82,19 +99,20 @@ def leaderboard(
     day_rows: DataFrame | None = None,
     week_rows: DataFrame | None = None,
 ) -> DataFrame:
-    """Board over the last complete hours, yesterday's day rows or last week's week rows.
+    """Board over the last complete hours (1..23), yesterday's day rows (24) or last week's week rows (168).
 
     An unknown kind counts as "hot".
     """
     kind = kind if kind in KINDS else "hot"
-    window = board_window(hours)
-    if window == 168:
+    if hours not in (*range(1, 25), 168):
+        raise ValueError(f"no board covers {hours} hours")
+    if hours == 168:
         rows = bucket_board_rows(week_rows, "week_start", times.last_full_week(now))
-    elif window == 24:
+    elif hours == 24:
         rows = bucket_board_rows(day_rows, "date_bucket", times.yesterday(now))
     else:
         end = times.current_hour(now)
-        rows = hour_board_rows(hour_rows, end - timedelta(hours=window), end)
+        rows = hour_board_rows(hour_rows, end - timedelta(hours=hours), end)
     return with_names(top_k(rows, kind, limit), metadata)
 
 
@@ -111,9 +129,8 @@ def dashboard_totals(hot: DataFrame, inflow: DataFrame, outflow: DataFrame) -> D
     )
 
 
-def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20, most: int = 100) -> DataFrame:
+def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:
     """One page of an ordered list, with the size of the whole list in ``total``."""
-    size = min(size if size > 0 else 20, most)
     total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
+    rows = df.orderBy(*order).offset((positive("number", number) - 1) * positive("size", size)).limit(size)
     return rows.withColumn("total", total)

@@ -116,9 +116,7 @@ def apply_import(entities: DataFrame, plan: DataFrame, upsert: bool = True) -> D
     else:
         kept = entities
     top = entities.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    fresh = global_rank(
-        plan.filter("outcome = 'created'"), {"prefix": F.substring("name", 1, 4)}, [F.col("name")]
-    )
+    fresh = global_rank(plan.filter("outcome = 'created'"), [F.col("name")])
     fresh = fresh.withColumn("id", F.col("position") + top).select(
         *[F.col(c) for c in entities.columns if c in fresh.columns]
     )

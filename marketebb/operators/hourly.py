@@ -168,11 +168,10 @@ def latest_hour(hours: DataFrame, entities: DataFrame, now=None) -> DataFrame:
     )
 
 
-def last_hours(hours: DataFrame, n: int = 24, most: int = 168) -> DataFrame:
-    """The newest ``n`` hour rows of each entity (a per-key limit applied before the shuffle); 0 is 24."""
-    n = n if n > 0 else 24
+def last_hours(hours: DataFrame, n: int = 24) -> DataFrame:
+    """The newest ``n`` hour rows of each entity (a per-key limit applied before the shuffle)."""
     w = Window.partitionBy("ip_id").orderBy(F.desc("hour_bucket"))
-    return hours.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= min(n, most))
+    return hours.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
 
 
 def hours_between(hours: DataFrame, start=None, end=None, closed: bool = True) -> DataFrame:

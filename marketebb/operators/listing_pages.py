@@ -118,8 +118,8 @@ def cells(pages: DataFrame) -> DataFrame:
     return marked.mapInPandas(parse, f"page_id long, pos int, {CELL_SCHEMA}")
 
 
-def items(pages: DataFrame, limit: int = 120) -> DataFrame:
-    """Items of result pages: the first of each listing id on a page, at most ``limit`` per page.
+def items(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Items of result pages: the first of each listing id on a page, with a ``limit`` at most so many per page.
 
     Cells without a link or a price are place holders and drop out.
     """
@@ -149,14 +149,16 @@ def items(pages: DataFrame, limit: int = 120) -> DataFrame:
     )
 
 
-def first_per_page(found: DataFrame, limit: int = 120) -> DataFrame:
-    """First row of each source_id on a page, then the first ``limit`` ids of the page by position.
+def first_per_page(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """First row of each source_id on a page, with a ``limit`` only the first ids of the page by position.
 
     Copies combine before the shuffle, and the per-page limit is applied on both sides of it.
     """
     fields = [c for c in found.columns if c not in ("page_id", "source_id")]
     first = found.groupBy("page_id", "source_id").agg(F.min_by(F.struct(*fields), "pos").alias("f"))
     flat = first.select("page_id", "source_id", "f.*")
+    if limit is None:
+        return flat
     w = Window.partitionBy("page_id").orderBy("pos", "source_id")
     return flat.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= limit).drop("rn")
 

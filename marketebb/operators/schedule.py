@@ -14,7 +14,6 @@ from marketebb.operators.slices import global_rank
 BASE_S, MIN_S, MAX_S = 7200, 3600, 7200
 STAGGER_S = 10
 SLOT_MINUTES = 15
-ID_BLOCK = 65_536
 
 
 def active(entities: DataFrame) -> DataFrame:
@@ -28,7 +27,7 @@ def initial(
 
     Entities never observed or already due start at now + 10 s x position among the active ones.
     """
-    placed = global_rank(active(entities), {"block": F.floor(F.col("id") / ID_BLOCK)}, [F.col("id")])
+    placed = global_rank(active(entities), [F.col("id")])
     regular = times.plus_micros(F.col("last_crawled_at"), interval_us(F.col("weight"), base, low, high))
     staggered = times.plus_seconds(times.ntz(now), (F.col("position") - 1) * STAGGER_S)
     return placed.select(
@@ -55,17 +54,10 @@ def due(schedule: DataFrame, now: datetime) -> DataFrame:
 
 
 def due_batches(schedule: DataFrame, now: datetime, size: int = 50) -> DataFrame:
-    """Due entities numbered into batches of ``size`` (10 if not positive), earliest first.
-
-    Times lie on slots or 10 s steps, so (time, id block) buckets are few and ranks stay distributed.
-    """
+    """Due entities numbered into batches of ``size`` (10 if not positive), earliest first."""
     size = size if size > 0 else 10
     waiting = schedule.filter(F.col("next_at") <= times.ntz(now))
-    ranked = global_rank(
-        waiting,
-        {"at": F.col("next_at"), "block": F.floor(F.col("ip_id") / ID_BLOCK)},
-        [F.col("ip_id")],
-    )
+    ranked = global_rank(waiting, [F.col("next_at"), F.col("ip_id")])
     return ranked.withColumn("batch", F.ceil(F.col("position") / size).cast("long"))
 
 

@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketebb.session import stage
+
 
 def carry(
     df: DataFrame,
@@ -102,30 +104,14 @@ def previous(
     ).drop("__here", "__before")
 
 
-def global_rank(
-    df: DataFrame,
-    coarse: dict[str, Column],
-    order: Sequence[Column],
-    name: str = "position",
-    order_coarse: Sequence[Column] | None = None,
-) -> DataFrame:
+def global_rank(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
     """1-based position of each row in one total order, without one global sort task.
 
-    ``coarse`` are expressions that cut the order into consecutive buckets; sorting by them first
-    must not change the order. Only bucket counts meet in a single task.
+    The rows are range-partitioned by the order and written once; only the number of rows of each partition meets in a
+    single task. Ties of the order share a partition, so end it with a unique column where ties may be many.
     """
-    names = list(coarse)
-    cut = df.select("*", *[c.alias(n) for n, c in coarse.items()])
-    counts = cut.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
-    ahead = counts.withColumn(
-        "__ahead",
-        F.coalesce(
-            F.sum("__n").over(
-                Window.orderBy(*(order_coarse or names)).rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            F.lit(0),
-        ),
-    ).drop("__n")
-    joined = cut.join(ahead, names, "inner")
-    local = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
-    return joined.withColumn(name, local + F.col("__ahead")).drop("__ahead", *names)
+    cut = stage(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranked")
+    counts = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__ahead"))
+    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    return cut.join(ahead, "__part").withColumn(name, local + F.col("__ahead")).drop("__ahead", "__part")

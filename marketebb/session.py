@@ -29,11 +29,14 @@ def build_session(app: str = "marketebb", master: str | None = None, **conf: str
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
-    On a cluster that setting names shared storage. Only where it is unset, as in a local
-    test, a machine-local temporary folder is used.
+    On a cluster that setting must name shared storage. Where it is unset in a session that has
+    one process (a local test), a temporary folder of the machine is used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="marketebb-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

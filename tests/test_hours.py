@@ -241,7 +241,7 @@ def meta(spark):
     ("asked", "used"), [(0, 24), (-3, 24), (1, 1), (23, 23), (24, 24), (30, 24), (167, 24), (168, 168), (500, 168)]
 )
 def test_board_window(asked, used):
-    assert boards.board_window(asked) == used
+    assert boards.normalise_request(hours=asked).hours == used
 
 
 def test_boards_choose_their_source(meta, hours, spark):
@@ -255,7 +255,7 @@ def test_boards_choose_their_source(meta, hours, spark):
         "ip_id long, week_start date, total_inflow long, total_outflow long",
     )
     for asked in (0, 24, 30, 167):
-        got = boards.leaderboard("hot", asked, 10, now, meta, hours, days, weeks)
+        got = boards.leaderboard("hot", boards.normalise_request(hours=asked).hours, 10, now, meta, hours, days, weeks)
         assert rows(got, "rank", "ip_id", "inflow", "ip_name") == [(1, 1, 3, "one")]
     assert boards.leaderboard("other", 24, 10, now, meta, hours, days, weeks).first()["score"] > 2
     week = boards.leaderboard("inflow", 168, 10, now, meta, hours, days, weeks)
@@ -268,8 +268,11 @@ def test_boards_choose_their_source(meta, hours, spark):
 def test_board_limits_and_ties(spark):
     data = spark.createDataFrame([(i, 1, 1) for i in range(150)], "ip_id long, inflow long, outflow long")
     assert rows(boards.top_k(data, "hot", 3), "ip_id", "rank") == [(0, 1), (1, 2), (2, 3)]
-    assert boards.top_k(data, "hot", 0).count() == 10
-    assert boards.top_k(data, "hot", 5000).count() == 100
+    assert boards.top_k(data, "hot", 5000).count() == data.count()
+    with pytest.raises(ValueError, match="positive"):
+        boards.top_k(data, "hot", 0)
+    assert boards.normalise_request(limit=0, size=0, page=0, last=0) == (24, 10, 1, 20, 24)
+    assert boards.normalise_request(500, 5000, 7, 1000, 999) == (168, 100, 7, 100, 168)
     with pytest.raises(ValueError):
         boards.top_k(data, "cold")
 
@@ -286,5 +289,6 @@ def test_page(spark):
     df = spark.range(45)
     got = boards.page(df, [F.desc("id")], 3, 20).collect()
     assert [r["id"] for r in got] == [4, 3, 2, 1, 0] and {r["total"] for r in got} == {45}
-    assert boards.page(df, [F.col("id")], 0, 0).count() == 20
-    assert boards.page(spark.range(300), [F.col("id")], 1, 1000).count() == 100
+    assert boards.page(spark.range(300), [F.col("id")], 1, 1000).count() == 300
+    with pytest.raises(ValueError, match="positive"):
+        boards.page(df, [F.col("id")], 0, 20)
