@@ -13,9 +13,10 @@ a document weigh ``1 + REPEAT``, others 1: this never moves a pair of similarity
 Joining. Copies of one text are folded into one node first (digest of the text). Nodes that share a band of ``ROWS``
 coordinates form a bucket. Buckets are not expanded into pairs: in each of ``LEADER_ROUNDS`` rounds a node is compared
 with one leader of its buckets whose class it is not in, which collapses groups of copies with a linear number of
-comparisons. What then still stands in a bucket in different classes is compared pair by pair if it shares at least
-``SHARED`` bands (a pair at 0.8 fails this, or shares no band at all, with a probability under 0.001). Every link is
-verified on the full shingle sets.
+comparisons. What then still stands in a bucket in different classes is compared pair by pair, but for pairs that cannot
+reach the similarity: the shingles that only one of these texts has bound every intersection (exact), and a pair must share
+at least ``SHARED`` bands (a pair at 0.8 fails this, or shares no band at all, with a probability under 0.001). Every link
+is verified on the full shingle sets.
 
 Nulls and ties: null and word-less texts form classes of their own row group (equal texts stay apart unless they have
 words); rows with equal doc_id are rows like others; a class is named by its least doc_id (null if it has none).
@@ -23,6 +24,7 @@ words); rows with equal doc_id are rows like others; a class is named by its lea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,71 +39,69 @@ from marketebb.llm.shared import stage
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS, SHARED, LEADER_ROUNDS = 42, 6, 3, 3
 REPEAT = 0.25
-#: The lowest layer of ranks is [0, 2**LOWEST), the next are [2**i, 2**(i+1)).
-LOWEST = -10
+#: The lowest layer of ranks ends at 2**LOWEST, each further one at the next half power of two.
+LOWEST = -10.0
 
 
-def _unit(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
-
-
-def _throw(h: np.ndarray, x0: float, width: float, layer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Darts of elements in weights [x0, x0 + width) and one layer of ranks: element, weight, rank, hash.
+def _throw(h: np.ndarray, x0: float, width: float, low: float, high: float, layer: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Darts of elements in weights [x0, x0 + width) and one layer of ranks: element, rank, hash.
 
     The layer is cut into cells of at most one expected dart; the number in a cell follows from the cell's hash.
     """
-    low, high = (0.0, 2.0**LOWEST) if layer < LOWEST else (2.0**layer, 2.0 ** (layer + 1))
     cells = max(1, int(np.ceil(width * (high - low))))
     mean = width * (high - low) / cells
-    steps, p, total = [], np.exp(-mean), 0.0
+    steps, p, total = [], math.exp(-mean), 0.0
     for n in range(1, 12):
         total += p
-        steps.append(total)
+        steps.append(np.uint64(min(int(total * 2.0**64), (1 << 64) - 1)))
         p *= mean / n
-    found = []
-    for c in range(cells):
-        key = np.uint64((((layer + 64) << 32) + (c << 8) + int(x0 * 4)) * 0x9E3779B97F4A7C15 % (1 << 64))
-        cell = W.mix(h ^ key)
-        n = np.searchsorted(steps, _unit(cell), "right")
-        at = np.flatnonzero(n)
-        for d in range(int(n.max(initial=0))):
-            own = at[n[at] > d]
-            dart = W.mix(cell[own] + np.uint64((d + 1) * 0xD1B54A32D192ED03 % (1 << 64)))
-            x = x0 + width * _unit(W.mix(dart ^ np.uint64(0xA24BAED4963EE407)))
-            y = low + (high - low) * (c + _unit(W.mix(dart ^ np.uint64(0x9FB21C651E98DF25)))) / cells
-            found.append((own, x, y, dart))
-    return tuple(np.concatenate(z) for z in zip(*found, strict=True)) if found else tuple(np.zeros(0, t) for t in (np.int64, float, float, np.uint64))
+    elements, ranks, darts = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.uint64)]
+    at_once = max(1, 100_000 // max(len(h), 1))
+    for first in range(0, cells, at_once):
+        c = np.arange(first, min(first + at_once, cells), dtype=np.uint64)
+        keys = (np.uint64((layer << 48) + int(x0 * 4)) + (c << np.uint64(16))) * np.uint64(0x9E3779B97F4A7C15)
+        cell = W.mix((h[:, None] ^ keys).reshape(-1))
+        own = np.flatnonzero(cell >= steps[0])
+        for d in range(1, 12):
+            if not len(own):
+                break
+            dart = W.mix(cell[own] + np.uint64(d * 0xD1B54A32D192ED03 % (1 << 64)))
+            elements.append(own // len(c))
+            ranks.append(low + (high - low) * (first + own % len(c) + (dart >> np.uint64(24)) * 2.0**-40) / cells)
+            darts.append(dart)
+            own = own[cell[own] >= steps[d]] if d < 11 else own[:0]
+    return np.concatenate(elements), np.concatenate(ranks), np.concatenate(darts)
 
 
 def dart_minhash(row: np.ndarray, h: np.ndarray, weight: np.ndarray, n_rows: int, k: int) -> np.ndarray:
     """(n_rows, k) values for rows of weighted elements (row ascending, hash, weight above 0). Rows without any are 0."""
-    out = np.zeros((n_rows, k), np.uint64)
+    out, best = np.zeros(n_rows * k, np.uint64), np.full(n_rows * k, np.inf)
     norm = np.bincount(row, weight, n_rows)
     want = np.divide(k * np.log(k) + 2 * k, norm, out=np.zeros(n_rows), where=norm > 0)
-    top = np.where(norm > 0, np.ceil(np.log2(np.maximum(want, 2.0**LOWEST))), LOWEST).astype(int)
-    best = np.full(n_rows * k, np.inf)
-    open_, layer, heaviest = norm > 0, LOWEST - 1, float(weight.max(initial=0))
+    open_, layer, low, heaviest = norm > 0, 0, 0.0, float(weight.max(initial=0))
     while open_.any():
+        high = 2.0 ** (LOWEST + layer / 2)
         use = np.flatnonzero(open_[row])
         x0, width = 0.0, 1.0
         while x0 < heaviest:  # cells of weight: [0, 1), then [1, 1.25), [1.25, 1.75), [1.75, 2.75) and so on
-            deep = use[weight[use] > x0]
-            own, x, y, dart = _throw(h[deep], x0, width, layer)
+            deep = use if x0 == 0 else use[weight[use] > x0]
+            own, y, dart = _throw(h[deep], x0, width, low, high, layer)
             own = deep[own]
-            keep = x < weight[own]
-            own, y, dart = own[keep], y[keep], dart[keep]
-            spot = row[own] * k + (dart % np.uint64(k)).astype(np.int64)
-            order = np.lexsort((dart, y, spot))
-            spot, y, dart = spot[order], y[order], dart[order]
-            lead = np.flatnonzero(np.concatenate([[True], spot[1:] != spot[:-1]]))[: len(spot)]
-            spot, y, dart = spot[lead], y[lead], dart[lead]
-            better = y < best[spot]
-            best[spot[better]] = y[better]
-            out.reshape(-1)[spot[better]] = W.mix(dart[better])
+            part = np.flatnonzero(weight[own] < x0 + width)
+            if len(part):  # of a cell that the weight reaches into, only darts below it count
+                x = x0 + width * (W.mix(dart[part]) >> np.uint64(11)) * 2.0**-53
+                keep = np.ones(len(own), bool)
+                keep[part[x >= weight[own[part]]]] = False
+                own, y, dart = own[keep], y[keep], dart[keep]
+            spot = row[own] * k + (((dart & np.uint64(0xFFFFFF)) * np.uint64(k)) >> np.uint64(24)).astype(np.int64)
+            np.minimum.at(best, spot, y)
+            won = y == best[spot]
+            out[spot[won]] = dart[won]
             x0, width = x0 + width, 0.25 if x0 == 0 else 2 * width
-        layer += 1
-        open_ &= (top > layer) | np.isinf(best.reshape(n_rows, k)).any(axis=1)
-    return out
+        low, layer = high, layer + 1
+        late = np.flatnonzero(open_ & (want <= high))
+        open_[late] = np.isinf(best.reshape(n_rows, k)[late]).any(axis=1)
+    return out.reshape(n_rows, k)
 
 
 def elements(ws: W.Words, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -192,6 +192,26 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary")
 
 
+def linkable(sets: DataFrame, keys: DataFrame, similar: float) -> DataFrame:
+    """(key, n, common) of those texts that can have a link among the keys.
+
+    ``common`` counts the shingles that another of them has too. The intersection of two texts is no larger than the lesser
+    ``common``, so a text needs ``common >= similar * n`` for any link, and a pair the bound that the join applies.
+    """
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, own in zip(b.column("key"), b.column("shingles"), strict=True):
+                h = np.frombuffer(own.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(h), pa.binary()), pa.array(h)], ["key", "s"])
+
+    own = stage(sets.join(keys, "key").select("key", "shingles"), "own")
+    each = own.mapInArrow(flat, "key binary, s long")
+    seen = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1").select("s")
+    common = each.join(seen, "s").groupBy("key").agg(F.count("*").alias("common"))
+    return own.select("key", F.expr("octet_length(shingles) div 8").alias("n")).join(common, "key").where(F.col("common") >= similar * F.col("n") - 1e-6)
+
+
 def _join_classes(have: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label) after links between labels."""
     merged = components(links)
@@ -225,10 +245,14 @@ def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows:
             pairs = stage(met.select(F.col("key").alias("a"), F.col("p.leader").alias("b"), F.col("p.la").alias("la"), F.col("p.lb").alias("lb")), "pairs")
             mixed = stage(now.join(lead.select("h"), "h").select("h", "key"), "mixed")
         else:
-            rest = now.join(lead.select("h"), "h").join(texts.select("key", "bands"), "key")
-            one, two = (rest.select("h", F.col("key").alias(k), F.col("label").alias(f"l{k}"), F.col("bands").alias(f"b{k}")) for k in "ab")
-            meet = (F.col("la") != F.col("lb")) & (F.col("a") < F.col("b")) & (F.size(F.array_intersect("ba", "bb")) >= shared)
-            pairs = stage(one.join(two, "h").where(meet).select("a", "b", "la", "lb").distinct(), "pairs")
+            rest = now.join(lead.select("h"), "h").join(linkable(sets, now.join(lead.select("h"), "h").select("key").distinct(), similar), "key")
+            rest = stage(rest, "rest").join(texts.select("key", "bands"), "key")
+            one, two = (rest.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "bands", "n", "common"))) for k in "ab")
+            meet = (F.col("label_a") != F.col("label_b")) & (F.col("key_a") < F.col("key_b"))
+            meet &= F.least("common_a", "common_b") * (1 + similar) >= (F.col("n_a") + F.col("n_b")) * similar - 1e-6
+            meet &= F.size(F.array_intersect("bands_a", "bands_b")) >= shared
+            pairs = one.join(two, "h").where(meet).select(*(F.col(c).alias(n) for c, n in (("key_a", "a"), ("key_b", "b"), ("label_a", "la"), ("label_b", "lb"))))
+            pairs = stage(pairs.distinct(), "pairs")
         found = verified(pairs.select("a", "b"), sets, similar).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
         found = stage(found.distinct(), "links")
         if found.isEmpty():
