@@ -11,9 +11,9 @@ that of the words plus a constant, not words times k. Coordinates that stay empt
 a document weigh ``1 + REPEAT``, others 1: this never moves a pair of similarity s below s / (1 + REPEAT).
 
 Joining. Copies of one text are folded into one node first (digest of the text). Nodes that share a band of ``ROWS``
-coordinates form a bucket. Buckets are not expanded into pairs: in each of ``LEADER_ROUNDS`` rounds a node is compared
-with one leader of its buckets whose class it is not in, which collapses groups of copies with a linear number of
-comparisons. What then still stands in a bucket in different classes is compared pair by pair, but for pairs that cannot
+coordinates form a bucket. Nodes that have too few shingles in common with any other node to be similar to one go at
+once. Buckets are not expanded into pairs: in each of ``LEADER_ROUNDS`` rounds a node is compared with one leader of its
+buckets whose class it is not in, which collapses groups of copies with a linear number of comparisons. What then still stands in a bucket in different classes is compared pair by pair, but for pairs that cannot
 reach the similarity: the shingles that only one of these texts has bound every intersection (exact), and a pair must share
 at least ``SHARED`` bands (a pair at 0.8 fails this, or shares no band at all, with a probability under 0.001). Every link
 is verified on the full shingle sets.
@@ -25,20 +25,22 @@ words); rows with equal doc_id are rows like others; a class is named by its lea
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketebb.llm import words as W
 from marketebb.llm.components import components
-from marketebb.llm.shared import stage
+from marketebb.llm.shared import discard, fresh, stage
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS, SHARED, LEADER_ROUNDS = 42, 6, 3, 3
 REPEAT = 0.25
+#: Size of the filter of shared shingles, as a power of two of bits; raise it with the corpus.
+FILTER_BITS = 26
 #: The lowest layer of ranks ends at 2**LOWEST, each further one at the next half power of two.
 LOWEST = -10.0
 
@@ -121,9 +123,9 @@ def elements(ws: W.Words, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarra
     return row[first], h[first], np.diff(np.concatenate([first, [len(h)]]))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """With ``key``, the digest of the text that stands for all its copies."""
-    return docs.withColumn("key", F.unhex(F.md5(F.col("text").cast("binary"))))
+def digest() -> Column:
+    """The digest of the text; it stands for all copies of the text."""
+    return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, repeat: float = REPEAT) -> DataFrame:
@@ -146,7 +148,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, repeat: fl
                 )
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>"
-    return keyed(docs).select("doc_id", "key", "text").mapInArrow(sign, schema)
+    return docs.select("doc_id", digest().alias("key"), "text").mapInArrow(sign, schema)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFrame:
@@ -168,7 +170,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, bits: int = 24) -> DataFram
                 own = [h[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("key").slice(first, ws.n_rows), b.column("x").slice(first, ws.n_rows), pa.array(own, pa.binary())], ["key", "x", "shingles"])
 
-    found = keyed(docs).select("key", F.xxhash64("key", "doc_id").alias("x"), "text").mapInArrow(sets, "key binary, x long, shingles binary")
+    found = docs.select("doc_id", digest().alias("key"), "text").select("key", F.xxhash64("key", "doc_id").alias("x"), "text").mapInArrow(sets, "key binary, x long, shingles binary")
     return found.join(wanted.select("key", "x"), ["key", "x"]).drop("x").dropDuplicates(["key"])
 
 
@@ -192,79 +194,115 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: float = SIMILAR) -> Dat
     return both.select("a", "b", "sa", "sb").mapInArrow(check, "a binary, b binary")
 
 
-def linkable(sets: DataFrame, keys: DataFrame, similar: float) -> DataFrame:
-    """(key, n, common) of those texts that can have a link among the keys.
+def _hashes(column: str, schema: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Every shingle as a row ``s``, with the key if the schema has it."""
+
+    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, own in enumerate(b.column(column)):
+                h = pa.array(np.frombuffer(own.as_py(), np.int64))
+                if "key" in schema:
+                    yield pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(np.zeros(len(h), np.int32), b.column("key").slice(i, 1)).cast(pa.binary()), h], ["key", "s"])
+                else:
+                    yield pa.RecordBatch.from_arrays([h], ["s"])
+
+    return flat
+
+
+def promising(sets: DataFrame, similar: float, bits: int) -> DataFrame:
+    """(key, n, common) of the texts that can have a link: n shingles, of which another text has ``common`` at most.
 
-    ``common`` counts the shingles that another of them has too. The intersection of two texts is no larger than the lesser
-    ``common``, so a text needs ``common >= similar * n`` for any link, and a pair the bound that the join applies.
+    No intersection is larger than the lesser ``common`` of its texts, so a link needs ``common >= similar * n`` in both. The
+    shared shingles stand in a filter of fixed size; what it lets through by chance only raises ``common``.
     """
+    shared = sets.select("shingles").mapInArrow(_hashes("shingles", "s long"), "s long").groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    known = sets.sparkSession.sparkContext.broadcast(W.filter_bits(shared, "s", bits))
 
-    def flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, own in zip(b.column("key"), b.column("shingles"), strict=True):
-                h = np.frombuffer(own.as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(h), pa.binary()), pa.array(h)], ["key", "s"])
+            own = [np.frombuffer(x.as_py(), np.uint64) for x in b.column("shingles")]
+            common = [int(W.passes(known.value, h).sum()) for h in own]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([len(h) for h in own], pa.int64()), pa.array(common, pa.int64())], ["key", "n", "common"])
+
+    rows = sets.select("key", "shingles").mapInArrow(count, "key binary, n long, common long")
+    return rows.where(F.col("common") >= similar * F.col("n") - 1e-6)
+
 
+def linkable(sets: DataFrame, keys: DataFrame, similar: float) -> DataFrame:
+    """As ``promising``, exactly and among the given texts alone."""
     own = stage(sets.join(keys, "key").select("key", "shingles"), "own")
-    each = own.mapInArrow(flat, "key binary, s long")
+    each = own.mapInArrow(_hashes("shingles", "key s"), "key binary, s long")
     seen = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1").select("s")
     common = each.join(seen, "s").groupBy("key").agg(F.count("*").alias("common"))
     return own.select("key", F.expr("octet_length(shingles) div 8").alias("n")).join(common, "key").where(F.col("common") >= similar * F.col("n") - 1e-6)
 
 
 def _join_classes(have: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label) after links between labels."""
+    """(node, label) after links (a, b) between labels."""
     merged = components(links)
     old = have.join(merged.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left")
-    old = old.select("node", F.coalesce("new", "label").alias("label"))
-    return old
+    return stage(old.select("node", F.coalesce("new", "label").alias("label")), "classes")
+
 
+def _leader_pairs(now: DataFrame, mixed: DataFrame, turn: int) -> DataFrame:
+    """(a, b, la, lb): each text of a mixed bucket with one leader, the one it meets in most of its buckets.
 
-def classes(docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, shared: int = SHARED, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
+    The first leader of a bucket is the text that has most of its shingles in common with others, the likely original of a
+    group of copies; later ones are random.
+    """
+    order = F.struct(-F.col("share") if turn == 0 else F.xxhash64(F.lit(turn), "label"), F.struct("label", "key").alias("v"))
+    lead = now.join(mixed, "h").groupBy("h").agg(F.min(order.alias("o")).alias("lead")).select("h", F.col("lead.v.key").alias("b"), F.col("lead.v.label").alias("lb"))
+    met = now.join(lead, "h").where("label <> lb").groupBy("key", "b").agg(F.count("*").alias("n"), F.first("label").alias("la"), F.first("lb").alias("lb"))
+    return met.groupBy("key").agg(F.max(F.struct("n", "b", "la", "lb")).alias("p")).select(F.col("key").alias("a"), "p.b", "p.la", "p.lb")
+
+
+def _rest_pairs(now: DataFrame, mixed: DataFrame, sets: DataFrame, texts: DataFrame, similar: float, shared: int) -> DataFrame:
+    """(a, b, la, lb): the pairs of different classes in a bucket that can be links."""
+    rest = stage(now.join(mixed, "h").select("h", "key", "label"), "rest")
+    bound = stage(linkable(sets, rest.select("key").distinct(), similar).join(texts.select("key", "bands"), "key"), "bound")
+    rest = rest.join(bound, "key")
+    one, two = (rest.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "bands", "n", "common"))) for k in "ab")
+    meet = (F.col("label_a") != F.col("label_b")) & (F.col("key_a") < F.col("key_b"))
+    meet &= F.least("common_a", "common_b") * (1 + similar) >= (F.col("n_a") + F.col("n_b")) * similar - 1e-6
+    meet &= F.size(F.array_intersect("bands_a", "bands_b")) >= shared
+    # of the buckets that a pair shares, the least one stands for it
+    meet &= F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("h")
+    return one.join(two, "h").where(meet).select(*(F.col(c).alias(n) for c, n in (("key_a", "a"), ("key_b", "b"), ("label_a", "la"), ("label_b", "lb")))).distinct()
+
+
+def classes(
+    docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, shared: int = SHARED, leader_rounds: int = LEADER_ROUNDS, bits: int = FILTER_BITS
+) -> DataFrame:
     """One row per document: doc_id, key, class_id, class_key (null for a row without words)."""
     signed = stage(signatures(docs, bands, rows), "signatures")
     texts = stage(signed.where("bands is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "texts")
     buckets = texts.select("key", F.explode("bands").alias("h"))
     full = buckets.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    members = stage(buckets.join(full, "h"), "buckets")
-    nodes = stage(members.select("key").distinct(), "nodes")
-    sets = stage(shingle_sets(docs, texts.join(nodes, "key").select("key", "doc_id")), "sets")
-    have = nodes.select(F.col("key").alias("node"), F.col("key").alias("label"))
-    links: DataFrame | None = None
-    mixed = members
+    met = stage(buckets.join(full, "h"), "buckets")
+    sets = stage(shingle_sets(docs, texts.join(met.select("key").distinct(), "key").select("key", "doc_id")), "sets")
+    nodes = stage(promising(sets, similar, bits).select("key", (F.col("common") / F.col("n")).alias("share")), "nodes")
+    members = stage(met.join(nodes, "key"), "members")
+    discard(met)
+    have = stage(nodes.select(F.col("key").alias("node"), F.col("key").alias("label")), "classes")
     for turn in range(leader_rounds + 1):
-        now = stage(mixed.join(have, mixed.key == have.node).select("h", "key", "label"), "members")
-        turned = F.struct(F.xxhash64(F.lit(turn), "label").alias("o"), F.struct("label", "key").alias("v"))
-        lead = now.groupBy("h").agg(F.min(turned).alias("lead"), F.max(turned).alias("last")).where("lead.v.label <> last.v.label")
-        if turn < leader_rounds:
-            lead = lead.select("h", F.col("lead.v.key").alias("leader"), F.col("lead.v.label").alias("leader_label"))
-            pairs = now.join(lead, "h").where("label <> leader_label")
-            # one leader for each node: the one it meets in most buckets
-            met = pairs.groupBy("key", "leader").agg(F.count("*").alias("n"), F.first("label").alias("la"), F.first("leader_label").alias("lb"))
-            met = met.groupBy("key").agg(F.max(F.struct("n", "leader", "la", "lb")).alias("p"))
-            pairs = stage(met.select(F.col("key").alias("a"), F.col("p.leader").alias("b"), F.col("p.la").alias("la"), F.col("p.lb").alias("lb")), "pairs")
-            mixed = stage(now.join(lead.select("h"), "h").select("h", "key"), "mixed")
-        else:
-            rest = now.join(lead.select("h"), "h").join(linkable(sets, now.join(lead.select("h"), "h").select("key").distinct(), similar), "key")
-            rest = stage(rest, "rest").join(texts.select("key", "bands"), "key")
-            one, two = (rest.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "bands", "n", "common"))) for k in "ab")
-            meet = (F.col("label_a") != F.col("label_b")) & (F.col("key_a") < F.col("key_b"))
-            meet &= F.least("common_a", "common_b") * (1 + similar) >= (F.col("n_a") + F.col("n_b")) * similar - 1e-6
-            meet &= F.size(F.array_intersect("bands_a", "bands_b")) >= shared
-            pairs = one.join(two, "h").where(meet).select(*(F.col(c).alias(n) for c, n in (("key_a", "a"), ("key_b", "b"), ("label_a", "la"), ("label_b", "lb"))))
-            pairs = stage(pairs.distinct(), "pairs")
-        found = verified(pairs.select("a", "b"), sets, similar).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        found = stage(found.distinct(), "links")
-        if found.isEmpty():
-            continue
-        have = stage(_join_classes(have, found), "classes")
-    name = (
-        texts.select("key", "doc_id").join(have.select(F.col("node").alias("key"), "label"), "key", "left")
-        .withColumn("label", F.coalesce("label", "key"))
-    )
+        now = stage(members.join(have, members.key == have.node).select("h", "key", "share", "label"), "now")
+        mixed = now.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
+        found_pairs = _leader_pairs(now, mixed, turn) if turn < leader_rounds else _rest_pairs(now, mixed, sets, texts, similar, shared)
+        pairs = stage(found_pairs, "pairs")
+        members_left = stage(now.join(mixed, "h").select("h", "key", "share"), "members")
+        links = verified(pairs.select("a", "b"), sets, similar).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        links = stage(links.distinct(), "links")
+        discard(now, pairs, members)
+        members = members_left
+        if not links.isEmpty():
+            old, have = have, _join_classes(have, links)
+            discard(old)
+        discard(links)
+    name = texts.select("key", "doc_id").join(have.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     first = name.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    name = stage(name.select("key", "label").join(first, "label"), "names")
-    worded = signed.where("bands is not null").select("doc_id", "key").join(name, "key").select("doc_id", "key", "class_id", F.col("label").alias("class_key"))
+    named = stage(name.select("key", "label").join(first, "label"), "names")
+    discard(sets, members, have, nodes, texts)
+    worded = signed.where("bands is not null").select("doc_id", "key").join(named, "key").select("doc_id", "key", "class_id", F.col("label").alias("class_key"))
     alone = signed.where("bands is null").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("class_key"))
     return worded.unionByName(alone)
 
@@ -280,15 +318,16 @@ def keep_one(docs: DataFrame, **how: float) -> DataFrame:
     Rows without words stay all. Texts are not shuffled for the rows of classes of one: those pass an anti join with the
     names of what goes, which is as small as the copies are.
     """
-    columns = docs.columns
     member = stage(classes(docs, **how), "member")
     worded = member.where("class_key is not null")
     size = worded.groupBy("class_key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("stay"))
     many = stage(size.where("n > 1"), "many")
     touched = stage(worded.join(many, "class_key").select("doc_id", "key", "stay").distinct(), "touched")
-    named = keyed(docs)
-    same = named.key.eqNullSafe(F.col("t_key")) & named.doc_id.eqNullSafe(F.col("t_id"))
-    rest = named.join(touched.select(F.col("key").alias("t_key"), F.col("doc_id").alias("t_id")), same, "left_anti")
-    stays = touched.where("stay.key = key and stay.doc_id <=> doc_id").select(F.col("key").alias("t_key"), F.col("doc_id").alias("t_id"))
-    one = named.join(stays, same, "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("key", "doc_id").orderBy(F.lit(0))))
-    return rest.select(columns).unionByName(one.where("nth = 1").select(columns))
+    key, t_key, t_id, nth = fresh(docs, "text_key", "touched_key", "touched_id", "nth")
+    named = docs.withColumn(key, digest())
+    same = F.col(key).eqNullSafe(F.col(t_key)) & F.col("doc_id").eqNullSafe(F.col(t_id))
+    gone = touched.select(F.col("key").alias(t_key), F.col("doc_id").alias(t_id))
+    stays = touched.where("stay.key = key and stay.doc_id <=> doc_id").select(F.col("key").alias(t_key), F.col("doc_id").alias(t_id))
+    rest = named.join(gone, same, "left_anti")
+    one = named.join(stays, same, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key, "doc_id").orderBy(F.lit(0))))
+    return rest.select(docs.columns).unionByName(one.where(F.col(nth) == 1).select(docs.columns))
