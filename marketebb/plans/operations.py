@@ -864,7 +864,7 @@ def _streamed(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
 def stream_push_gate(spark, sf):
     """The one-open-task rule as a stateful stream."""
     events = driver.task_events_of(driver.stream_table(spark, sf, "events"))
-    return _streamed(spark, task_state.push_gate(events), "gate")
+    return _streamed(spark, task_state.push_gate(events), "gate").where("NOT late").drop("late")
 
 
 @query(
@@ -914,7 +914,7 @@ def block_streaks(spark, sf):
 def stream_block_streaks(spark, sf):
     """Block streaks as a stateful stream."""
     log = driver.run_log_of(driver.stream_table(spark, sf, "events"))
-    return _streamed(spark, task_state.block_streak_stream(log, ttl_s=5 * 3600), "streaks")
+    return _streamed(spark, task_state.block_streak_stream(log, ttl_s=5 * 3600), "streaks").where("NOT late").drop("late")
 
 
 @query(

@@ -63,10 +63,11 @@ def process(
         state = spark.createDataFrame([], STATE_DDL)
 
     known = state.select("ip_id", "source_id", "last_seen")
-    horizon = state.agg(F.max("last_seen") - F.lit(lateness)).scalar()
+    # each entity has its own clock: one that runs ahead or is replayed makes no other entity late
+    horizon = state.groupBy("ip_id").agg((F.max("last_seen") - F.lit(lateness)).alias("horizon"))
     checked = (
         seen.join(known, ["ip_id", "source_id"], "left")
-        .withColumn("horizon", horizon)
+        .join(horizon, "ip_id", "left")
         .withColumn(
             "is_late",
             F.coalesce(F.col("crawl_ts") <= F.col("last_seen"), F.lit(False))
@@ -78,9 +79,9 @@ def process(
     sinks.write_batch(late, f"{root}/late", batch_id)
 
     moved = stage(transitions.transitions(fresh, state), "transitions")
-    live = transitions.state_table(moved).filter(
-        F.col("expires_at") > moved.agg(F.max("crawl_ts") - F.lit(lateness)).scalar()
-    )
+    now = moved.groupBy("ip_id").agg((F.max("crawl_ts") - F.lit(lateness)).alias("horizon"))
+    live = transitions.state_table(moved).join(now, "ip_id", "left")
+    live = live.filter(F.col("horizon").isNull() | (F.col("expires_at") > F.col("horizon"))).drop("horizon")
     sinks.write_batch(live, f"{root}/state", batch_id)
 
     flow = transitions.crawl_flow(moved, crawls)
@@ -121,27 +122,38 @@ def _new_schedule(
     return kept.unionByName(moved)
 
 
-def once_per_task(results: DataFrame, window: str = "24 hours") -> DataFrame:
-    """Each task_id once within the window after its first message."""
-    return (
-        results.withColumn("event_time", F.col("crawl_ts").cast("timestamp"))
-        .withWatermark("event_time", window)
-        .dropDuplicatesWithinWatermark(["task_id"])
-    )
+def once_per_task(results: DataFrame, root: str, batch_id: int, window: timedelta = timedelta(hours=24)) -> DataFrame:
+    """The messages of a batch whose task has not been taken within the window around them, one for each task.
+
+    Taken tasks are a table by day and batch, of which only the days around the batch are read. Messages of any age pass.
+    Run again, a batch finds its own tasks untaken.
+    """
+    spark, path = results.sparkSession, f"{root}/tasks"
+    first = results.dropDuplicates(["task_id"])
+    if sinks.exists(spark, path):
+        low, high = first.agg(F.min("crawl_ts") - F.lit(window), F.max("crawl_ts") + F.lit(window)).first()
+        if low is not None:
+            taken = spark.read.schema("task_id string, taken_at timestamp_ntz, day date, batch_id long").parquet(path)
+            taken = taken.filter(F.col("day").between(low.date(), high.date()) & (F.col("batch_id") < batch_id))
+            same = (first.task_id == taken.task_id) & F.col("crawl_ts").between(taken.taken_at - F.lit(window), taken.taken_at + F.lit(window))
+            first = first.join(taken, same, "left_anti")
+    first = stage(first, "once")
+    marks = first.select("task_id", F.col("crawl_ts").alias("taken_at"), F.col("crawl_ts").cast("date").alias("day"), F.lit(batch_id).cast("long").alias("batch_id"))
+    sinks.overwrite_partitions(marks, path, ["day", "batch_id"])
+    return first
 
 
 def start(results: DataFrame, root: str, checkpoint: str, entities: DataFrame | None = None, **options):
     """Start the stream over result messages (as from ``readers.crawl_results``); returns the query."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        held = stage(readers.usable(batch), "results")
+        held = readers.usable(once_per_task(stage(batch, "results"), root, batch_id))
         process(
             readers.observations(held), held.select("ip_id", "crawl_ts"), batch_id, root, entities, **options
         )
 
     return (
-        once_per_task(results)
-        .writeStream.foreachBatch(run)
+        results.writeStream.foreachBatch(run)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -32,7 +32,8 @@ STATE = (
 class ListingLife(StatefulProcessor):
     out = Row("ip_id", "source_id", "t", "status", "price", "pos", "kind", "prev_status", "prev_price", "late")
 
-    def __init__(self, available_hours: int = TTL_AVAILABLE_HOURS, sold_hours: int = TTL_SOLD_HOURS):
+    def __init__(self, available_hours: int = TTL_AVAILABLE_HOURS, sold_hours: int = TTL_SOLD_HOURS, forget: bool = False):
+        self.forget = forget
         self.ttl = {"available": available_hours * HOUR_US, "sold": sold_hours * HOUR_US}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -44,7 +45,6 @@ class ListingLife(StatefulProcessor):
         kept = self.last.get() if self.last.exists() else None
         timer = kept[6] if kept else None
         t, pos, status, price, before_status, before_price = kept[:6] if kept else (None,) * 6
-        ms = timer
         for r in sorted(rows, key=lambda row: (row.t, row.pos)):
             if t is not None and r.t < t:
                 yield self.out(ip_id, source_id, r.t, r.status, r.price, r.pos, None, None, None, True)
@@ -55,14 +55,15 @@ class ListingLife(StatefulProcessor):
                 t, pos = r.t, -1
             if r.pos >= pos:
                 pos, status, price = r.pos, r.status, r.price
-                ms = r.ms
             kind = self._kind(r.status, r.price, before_status, before_price)
             yield self.out(ip_id, source_id, r.t, r.status, r.price, r.pos, kind, before_status, before_price, False)
-        expiry = ms + self.ttl[status] // 1000
-        if timer is not None and timer != expiry:
-            self.handle.deleteTimer(timer)
-        if timer != expiry:
-            self.handle.registerTimer(expiry)
+        expiry = None
+        if self.forget:
+            expiry = timerValues.getCurrentProcessingTimeInMs() + self.ttl[status] // 1000
+            if timer is not None and timer != expiry:
+                self.handle.deleteTimer(timer)
+            if timer != expiry:
+                self.handle.registerTimer(expiry)
         self.last.update((t, pos, status, price, before_status, before_price, expiry))
 
     @staticmethod
@@ -85,31 +86,29 @@ class ListingLife(StatefulProcessor):
 
 def transition_stream(
     observations: DataFrame,
-    lateness: str = "2 hours",
     available_hours: int = TTL_AVAILABLE_HOURS,
     sold_hours: int = TTL_SOLD_HOURS,
+    forget: bool = False,
 ) -> DataFrame:
     """Streaming observations to one row per sighting with its transition.
 
-    ``late`` marks sightings older than what is already known of the listing; they change nothing.
+    ``late`` marks sightings older than what is already known of the listing; they change nothing. No watermark stands
+    before the state, which would drop them unseen. With ``forget`` a listing's record goes when its time to live has passed
+    by the clock since its last row; that needs a trigger that keeps running (with available-now it would never end).
     """
     keyed = (
         with_rocksdb(observations)
         .filter(F.length("source_id") > 0)
-        .withColumn("event_time", F.col("crawl_ts").cast("timestamp"))
-        .withWatermark("event_time", lateness)
         .select(
             *LISTING,
             "status",
             F.col("price").cast("int").alias("price"),
             F.col("pos").cast("long").alias("pos"),
             times.micros(F.col("crawl_ts")).alias("t"),
-            F.unix_millis("event_time").alias("ms"),
-            "event_time",
         )
     )
     moved = keyed.groupBy(*LISTING).transformWithState(
-        ListingLife(available_hours, sold_hours), OUTPUT, "Append", "EventTime"
+        ListingLife(available_hours, sold_hours, forget), OUTPUT, "Append", "ProcessingTime" if forget else "None"
     )
     return moved.withColumn("crawl_ts", times.from_micros(F.col("t"))).drop("t")
 

@@ -32,6 +32,11 @@ class _OneRecord(StatefulProcessor):
         pass
 
 
+def _stamped(df: DataFrame) -> DataFrame:
+    """No watermark: rows of any age reach the state."""
+    return with_rocksdb(df).withColumn("t", times.micros(F.col("ts"))).drop("ts")
+
+
 def _timed(df: DataFrame, lateness: str) -> DataFrame:
     stamp = F.col("ts").cast("timestamp")
     return (
@@ -47,29 +52,34 @@ def _timed(df: DataFrame, lateness: str) -> DataFrame:
 class PushGate(_OneRecord):
     """One open task per entity: pushes while it is open are refused."""
 
-    schema = "open boolean"
-    out = Row("task_id", "ip_id", "t", "seq", "accepted")
+    schema = "open boolean, t long, seq long"
+    out = Row("task_id", "ip_id", "t", "seq", "accepted", "late")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        record = self.kept()
-        is_open = bool(record and record[0])
+        is_open, *last = self.kept() or (False, None, None)
         for r in sorted(rows, key=lambda row: (row.t, row.seq)):
+            if last[0] is not None and (r.t, r.seq) < tuple(last):
+                if r.event == "pushed":
+                    yield self.out(r.task_id, r.ip_id, r.t, r.seq, None, True)
+                continue
+            last = [r.t, r.seq]
             if r.event == "pushed":
-                yield self.out(r.task_id, r.ip_id, r.t, r.seq, not is_open)
-                is_open = True
-            else:
-                is_open = False
-        self.state.update((is_open,))
+                yield self.out(r.task_id, r.ip_id, r.t, r.seq, not is_open, False)
+            is_open = r.event == "pushed"
+        self.state.update((is_open, *last))
 
 
-def push_gate(events: DataFrame, lateness: str = "2 hours") -> DataFrame:
-    """Pushes with the verdict of the one-open-task rule, as they come in."""
-    relevant = _timed(events.filter(F.col("event").isin("pushed", "acked", "dead")), lateness)
+def push_gate(events: DataFrame) -> DataFrame:
+    """Pushes with the verdict of the one-open-task rule, as they come in.
+
+    ``late`` pushes are older than what the gate has already judged; they come out without a verdict and change nothing.
+    """
+    relevant = _stamped(events.filter(F.col("event").isin("pushed", "acked", "dead")))
     judged = (
-        relevant.select("ip_id", "task_id", "event", "t", "seq", "event_time")
+        relevant.select("ip_id", "task_id", "event", "t", "seq")
         .groupBy("ip_id")
         .transformWithState(
-            PushGate(), "task_id string, ip_id long, t long, seq long, accepted boolean", "Append", "EventTime"
+            PushGate(), "task_id string, ip_id long, t long, seq long, accepted boolean, late boolean", "Append", "None"
         )
     )
     return judged.withColumn("ts", times.from_micros(F.col("t"))).drop("t")
@@ -129,7 +139,7 @@ class BlockStreak(_OneRecord):
     """Blocks since the last success or the last long pause."""
 
     schema = "streak long, t long"
-    out = Row("node", "task_id", "t", "streak", "cooldown")
+    out = Row("node", "task_id", "t", "streak", "cooldown", "late")
 
     def __init__(self, threshold: int, ttl_s: int):
         self.threshold, self.ttl_us = threshold, ttl_s * times.US_PER_SECOND
@@ -137,29 +147,36 @@ class BlockStreak(_OneRecord):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         streak, last = self.kept() or (0, None)
         for r in sorted(rows, key=lambda row: (row.t, row.task_id)):
+            if last is not None and r.t < last:
+                if r.outcome == "403_forbidden":
+                    yield self.out(key[0], r.task_id, r.t, None, None, True)
+                continue
             if r.outcome != "403_forbidden" or (last is not None and r.t - last > self.ttl_us):
                 streak = 0
             last = r.t
             if r.outcome == "403_forbidden":
                 streak += 1
-                yield self.out(key[0], r.task_id, r.t, streak, streak == self.threshold)
+                yield self.out(key[0], r.task_id, r.t, streak, streak == self.threshold, False)
         self.state.update((streak, last))
 
 
 def block_streak_stream(
-    log: DataFrame, threshold: int = BLOCK_STREAK, ttl_s: int = STREAK_TTL_S, lateness: str = "2 hours"
+    log: DataFrame, threshold: int = BLOCK_STREAK, ttl_s: int = STREAK_TTL_S
 ) -> DataFrame:
-    """Blocked runs with the node's streak; ``cooldown`` marks the one that reaches the threshold."""
+    """Blocked runs with the node's streak; ``cooldown`` marks the one that reaches the threshold.
+
+    ``late`` runs are older than what the streak already counts; they come out without a streak and change nothing.
+    """
     relevant = log.filter(F.col("outcome").isin("success", "empty_result", "403_forbidden"))
     counted = (
-        _timed(relevant, lateness)
-        .select("node", "task_id", "outcome", "t", "event_time")
+        _stamped(relevant)
+        .select("node", "task_id", "outcome", "t")
         .groupBy("node")
         .transformWithState(
             BlockStreak(threshold, ttl_s),
-            "node string, task_id long, t long, streak long, cooldown boolean",
+            "node string, task_id long, t long, streak long, cooldown boolean, late boolean",
             "Append",
-            "EventTime",
+            "None",
         )
     )
     return counted.withColumn("ts", times.from_micros(F.col("t"))).drop("t")

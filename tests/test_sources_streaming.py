@@ -132,7 +132,7 @@ def test_state_stream_equals_batch(spark, tmp_path):
     data = random_observations(11, 600)
     whole_crawl_files(spark, data, tmp_path / "in", 3)
     query = (
-        listing_state.transition_stream(obs_stream(spark, tmp_path / "in"), "1000 hours")
+        listing_state.transition_stream(obs_stream(spark, tmp_path / "in"))
         .writeStream.format("parquet")
         .option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "cp"))
@@ -148,25 +148,36 @@ def test_state_stream_equals_batch(spark, tmp_path):
     columns = ("ip_id", "source_id", "crawl_ts", "status", "price", "kind", "prev_price", "copies")
     moved = T.transitions(spark.createDataFrame(data, OBS))
     assert rows(counted, *columns) == rows(moved, *columns)
-    # with so long a lateness no timer has fired, so every listing is still remembered
+    # no time to live has passed, so every listing is still remembered
     known = listing_state.stored_state(spark, str(tmp_path / "cp"))
     columns = ("ip_id", "source_id", "status", "price", "last_seen")
     assert rows(known, *columns) == rows(T.state_table(moved), *columns)
 
 
-def test_timers_forget_expired_listings(spark, tmp_path):
-    for i, (source, ts) in enumerate([("old", "01 00:00"), ("new", "05 00:00"), ("newer", "05 01:00")]):
-        df = spark.createDataFrame([(1, source, "available", 5, at(ts), i)], OBS)
+def test_late_sightings_come_out_marked(spark, tmp_path):
+    for i, times_ in enumerate([["02 12:00"], ["02 06:00", "02 13:00"], ["02 01:00"]]):
+        df = spark.createDataFrame([(1, "a", "available", 5, at(ts), i) for ts in times_], OBS)
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    query = (
-        listing_state.transition_stream(obs_stream(spark, tmp_path / "in"), "0 seconds")
-        .writeStream.format("noop")
-        .option("checkpointLocation", str(tmp_path / "cp"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    assert rows(listing_state.stored_state(spark, str(tmp_path / "cp")), "source_id") == [("new",), ("newer",)]
+    run_stream(listing_state.transition_stream(obs_stream(spark, tmp_path / "in")), tmp_path, "out")
+    got = rows(spark.read.parquet(str(tmp_path / "out")), "crawl_ts", "late")
+    assert sorted(got) == [(at("02 01:00"), True), (at("02 06:00"), True), (at("02 12:00"), False), (at("02 13:00"), False)]
+
+
+def test_late_task_events_and_messages_come_out(spark, tmp_path):
+    t0 = datetime(2024, 1, 2, 10)
+    schema = "task_id string, ip_id long, node string, event string, ts timestamp_ntz, retry_count int, seq long"
+    for i, (task, ip, hour) in enumerate([("a", 1, 10), ("b", 2, 3), ("c", 1, 2)]):
+        spark.createDataFrame([(task, ip, "n", "pushed", t0 + timedelta(hours=hour), 0, i)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run_stream(task_state.push_gate(stream), tmp_path, "gate")
+    assert rows(spark.read.parquet(str(tmp_path / "gate")), "task_id", "accepted", "late") == [("a", True, False), ("b", True, False), ("c", None, True)]
+
+    folder, root, when = tmp_path / "messages", str(tmp_path / "root"), datetime(2024, 1, 15, 12)
+    folder.mkdir()
+    for i, (task, ip, days) in enumerate([("t1", 1, 0), ("t2", 2, -2), ("t3", 3, -2), ("t2", 2, -2)]):
+        (folder / f"{i}.json").write_text(message(ip, task, when + timedelta(days=days), [("m1", "available", 10)]))
+        flow.start(readers.crawl_results(spark, str(folder), streaming=True, max_files=1), root, str(tmp_path / "cp")).awaitTermination()
+    assert rows(flow.hours(spark, root), "ip_id", "hour_bucket") == [(1, when), (2, when - timedelta(days=2)), (3, when - timedelta(days=2))]
 
 
 def test_write_path_equals_batch_with_a_restart(spark, tmp_path):
