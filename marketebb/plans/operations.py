@@ -251,6 +251,27 @@ def interval_adjust_once(spark, sf):
     )
 
 
+@query(o.select("SELECT min(next_at) AS next_at FROM sched", *CRAWLED))
+def schedule_earliest(spark, sf):
+    return schedule.earliest(first_schedule(spark, sf))
+
+
+@query(
+    o.select(
+        """SELECT coalesce(s.ip_id, w.ip_id) AS ip_id, coalesce(w.next_at, s.next_at) AS next_at
+           FROM sched s FULL JOIN (SELECT user_id AS ip_id, max(date_trunc('second', ts)) + INTERVAL 1 HOUR AS next_at
+                                   FROM events WHERE event_type = 'purchase' GROUP BY 1) w ON w.ip_id = s.ip_id""",
+        *CRAWLED,
+    )
+)
+def schedule_write(spark, sf):
+    """The schedule after new times for the entities with a purchase; of several the last one's."""
+    bought = driver.table(spark, sf, "events").filter(F.col("event_type") == "purchase")
+    second = times.seconds_floor(F.col("ts"))
+    given = bought.select(F.col("user_id").alias("ip_id"), F.col("ts").alias("crawl_ts"), times.plus_seconds(second, F.lit(3600)).alias("next_at"))
+    return schedule.write_times(first_schedule(spark, sf), given)
+
+
 # --- entities -----------------------------------------------------------------------------------
 
 
@@ -267,6 +288,27 @@ def entity_page(spark, sf):
     return boards.page(rows, [F.desc("weight"), F.col("id")], 3, 20).drop("name_en", "name_cn")
 
 
+@query(
+    o.select("SELECT ip_id, source_id, price, last_seen_at FROM snap WHERE ip_id = 7 AND status = 'on_sale'", o.ITEMS)
+)
+def active_items(spark, sf):
+    """On-sale items of one entity."""
+    return snapshots.active_items(driver.snapshots(spark, sf), 7).select("ip_id", "source_id", "price", "last_seen_at")
+
+
+@query(
+    o.select(
+        """SELECT ip_id, source_id, CASE WHEN ip_id % 7 = 0 THEN 'sold' ELSE status END AS status,
+                  CASE WHEN ip_id % 7 = 0 THEN TIMESTAMP '2024-01-31 12:00:00' ELSE sold_at END AS sold_at FROM snap""",
+        o.ITEMS,
+    )
+)
+def mark_sold(spark, sf):
+    """Listings named as sold take status and time; the others stay."""
+    items = driver.snapshots(spark, sf)
+    return snapshots.mark_sold(items, items.filter(F.col("ip_id") % 7 == 0), datetime(2024, 1, 31, 12)).select("ip_id", "source_id", "status", "sold_at")
+
+
 @query(
     o.select(
         """SELECT ip_id, source_id, price, status, last_seen_at, count(*) OVER () AS total
@@ -1046,3 +1088,40 @@ def ops_alerts(spark, sf):
 def ops_alerts_5m(spark, sf):
     """Operation rules over windows of five minutes."""
     return rounded(tasks.operation_alerts(driver.task_events(spark, sf), driver.run_log(spark, sf)), "value")
+
+
+@query(
+    o.select(
+        """SELECT task_id, ip_id, event, date_trunc('second', ts) AS ts, retry_count,
+                  CAST(retry_count * 4 + CASE event WHEN 'pushed' THEN 0 WHEN 'started' THEN 1 ELSE 2 END AS BIGINT) AS seq
+           FROM tasks""",
+        o.TASKS,
+    )
+)
+def task_event_messages(spark, sf):
+    """Task events written as JSON messages (whole seconds) and read back in a stable order."""
+    folder = scratch_dir(spark, "task-messages")
+    seconds = (times.micros(F.col("ts")) / times.US_PER_SECOND).cast("long").cast("string")
+    driver.task_events(spark, sf).select(
+        F.col("ip_id").cast("string").alias("ipId"), F.col("task_id").alias("taskId"), "event", seconds.alias("at"), F.col("retry_count").alias("retryCount")
+    ).write.json(folder)
+    return readers.task_events(spark, folder, zone="UTC")
+
+
+@query(
+    o.select(
+        """SELECT id, name, category, weight, status FROM (
+             SELECT id, name, category, weight, status FROM meta
+             UNION ALL
+             SELECT (SELECT max(id) FROM meta) + row_number() OVER (ORDER BY name), name, category, weight, status
+             FROM plan WHERE id IS NULL)""",
+        o.META,
+        o.ENTRIES,
+        PLAN,
+    )
+)
+def import_insert_only(spark, sf):
+    """The dimension after an import that changes no known entity."""
+    meta = driver.metadata(spark, sf)
+    plan = entities.import_plan(meta, driver.import_entries(spark, sf))
+    return entities.apply_import(meta, plan, upsert=False).drop("name_en", "name_cn")

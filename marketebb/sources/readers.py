@@ -76,15 +76,20 @@ def observations(results: DataFrame) -> DataFrame:
 def task_events(
     spark: SparkSession, path: str, streaming: bool = False, max_files: int | None = None, zone: str = times.MARKET_ZONE
 ) -> DataFrame:
-    """Task events (pushed, started, acked, dead) from JSON lines files."""
+    """Task events (pushed, started, acked, dead) from JSON lines files.
+
+    Times are whole seconds, so ``seq`` orders events of one second: by try, then pushed, started, ended.
+    """
+    rank = F.when(F.col("event") == "pushed", 0).when(F.col("event") == "started", 1).otherwise(2)
     raw = _reader(spark, streaming, max_files).schema(schemas.TASK).json(path)
+    raw = raw.withColumn("event", F.coalesce("event", F.lit("pushed")))
     return raw.select(
         F.col("taskId").alias("task_id"),
         F.col("ipId").cast("long").alias("ip_id"),
-        F.coalesce("event", F.lit("pushed")).alias("event"),
+        "event",
         times.from_epoch(F.coalesce("at", "createdAt").cast("long"), zone).alias("ts"),
         F.coalesce("retryCount", F.lit(0)).alias("retry_count"),
-        F.coalesce("at", "createdAt").cast("long").alias("seq"),
+        (F.coalesce("retryCount", F.lit(0)) * 4 + rank).cast("long").alias("seq"),
     )
 
 
