@@ -119,13 +119,17 @@ def processed_within(processed: DataFrame, now, hours: int = 24) -> DataFrame:
     return processed.filter(F.col("ts") > limit)
 
 
-def block_streaks(log: DataFrame, threshold: int = BLOCK_STREAK, ttl_s: int = STREAK_TTL_S) -> DataFrame:
-    """Blocked runs per node with the count of blocks since the last success.
+def block_streaks(log: DataFrame, threshold: int = BLOCK_STREAK, ttl_s: int = STREAK_TTL_S, scope: str = "node") -> DataFrame:
+    """Blocked runs per node with the count of blocks since the last success; with scope "all" one count over all nodes.
 
     A pause longer than ``ttl_s`` between runs also restarts the count. ``cooldown`` marks the block
     that reaches the threshold. Inside an hour of a node the count is the number of blocks so far minus
     that number at the last restart; what an hour inherits comes from one summary row per node and hour.
     """
+    if scope == "all":
+        log = log.withColumn("node", F.lit("all"))
+    elif scope != "node":
+        raise ValueError(f"unknown scope {scope!r}")
     ok = F.col("outcome").isin("success", "empty_result")
     blocked = F.col("outcome") == "403_forbidden"
     ttl_us = ttl_s * times.US_PER_SECOND

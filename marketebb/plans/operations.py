@@ -12,7 +12,7 @@ from marketebb.operators import boards, entities, listing_pages, reports, schedu
 from marketebb.plans import market
 from marketebb.plans import oracle as o
 from marketebb.plans.registry import ORACLES, query, rounded
-from marketebb.session import scratch_dir
+from marketebb.session import scratch_dir, stage
 from marketebb.sources import driver, readers
 from marketebb.streaming import task_state
 
@@ -514,7 +514,7 @@ def table_counts(spark, sf):
     return reports.table_counts(
         {
             "ip_metadata": driver.metadata(spark, sf),
-            "ip_stats_hourly": market.hours(spark, sf),
+            "ip_stats_hourly": stage(market.hours(spark, sf), "hours"),
             "item_snapshots": driver.snapshots(spark, sf),
         }
     )
@@ -562,7 +562,7 @@ def entity_detail(spark, sf):
     """Detail view of every entity, the two lists as text."""
     snaps = snapshots.snapshot_delta(driver.observations(spark, sf))
     rows = reports.entity_detail(
-        driver.metadata(spark, sf).select("id", "name"), market.hours(spark, sf), snaps, market.NOW
+        driver.metadata(spark, sf).select("id", "name"), stage(market.hours(spark, sf), "hours"), snaps, market.NOW
     )
     hour_text = F.transform(
         "hours", lambda h: F.concat_ws(":", F.date_format(h["hour_bucket"], "ddHH"), h["inflow"].cast("string"), h["outflow"].cast("string"))
@@ -952,6 +952,12 @@ def block_streaks(spark, sf):
     return tasks.block_streaks(driver.run_log(spark, sf), ttl_s=5 * 3600)
 
 
+@query(ORACLES["block_streaks"].replace("'n' || CAST(user_id % 16 AS VARCHAR) AS node", "'all' AS node"))
+def block_streaks_all(spark, sf):
+    """Consecutive blocks over all nodes together."""
+    return tasks.block_streaks(driver.run_log(spark, sf), ttl_s=5 * 3600, scope="all")
+
+
 @query(ORACLES["block_streaks"])
 def stream_block_streaks(spark, sf):
     """Block streaks as a stateful stream."""
