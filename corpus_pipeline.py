@@ -18,7 +18,7 @@ from marketebb.llm import near_dedup as _near_dedup  # noqa: E402
 from marketebb.llm import packing, pii  # noqa: E402
 from marketebb.llm import quality as _quality  # noqa: E402
 from marketebb.llm.queries import vocabulary  # noqa: E402
-from marketebb.llm.shared import documents, stage, table  # noqa: E402
+from marketebb.llm.shared import documents, small_batches, stage, table  # noqa: E402
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -30,6 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
+    small_batches(spark)
     return _near_dedup.keep_one(docs)
 
 
@@ -40,11 +41,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked."""
+    small_batches(spark)
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 token ids, a row for each piece of a document."""
+    small_batches(spark)
     return packing.pack(docs, vocabulary())
 
 

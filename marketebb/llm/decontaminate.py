@@ -155,16 +155,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, **how: int) -> DataFrame:
     return out.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, **how: int) -> DataFrame:
+def keep_clean(docs: DataFrame, items: DataFrame, bits: int = 24, **how: int) -> DataFrame:
     """The documents in which no item window occurs, with all their columns.
 
-    What goes is named by text, since the verdict depends on the text alone; the names are few and Catalyst decides how
-    to join them.
+    What goes is named by text, since the verdict depends on the text alone. All other rows pass a filter of fixed size over
+    those names; only what it holds back is shuffled, for an exact anti join.
     """
-    (key,) = fresh(docs, "text_digest")
+    key, some = fresh(docs, "text_digest", "held_back")
     found = hits(docs.select(F.sha2("text", 256).alias("doc_id"), "text"), items, **how).where("hits is not null")
     found = stage(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
-    return docs.withColumn(key, F.sha2("text", 256)).join(found, key, "left_anti").select(docs.columns)
+    named = docs.withColumn(key, F.sha2("text", 256))
+    chosen = W.filter_bits(found.select(F.xxhash64(key).alias("x")), "x", bits)
+    named = named.withColumn(some, W.may_be_in(chosen, F.xxhash64(key)))
+    held = named.where(F.col(some)).join(found, key, "left_anti")
+    return named.where(~F.col(some)).select(docs.columns).unionByName(held.select(docs.columns))
 
 
 SQL = """

@@ -312,22 +312,21 @@ def near_dedup(docs: DataFrame, **how: float) -> DataFrame:
     return classes(docs, **how).select("doc_id", "class_id")
 
 
-def keep_one(docs: DataFrame, **how: float) -> DataFrame:
+def keep_one(docs: DataFrame, bits: int = 24, **how: float) -> DataFrame:
     """The documents without near copies: of each class one row stays, that of the least doc_id (any one of equal rows).
 
-    Rows without words stay all. Texts are not shuffled for the rows of classes of one: those pass an anti join with the
-    names of what goes, which is as small as the copies are.
+    Rows without words stay all. Rows of classes of one pass a filter of fixed size over the others' names; only what it
+    holds back is shuffled, to be joined with those names.
     """
-    member = stage(classes(docs, **how), "member")
-    worded = member.where("class_key is not null")
+    worded = stage(classes(docs, **how).where("class_key is not null"), "member")
     size = worded.groupBy("class_key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("stay"))
-    many = stage(size.where("n > 1"), "many")
-    touched = stage(worded.join(many, "class_key").select("doc_id", "key", "stay").distinct(), "touched")
-    key, t_key, t_id, nth = fresh(docs, "text_key", "touched_key", "touched_id", "nth")
+    touched = worded.join(size.where("n > 1"), "class_key").select("doc_id", "key", F.expr("stay.key = key and stay.doc_id <=> doc_id").alias("stays")).distinct()
+    key, t_key, t_id, x, some, stays, nth = fresh(docs, "text_key", "touched_key", "touched_id", "name_hash", "held_back", "stays", "nth")
+    touched = stage(touched.select(F.col("key").alias(t_key), F.col("doc_id").alias(t_id), F.xxhash64("key", "doc_id").alias(x), F.col("stays").alias(stays)), "touched")
     named = docs.withColumn(key, digest())
+    named = named.withColumn(some, W.may_be_in(W.filter_bits(touched, x, bits), F.xxhash64(key, "doc_id")))
     same = F.col(key).eqNullSafe(F.col(t_key)) & F.col("doc_id").eqNullSafe(F.col(t_id))
-    gone = touched.select(F.col("key").alias(t_key), F.col("doc_id").alias(t_id))
-    stays = touched.where("stay.key = key and stay.doc_id <=> doc_id").select(F.col("key").alias(t_key), F.col("doc_id").alias(t_id))
-    rest = named.join(gone, same, "left_anti")
-    one = named.join(stays, same, "left_semi").withColumn(nth, F.row_number().over(Window.partitionBy(key, "doc_id").orderBy(F.lit(0))))
-    return rest.select(docs.columns).unionByName(one.where(F.col(nth) == 1).select(docs.columns))
+    held = named.where(F.col(some)).join(touched.drop(x), same, "left").where(F.coalesce(F.col(stays), F.lit(True)))
+    # rows that are equal in id and text meet here: one of them stays, unless none of them was in a class of several
+    held = held.withColumn(nth, F.row_number().over(Window.partitionBy(key, "doc_id").orderBy(F.lit(0)))).where((F.col(nth) == 1) | F.col(stays).isNull())
+    return named.where(~F.col(some)).select(docs.columns).unionByName(held.select(docs.columns))

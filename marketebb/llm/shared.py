@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marketebb.session import scratch_dir
 
-__all__ = ["discard", "documents", "fresh", "scratch_dir", "stage", "table"]
+__all__ = ["discard", "documents", "fresh", "scratch_dir", "small_batches", "stage", "table"]
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
@@ -37,7 +37,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def small_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Texts are long: fewer rows in an Arrow batch keep the memory of tasks small. Smaller settings are left alone."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 
 from marketebb.llm.words import worker_cache
 
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 BATCH_BYTES = 2 << 20
 PROBES = ("THE", "Straße", "élève,", "Ñandú.", "Ærøskøbing", "naïveté", "ŐSZŰ", "x", "thonanontioniner", "ª", "ǅ")
 

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Words of near-duplicate and decontamination operators: runs of ASCII letters (lower-cased), digits and non-ASCII characters.
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -161,6 +162,17 @@ def filter_bits(hashes: DataFrame, column: str, bits: int = 24) -> np.ndarray:
     return out
 
 
+def may_be_in(filter_: np.ndarray, hashes: Column) -> Column:
+    """Condition on a column of longs; only that column goes to Python, the rest of the row stays in the JVM."""
+    known = SparkSession.active().sparkContext.broadcast(filter_)
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        return pd.Series(passes(known.value, h.to_numpy().view(np.uint64)))
+
+    return test(hashes)
+
+
 def passes(filter_: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Which of the unsigned hashes may be in the filter."""
     bits = (len(filter_) * 64).bit_length() - 1
