@@ -216,5 +216,19 @@ def test_licences(spark, odd):
     assert got.get(104, (1, "unknown")) == (1, "unknown")
 
 
+def test_licence_lines_that_the_sample_holds_are_found(spark):
+    """Lines without the word license, each in many documents, beside ordinary uses of their words."""
+    notes = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "unknown": "All rights reserved.",
+    }
+    plain = "all seats are reserved and human rights\npermission was granted to a person\nthe source of binary numbers\nforms of use and charge"
+    texts = [(1000 * k + i, f"{prose(100 * k + i, 40)}\n{t}\n{prose(100 * k + i + 50, 20)}") for k, t in enumerate(notes.values(), 1) for i in range(40)]
+    texts += [(9000 + i, f"{prose(900 + i, 60)}\n{plain}\n{prose(1900 + i, 30)}") for i in range(120)]
+    got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.licences(spark.createDataFrame(rows(texts), SCHEMA)).collect())
+    assert got == [(1000 * k + i, 1, f) for k, f in enumerate(notes, 1) for i in range(40)]
+
+
 def test_licences_empty(empty):
     assert licences.licences(empty).count() == 0
