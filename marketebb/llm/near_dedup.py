@@ -7,16 +7,15 @@ Signature. Every shingle throws darts: points of a Poisson process over (weight,
 cell of that plane determines. Darts within the shingle's weight count; each lands on one of ``k`` coordinates, and the
 dart of least rank there is the document's value. Two documents agree at a coordinate with the probability of their
 weighted Jaccard similarity. Cells are thrown from low ranks up until about k ln k + 2k darts have fallen, so the cost is
-that of the words plus a constant, not words times k. Coordinates that stay empty get another layer. Shingles that recur in
-a document weigh ``1 + REPEAT``, others 1: this never moves a pair of similarity s below s / (1 + REPEAT).
+that of the words plus a constant, not words times k. Coordinates that stay empty get another layer. All shingles weigh 1, as
+in the similarity that is verified: a text that holds its content twice meets a single copy of it like any other.
 
 Joining. Copies of one text are folded into one node first (digest of the text). Nodes that share a band of ``ROWS``
 coordinates form a bucket. Nodes that have too few shingles in common with any other node to be similar to one go at
 once. Buckets are not expanded into pairs: in each of ``LEADER_ROUNDS`` rounds a node is compared with one leader of its
 buckets whose class it is not in, which collapses groups of copies with a linear number of comparisons. What then still stands in a bucket in different classes is compared pair by pair, but for pairs that cannot
-reach the similarity: the shingles that only one of these texts has bound every intersection (exact), and a pair must share
-at least ``SHARED`` bands (a pair at 0.8 fails this, or shares no band at all, with a probability under 0.001). Every link
-is verified on the full shingle sets.
+reach the similarity: the shingles that only one of these texts has bound every intersection (exact). A pair at 0.8 shares no
+band with a probability of 3 in a million. Every link is verified on the full shingle sets.
 
 Nulls and ties: null and word-less texts form classes of their own row group (equal texts stay apart unless they have
 words); rows with equal doc_id are rows like others; a class is named by its least doc_id (null if it has none).
@@ -37,8 +36,7 @@ from marketebb.llm.components import components
 from marketebb.llm.shared import discard, fresh, stage
 
 SHINGLE, SIMILAR = 5, 0.8
-BANDS, ROWS, SHARED, LEADER_ROUNDS = 42, 6, 3, 3
-REPEAT = 0.25
+BANDS, ROWS, LEADER_ROUNDS = 42, 6, 3
 #: Size of the filter of shared shingles, as a power of two of bits; raise it with the corpus.
 FILTER_BITS = 26
 #: The lowest layer of ranks ends at 2**LOWEST, each further one at the next half power of two.
@@ -128,14 +126,14 @@ def digest() -> Column:
     return F.unhex(F.md5(F.col("text").cast("binary")))
 
 
-def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, repeat: float = REPEAT) -> DataFrame:
+def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, key and the band hashes of every document (null without words)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, ws in W.each(b.column("text")):
-                row, h, n = elements(ws)
-                values = dart_minhash(row, h, np.where(n > 1, 1 + repeat, 1.0), ws.n_rows, bands * rows).reshape(-1, bands, rows)
+                row, h, _ = elements(ws)
+                values = dart_minhash(row, h, np.ones(len(h)), ws.n_rows, bands * rows).reshape(-1, bands, rows)
                 band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (ws.n_rows, bands))
                 for i in range(rows):
                     band = W.mix((band ^ values[:, :, i]) * np.uint64(0x9FB21C651E98DF25))
@@ -256,7 +254,7 @@ def _leader_pairs(now: DataFrame, mixed: DataFrame, turn: int) -> DataFrame:
     return met.groupBy("key").agg(F.max(F.struct("n", "b", "la", "lb")).alias("p")).select(F.col("key").alias("a"), "p.b", "p.la", "p.lb")
 
 
-def _rest_pairs(now: DataFrame, mixed: DataFrame, sets: DataFrame, texts: DataFrame, similar: float, shared: int) -> DataFrame:
+def _rest_pairs(now: DataFrame, mixed: DataFrame, sets: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """(a, b, la, lb): the pairs of different classes in a bucket that can be links."""
     rest = stage(now.join(mixed, "h").select("h", "key", "label"), "rest")
     bound = stage(linkable(sets, rest.select("key").distinct(), similar).join(texts.select("key", "bands"), "key"), "bound")
@@ -264,14 +262,13 @@ def _rest_pairs(now: DataFrame, mixed: DataFrame, sets: DataFrame, texts: DataFr
     one, two = (rest.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "bands", "n", "common"))) for k in "ab")
     meet = (F.col("label_a") != F.col("label_b")) & (F.col("key_a") < F.col("key_b"))
     meet &= F.least("common_a", "common_b") * (1 + similar) >= (F.col("n_a") + F.col("n_b")) * similar - 1e-6
-    meet &= F.size(F.array_intersect("bands_a", "bands_b")) >= shared
     # of the buckets that a pair shares, the least one stands for it
     meet &= F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("h")
     return one.join(two, "h").where(meet).select(*(F.col(c).alias(n) for c, n in (("key_a", "a"), ("key_b", "b"), ("label_a", "la"), ("label_b", "lb")))).distinct()
 
 
 def classes(
-    docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, shared: int = SHARED, leader_rounds: int = LEADER_ROUNDS, bits: int = FILTER_BITS
+    docs: DataFrame, similar: float = SIMILAR, bands: int = BANDS, rows: int = ROWS, leader_rounds: int = LEADER_ROUNDS, bits: int = FILTER_BITS
 ) -> DataFrame:
     """One row per document: doc_id, key, class_id, class_key (null for a row without words)."""
     signed = stage(signatures(docs, bands, rows), "signatures")
@@ -287,7 +284,7 @@ def classes(
     for turn in range(leader_rounds + 1):
         now = stage(members.join(have, members.key == have.node).select("h", "key", "share", "label"), "now")
         mixed = now.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-        found_pairs = _leader_pairs(now, mixed, turn) if turn < leader_rounds else _rest_pairs(now, mixed, sets, texts, similar, shared)
+        found_pairs = _leader_pairs(now, mixed, turn) if turn < leader_rounds else _rest_pairs(now, mixed, sets, texts, similar)
         pairs = stage(found_pairs, "pairs")
         members_left = stage(now.join(mixed, "h").select("h", "key", "share"), "members")
         links = verified(pairs.select("a", "b"), sets, similar).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))

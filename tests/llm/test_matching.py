@@ -145,6 +145,21 @@ def test_large_groups_of_copies(spark):
     assert got == {i: least[c] for i, c in enumerate(want)}
 
 
+@pytest.mark.parametrize("leader_rounds", [0, 3])
+def test_content_once_against_twice(spark, leader_rounds):
+    """200 words twice, and once with four of them changed: 176 common shingles of 220, exactly 0.8."""
+    texts = []
+    for i in range(150):
+        once = prose(i, 200, f"q{i}q").split(" ")
+        texts.append(" ".join(once + once))
+        for at in (20, 60, 100, 140):
+            once[at] = f"edit{i}n{at}"
+        texts.append(" ".join(once))
+    docs = spark.createDataFrame(rows([*enumerate(texts)]), SCHEMA).repartition(4)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(docs, leader_rounds=leader_rounds).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
 def test_near_dedup_empty(empty):
     assert near_dedup.near_dedup(empty).count() == 0
     assert near_dedup.keep_one(empty).columns == empty.columns
