@@ -9,8 +9,9 @@ occurrence, so a number that is recognised in one place is recognised where it s
 from loopy sum-product message passing over chain and skip edges together. Runs of tokens with one label whose marginals
 reach ``SURE`` and that have the digits of their kind become added spans, if they touch no base span.
 
-Training is by pseudo-likelihood (each token given the labels around it) on a bounded sample, the ``SAMPLE`` documents with
-such tokens of least text hash, labelled by their base spans. Two kinds of changed copies teach the skip potentials: an
+Training is by pseudo-likelihood (each token given the labels around it) on a bounded sample: whole texts with such tokens, in
+order of their hash, as far as there are at most ``SAMPLE`` of them with at most ``SAMPLE_CHARS`` characters together (the
+first is always taken), labelled by their base spans. Two kinds of changed copies teach the skip potentials: an
 entity is repeated in a worn form at the end of its document, and shape features are dropped at random.
 
 Nulls: a null text is an empty one. Everything else passes through; equal rows have equal results.
@@ -19,6 +20,7 @@ Nulls: a null text is an empty one. Everything else passes through; equal rows h
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 from marketebb.llm.shared import fresh
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, SURE, ROUNDS, DROP = 3_000, 0.9, 12, 0.3
+SAMPLE, SAMPLE_CHARS, SURE, ROUNDS, DROP = 3_000, 8_000_000, 0.9, 12, 0.3
 MARKS = ".,;:!?\"'()[]{}<>=|*"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -325,16 +327,17 @@ def added_spans(field: Field, texts: list[str], base: list[list[Span]], sure: fl
     return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """From at most ``sample`` texts: those of the least hash among texts with a digit or an @."""
+def fit(docs: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Field:
+    """From whole texts with a digit or an @, in order of hash: at most ``sample``, with at most ``chars`` characters together."""
     hinted = docs.select("text").where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
-    # the texts near an entity are enough to learn from, and are of bounded size
-    least = hinted.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if least is None:
+    sizes = hinted.groupBy("h").agg(F.max(F.length("text")).alias("n")).orderBy("h").limit(sample).collect()
+    if not sizes:
         return train([])
-    spans = r"(?s).{0,200}[0-9@].{0,400}"
-    rows = hinted.where(F.col("h") <= least).select("h", F.regexp_extract("text", spans, 0).alias("text"))
-    return train([r.text for r in rows.dropDuplicates(["h"]).orderBy("h").limit(sample).collect()])
+    # only whole texts: a part of one would lack the repetitions that the skip edges learn from
+    total = itertools.accumulate(r.n for r in sizes)
+    least = [r.h for i, (r, t) in enumerate(zip(sizes, total, strict=True)) if i == 0 or t <= chars][-1]
+    rows = hinted.where(F.col("h") <= least).dropDuplicates(["h"]).orderBy("h")
+    return train([r.text for r in rows.collect()])
 
 
 def annotate(docs: DataFrame, field: Field, name: str, masked: bool = False) -> DataFrame:

@@ -119,6 +119,17 @@ def test_skip_edges_carry_labels():
     assert pii.added_spans(field, [clean], [pii.base_spans(clean)]) == [[]]
 
 
+def test_field_learns_from_entities_far_behind_the_first_digit(spark):
+    """Every text opens with a year; entities and their repetitions lie thousands of characters behind it."""
+    start, gap = "Year 2024. " + "word " * 1000, "word " * 200
+    numbers = [(a, b) for a in range(1, 10) for b in range(10, 60, 7)]
+    texts = [f"{start} reach me at +1 ({a}55) 555-{b}97 {gap} or u{a}.{b}@mail.example.com today, version {a}. of 20{a}" for a, b in numbers]
+    texts.append(f"{start} call +1 (455) 555-8597 soon. {gap} again 1 (455) 555-8597 please")
+    got = {r.doc_id: r.spans.split(",") for r in pii.pii(spark.createDataFrame(rows([*enumerate(texts)]), SCHEMA)).collect()}
+    found = [(kind, texts[-1][int(s) : int(e)]) for kind, s, e in (x.split(":") for x in got[len(texts) - 1])]
+    assert found == [("phone", "+1 (455) 555-8597"), ("phone", "1 (455) 555-8597")]
+
+
 def test_field_without_personal_data_adds_nothing():
     field = pii.train([])
     assert pii.added_spans(field, ["12 apples 123456789"], [[]]) == [[]]
