@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketebb.llm import decontaminate, idfile, language, licences, near_dedup, packing, pii, quality, sharding, warc
+from marketebb.llm import decontaminate, idfile, language, licences, merkle, near_dedup, packing, pii, quality, sharding, warc
 from marketebb.llm.shared import documents, table
 
 
@@ -56,12 +56,17 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality, op2_pii, op3_decontaminate, op4_licences, op5_sharding, op6_warc, op7_token_ids, op8_packing, op9_language, op10_near_dedup,
+        op13_merkle,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.SQL, "op6_warc": warc.SQL}
+    return {"op3_decontaminate": decontaminate.SQL, "op6_warc": warc.SQL, "op13_merkle": merkle.SQL}
