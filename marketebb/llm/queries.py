@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marketebb.llm import decontaminate, idfile, language, licences, merkle, near_dedup, packing, pii, quality, sharding, trie, warc
+from marketebb.llm import decontaminate, extract, idfile, language, licences, merkle, near_dedup, packing, pii, quality, sharding, trie, warc
 from marketebb.llm.shared import documents, table
 
 
@@ -56,6 +56,10 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(documents(spark, sf_dir))
 
 
+def op11_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
@@ -67,10 +71,11 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_quality, op2_pii, op3_decontaminate, op4_licences, op5_sharding, op6_warc, op7_token_ids, op8_packing, op9_language, op10_near_dedup,
-        op12_trie, op13_merkle,
+        op11_extract, op12_trie, op13_merkle,
     )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.SQL, "op6_warc": warc.SQL, "op12_trie": trie.SQL, "op13_merkle": merkle.SQL}
+    own = {"op3_decontaminate": decontaminate, "op6_warc": warc, "op11_extract": extract, "op12_trie": trie, "op13_merkle": merkle}
+    return {name: module.SQL for name, module in own.items()}
