@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marketebb.functions import times
 from marketebb.operators import slices
+from marketebb.session import stage
 
 MAX_RETRIES = 3
 BLOCK_STREAK = 3
@@ -230,6 +231,16 @@ def _quantile(counts: Column, bounds: Sequence[float], q: float) -> Column:
     )
 
 
+def _quantile_of(upto: Sequence[Column], total: Column, bounds: Sequence[float], q: float) -> Column:
+    """The same from a column for each bound, for rows that are many; NULL without runs."""
+    rank, lower, below, out = total * F.lit(q), 0.0, F.lit(0), None
+    for bound, count in zip(bounds, upto, strict=True):
+        value = F.lit(lower) + F.lit(bound - lower) * F.try_divide(rank - below, count - below)
+        out = F.when(count >= rank, value) if out is None else out.when(count >= rank, value)
+        lower, below = bound, count
+    return F.when(total > 0, out.otherwise(F.lit(float(bounds[-1]))))
+
+
 def latency_quantiles(
     log: DataFrame,
     minutes: int = 5,
@@ -285,89 +296,67 @@ def operation_alerts(
     more than five blocks in a window of ``minutes`` that slides by the minute, the 95th latency percentile of such a
     window above a limit for ``latency_hold`` minutes. Windowed rules give one row for each run of minutes above.
     """
-    step = (
-        F.when(F.col("event") == "pushed", 1).when(F.col("event") == "started", -1).otherwise(0).cast("long")
-    )
-    per_minute = events.groupBy(times.minutes_floor(F.col("ts"), 1).alias("minute")).agg(
-        F.sum(step).alias("delta"), F.count_if(F.col("event") == "dead").alias("dead")
-    )
-    per_minute = per_minute.withColumn("slice", F.col("minute").cast("date")).withColumn("q", F.lit("tasks"))
-    depth = slices.running(
-        per_minute,
-        ["q"],
-        "slice",
-        ["minute"],
-        {"depth": ("sum", F.col("delta")), "dead_total": ("sum", F.col("dead"))},
-    )
-    # a run of minutes above a limit shares the count of minutes at or below it so far
-    runs = slices.running(
-        depth.select("q", "slice", "minute", "depth", "dead_total"),
-        ["q"],
-        "slice",
-        ["minute"],
-        {
-            "depth_run": ("sum", (F.col("depth") <= backlog).cast("long")),
-            "dead_run": ("sum", (F.col("dead_total") <= 0).cast("long")),
-        },
+    minute = times.minutes_floor(F.col("ts"), 1).alias("minute")
+    count = F.count(F.lit(1))
+    step = F.when(F.col("event") == "pushed", 1).when(F.col("event") == "started", -1).otherwise(0).cast("long")
+    standing = events.groupBy(minute).agg(F.sum(step).alias("depth"), F.count_if(F.col("event") == "dead").alias("dead"), F.lit(True).alias("task"))
+    upto = {f"upto_{i}": F.count_if(F.col("duration_s") <= b) for i, b in enumerate(DURATION_BOUNDS)}
+    windowed = {"blocks": F.count_if(F.col("outcome") == "403_forbidden"), **upto, "runs": count}
+    inside = window_steps(log.groupBy(minute).agg(*[c.alias(n) for n, c in windowed.items()]), minutes)
+    sums = ["depth", "dead", *windowed]
+    steps = standing.unionByName(inside, allowMissingColumns=True).groupBy("minute").agg(*[F.sum(F.coalesce(n, F.lit(0))).alias(f"step_{n}") for n in sums], F.bool_or("task").alias("task"))
+    points = _over_time(steps, "q", F.lit("all"), {n: F.col(f"step_{n}") for n in sums}, "alert-steps")
+
+    points = points.withColumn("p95", _quantile_of([F.col(n) for n in upto], F.col("runs"), DURATION_BOUNDS, 0.95))
+    rules = (
+        ("queue_backlog", "warning", F.col("depth"), backlog, 5, True),
+        ("dead_letters", "critical", F.col("dead"), 0, 1, True),
+        ("collector_blocked", "critical", F.col("blocks"), blocked, 0, False),
+        ("high_latency", "warning", F.col("p95"), p95_s, latency_hold, False),
     )
-
-    def rule(name: str, severity: str, value: str, run: str, limit: int, hold: int) -> Column:
-        return F.struct(
-            F.lit(name).alias("rule"),
-            F.lit(severity).alias("severity"),
-            F.col(value).alias("value"),
-            F.col(run).alias("run"),
-            (F.col(value) > limit).alias("above"),
-            F.lit(hold * 60 * times.US_PER_SECOND).alias("hold"),
+    judged = [
+        F.when(
+            F.coalesce("task", F.lit(False)) if of_tasks else F.lit(True),
+            F.struct(
+                F.lit(name).alias("rule"), F.lit(severity).alias("severity"), value.cast("double").alias("value"), F.coalesce(value > limit, F.lit(False)).alias("above"),
+                F.lit(hold * 60 * times.US_PER_SECOND).alias("hold"), F.lit(of_tasks).alias("of_tasks"),
+            ),
         )
+        for name, severity, value, limit, hold, of_tasks in rules
+    ]
+    return _episodes(points.select("minute", F.explode(F.array_compact(F.array(*judged))).alias("r")).select("minute", "r.*"))
 
-    both = F.array(
-        rule("queue_backlog", "warning", "depth", "depth_run", backlog, 5),
-        rule("dead_letters", "critical", "dead_total", "dead_run", 0, 1),
-    )
-    standing = (
-        runs.select("minute", F.explode(both).alias("r"))
-        .select("minute", "r.*")
-        .groupBy("rule", "severity", "run", "hold")
-        .agg(
-            F.min(F.when(F.col("above"), F.col("minute"))).alias("since"),
-            F.max("minute").alias("until"),
-            F.max("value").cast("double").alias("value"),
-        )
-        .filter(times.micros(F.col("until")) - times.micros(F.col("since")) >= F.col("hold"))
-        .select("rule", "severity", "since", "until", "value")
-    )
 
-    minute = times.minutes_floor(F.col("ts"), 1).alias("minute")
-    blocks = sliding(log.filter(F.col("outcome") == "403_forbidden").groupBy(minute).agg(F.array(F.count(F.lit(1))).alias("counts")), minutes)
-    blocks = blocks.select("minute", F.element_at("counts", 1).cast("double").alias("value")).filter(F.col("value") > blocked)
-    slow = sliding(log.groupBy(minute).agg(_bucket_counts(DURATION_BOUNDS).alias("counts")), minutes)
-    slow = slow.select("minute", _quantile(F.col("counts"), DURATION_BOUNDS, 0.95).alias("value")).filter(F.col("value") > p95_s)
-    return (
-        standing.unionByName(_episodes(blocks, "collector_blocked", "critical", 0))
-        .unionByName(_episodes(slow, "high_latency", "warning", latency_hold))
-    )
+def window_steps(per_minute: DataFrame, minutes: int) -> DataFrame:
+    """What enters and leaves the window of so many minutes that ends with each minute.
 
+    A minute's counts enter the window when it comes and leave it ``minutes`` later, so a running sum over the result gives
+    every window; the cost follows the minutes that have rows, not the width of the window.
+    """
+    names = [c for c in per_minute.columns if c != "minute"]
+    later = times.plus_seconds(F.col("minute"), F.lit(minutes * 60)).alias("minute")
+    return per_minute.unionByName(per_minute.select(later, *[(-F.col(n)).alias(n) for n in names]))
 
-def sliding(per_minute: DataFrame, minutes: int) -> DataFrame:
-    """(minute, counts): counts of the window of so many minutes that ends with each minute.
 
-    Events are counted per minute first; only those counts are repeated for overlapping windows.
+def _over_time(rows: DataFrame, key: str, value: Column, sums: dict[str, Column], label: str) -> DataFrame:
+    """Running sums by minute, over rows that are first written once."""
+    rows = stage(rows.withColumn(key, value).withColumn("slice", F.col("minute").cast("date")), label)
+    return slices.running(rows, [key], "slice", ["minute"], {n: ("sum", c) for n, c in sums.items()})
+
+
+def _episodes(points: DataFrame) -> DataFrame:
+    """Runs of minutes above a limit that last at least ``hold``.
+
+    Points above share the number of points not above so far; the point that ends them has the next number. A value that is known
+    at task events alone holds until the last of them; that of a window until the minute before it changes.
     """
-    width = F.col("counts")
-    spread = per_minute.withColumn("ahead", F.explode(F.sequence(F.lit(0), F.lit(minutes - 1))))
-    spread = spread.select(times.plus_seconds(F.col("minute"), F.col("ahead") * 60).alias("minute"), F.posexplode(width).alias("k", "n"))
-    sums = spread.groupBy("minute", "k").agg(F.sum("n").alias("n"))
-    ordered = F.sort_array(F.collect_list(F.struct("k", "n")))
-    return sums.groupBy("minute").agg(F.transform(ordered, lambda x: x["n"]).alias("counts"))
-
-
-def _episodes(minutes: DataFrame, rule: str, severity: str, hold_minutes: int) -> DataFrame:
-    """Runs of consecutive minutes of (minute, value) that last at least so long."""
-    rows = minutes.select(F.lit(rule).alias("q"), F.col("minute").cast("date").alias("slice"), "minute", "value")
-    rows = slices.previous(rows, ["q"], "slice", ["minute"], {"before": "minute"})
-    gap = F.coalesce(times.micros(F.col("minute")) - times.micros(F.col("before")) > 60 * times.US_PER_SECOND, F.lit(True))
-    rows = slices.running(rows, ["q"], "slice", ["minute"], {"run": ("sum", gap.cast("long"))})
-    runs = rows.groupBy("q", "run").agg(F.min("minute").alias("since"), F.max("minute").alias("until"), F.max("value").alias("value"))
-    long_enough = times.micros(F.col("until")) - times.micros(F.col("since")) >= hold_minutes * 60 * times.US_PER_SECOND
-    return runs.filter(long_enough).select(F.col("q").alias("rule"), F.lit(severity).alias("severity"), "since", "until", "value")
+    rows = _over_time(points, "rule", F.col("rule"), {"run": (~F.col("above")).cast("long")}, "alert-points")
+    above = F.when(F.col("above"), F.col("minute"))
+    ended = times.plus_seconds(F.min(F.when(~F.col("above"), F.col("minute"))), F.lit(-60))
+    runs = (
+        rows.groupBy("rule", "severity", "hold", "of_tasks", F.when(F.col("above"), F.col("run")).otherwise(F.col("run") - 1).alias("run"))
+        .agg(F.min(above).alias("since"), F.max(above).alias("last"), ended.alias("ended"), F.max(F.when(F.col("above"), F.col("value"))).alias("value"))
+        .filter(F.col("since").isNotNull())
+        .withColumn("until", F.when(F.col("of_tasks"), F.col("last")).otherwise(F.col("ended")))
+    )
+    return runs.filter(times.micros(F.col("until")) - times.micros(F.col("since")) >= F.col("hold")).select("rule", "severity", "since", "until", "value")
