@@ -2,20 +2,21 @@
 
 Each partition packs its own pieces best-fit (decreasing) and emits the bins that are nearly full. The underfull bins become
 the items of the next round: they are dealt to groups of about ``FIRST_GROUP`` bins, in later rounds to ``FAN_IN`` times fewer
-groups, and packed best-fit again, with their pieces. Rounds end at one group, or when a round no longer saves a hundredth of its bins. A
-group never gets more than about ``GROUP`` bins, whatever their number, so a corpus whose leftovers do not fit together does
-not end in one task.
+groups, and packed best-fit again, with their pieces. A bin that the least of all has no room in is done as well. Rounds go on until no two bins
+that are left fit together, or one group has held all of them. A group gets about ``GROUP`` bins at most, whatever their number: bins are dealt
+by a hash of their row number in the written table, so equal ones spread too. A corpus whose leftovers do not fit together does not end in one task.
 
 Texts are encoded where they are read and never shuffled; what moves is underfull bins, a few numbers for each piece.
 
-Nulls: a null text is an empty one, a piece of the end id alone; a null doc_id stays null. Equal rows are packed each.
+Nulls: a null text is an empty one, a piece of the end id alone; a null doc_id stays null. Equal rows are packed each. Texts of any
+length are encoded whole and cut into pieces; the pieces of one text need not follow each other. Of bins with equal room any one is taken.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import zlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -109,7 +110,7 @@ def _schema(docs: DataFrame) -> str:
 
 
 def merge(bins: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
-    """The bins, put into each other best-fit within random groups."""
+    """The bins, put into each other best-fit within groups that a hash of their row numbers makes."""
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -122,28 +123,28 @@ def merge(bins: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
         return pa.Table.from_batches([_bins(flat, np.repeat(best_fit(fill, capacity), sizes))])
 
-    first = F.col("pieces")[0]
-    dealt = bins.withColumn("g", F.pmod(F.xxhash64("fill", first["doc_id"], first["piece"], first["ids_crc32"]), F.lit(groups)))
-    return dealt.groupBy("g").applyInArrow(lambda t: pack(t.select(["fill", "pieces"])), bins.schema)
+    dealt = bins.select("fill", "pieces", F.pmod(F.xxhash64("nth"), F.lit(groups)).alias("g"))
+    return dealt.groupBy("g").applyInArrow(lambda t: pack(t.select(["fill", "pieces"])), bins.select("fill", "pieces").schema)
 
 
 def bins_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """(fill, pieces) of all final bins, as written tables."""
-    now = stage(local_bins(docs, tokenizer, capacity, end), "bins")
-    done = now.where(F.col("fill") > capacity - SLACK)
-    under = now.where(F.col("fill") <= capacity - SLACK)
-    n = under.count()
-    groups = max(-(-n // FIRST_GROUP), 1)
-    while n > 1:
-        now = stage(merge(under, groups, capacity), "bins")
-        done = done.unionByName(now.where(F.col("fill") > capacity - SLACK))
-        under = now.where(F.col("fill") <= capacity - SLACK)
-        left = now.count()
-        if left > 0.99 * n or groups == 1:
+
+    def numbered(bins: DataFrame) -> DataFrame:
+        return stage(bins.withColumn("nth", F.monotonically_increasing_id()), "bins")
+
+    now, done, groups = numbered(local_bins(docs, tokenizer, capacity, end)), [], 0
+    while True:
+        most = capacity - SLACK
+        least = now.where(F.col("fill") <= most).agg(F.min("fill")).first()[0]
+        most = min(most, capacity - (least or capacity))  # no bin fuller than this takes another in
+        n = now.where(F.col("fill") <= most).count()
+        if n < 2 or groups == 1:
             break
-        n = under.count()
-        groups = max(-(-n // GROUP), groups // FAN_IN, 1)
-    return done.unionByName(under)
+        done.append(now.where(F.col("fill") > most))
+        groups = max(-(-n // GROUP), groups // FAN_IN, 1) if groups else max(-(-n // FIRST_GROUP), 1)
+        now = numbered(merge(now.where(F.col("fill") <= most), groups, capacity))
+    return reduce(DataFrame.unionByName, [*done, now]).drop("nth")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
