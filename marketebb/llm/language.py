@@ -3,7 +3,8 @@
 Features are hashed n-grams of one to three characters (ASCII and Latin-1 capitals folded, ASCII marks and digits as
 blanks), weighted by relative frequency times inverse document frequency. The document frequencies come from all documents of
 the training fold. The weights are trained with follow-the-regularised-leader-proximal and elastic-net penalties, which leave
-most of them at zero, on a bounded sample by hash: about ``PER_LANGUAGE`` documents of each language, at most ``SAMPLE`` in all. A
+most of them at zero, on a bounded sample by hash: of each language ``PER_LANGUAGE`` documents at most, fewer where there are so
+many languages that this would pass ``SAMPLE`` in all, but every document of a language that has no more than its share; no language is left out. A
 tenth of the sample is held back to find the temperature that calibrates the probabilities.
 
 Since features are linear in the n-gram counts, a text of any length is scored by adding up weights in slices of bounded
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketebb.llm.shared import stage
@@ -169,13 +170,16 @@ def fit(docs: DataFrame) -> Model | None:
     idf = np.full(SIZE, np.log(1 + n))
     known = frequency[frequency["gram"] >= 0]
     idf[known["gram"]] = np.log((1 + n) / (1 + known["n"])) + 1e-3
-    # which documents are the sample is settled on narrow rows; only theirs are read again
-    key = fold.select("doc_id", "lang", F.xxhash64("doc_id", F.length("text")).alias("h"))
-    share = key.groupBy("lang").agg((F.lit(PER_LANGUAGE) / F.count("*")).alias("share"))
-    chosen = key.join(share, "lang").where(F.pmod("h", F.lit(1 << 31)) < F.col("share") * (1 << 31))
-    chosen = stage(chosen.select("doc_id", "h").distinct().orderBy("h").limit(SAMPLE), "language-sample")
-    rows = fold.withColumn("h", F.xxhash64("doc_id", F.length("text"))).join(chosen, ["doc_id", "h"])
-    got = examples(rows).orderBy("h", "lang").limit(SAMPLE).toPandas()
+    # which documents are the sample is settled on narrow rows, language by language; only theirs are read again
+    h = F.xxhash64("doc_id", "text").alias("h")
+    key = fold.select("lang", h)
+    counts = stage(key.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    quota = max(1, min(PER_LANGUAGE, SAMPLE // max(counts.count(), 1)))
+    chosen = key.join(counts, "lang").where(F.pmod("h", F.lit(1 << 31)) < F.lit(2.0 * quota * (1 << 31)) / F.col("n")).select("lang", "h").distinct()
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = stage(chosen.withColumn("nth", nth).where(F.col("nth") <= quota).select("lang", "h"), "language-sample")
+    rows = fold.select("*", h).join(chosen, ["lang", "h"])
+    got = examples(rows).dropDuplicates(["lang", "h"]).toPandas().sort_values(["h", "lang"], ignore_index=True)
     languages = sorted(got["lang"].unique())
     if not languages:
         return None
