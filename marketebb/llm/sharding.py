@@ -2,8 +2,9 @@
 
 A record belongs for ever to one of ``SLOTS`` virtual slots, by the hash of its doc_id. The bytes of each slot are summed,
 and a versioned map says which shard holds which slot. A new map puts the largest slots first, each into the lightest shard.
-When data or shards change, the map is edited: only as many slots move as are needed, and the edit is a new version. The
-map has ``SLOTS`` rows whatever the data, so it is computed in one row with ``aggregate`` and joined (Catalyst may
+When data or shards change, the stored map is edited: only as many slots move as are needed, and the edit is a new version. Records
+are placed by what is read back from the store. A slot with more than ``HEAVY`` of a shard's share holds a doc_id that very many rows have (or none):
+its records are dealt to all slots by doc_id and row number. The map has ``SLOTS`` rows whatever the data, so it is computed in one row with ``aggregate`` and joined (Catalyst may
 broadcast it, its size is fixed).
 
 Law: bytes. A record's size is the UTF-8 bytes of its text (null: none) plus 8.
@@ -12,8 +13,8 @@ The place of a record in its shard counts from 0 without gaps: rows are numbered
 of such a run is the sum of the runs before it. Runs number at most slots times ``RUNS`` for each shard, so no window ever
 holds a shard, and copies of one record are spread over the runs.
 
-Nulls: a null doc_id is a key like others. Equal rows share a slot and get places of their own. Where one doc_id has more
-bytes than a shard's share, no assignment is near equal; its slot then stands alone.
+Nulls: a null doc_id is a key like others. Equal rows get places of their own. Texts count whole; where a single record has more
+bytes than a shard's share, no assignment is near equal, and its slot stands alone. Of slots of equal bytes the lower number comes first.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketebb.llm.shared import stage
+from marketebb.llm.shared import scratch_dir, stage
+from marketebb.sources.sinks import exists
 
-SLOTS, SHARDS, OVERHEAD, RUNS, TOLERANCE = 4096, 24, 8, 64, 0.01
+SLOTS, SHARDS, OVERHEAD, RUNS, TOLERANCE, HEAVY = 4096, 24, 8, 64, 0.01, 0.25
 
 
 def virtual_slot(key: Column, slots: int = SLOTS) -> Column:
@@ -51,6 +53,15 @@ def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
     return every.join(used, "virtual_slot", "left").select("virtual_slot", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
 
 
+def spread(rows: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
+    """The records of slots that are large beside a shard get slots of their own; at most ``shards / HEAVY`` slots are."""
+    sums = slot_bytes(rows, slots)
+    limit = sums.agg(F.sum("bytes")).first()[0] / shards * HEAVY
+    heavy = [r.virtual_slot for r in sums.where(F.col("bytes") > max(limit, 1)).collect()]
+    own = F.pmod(F.xxhash64("doc_id", "row"), F.lit(slots)).cast("int")
+    return rows.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(heavy), own).otherwise(F.col("virtual_slot"))) if heavy else rows
+
+
 def _lightest(loads: Column) -> Column:
     return F.array_position(loads, F.array_min(loads)).cast("int") - 1
 
@@ -123,10 +134,21 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     return rows.withColumn("nth", nth).join(runs, ["virtual_slot", "run"]).withColumn("slot", F.col("begin") + F.col("nth"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version of every document."""
-    rows = records(docs, slots)
-    slot_map = stage(new_map(slot_bytes(rows, slots), shards), "slot-map")
+def next_map(rows: DataFrame, store: str, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+    """The map for these records, as read back from the store: an edit of the newest version there, or version 1."""
+    spark, sums = rows.sparkSession, slot_bytes(rows, slots)
+    new = stage(edited_map(load_map(spark, store), sums, shards) if exists(spark, store) else new_map(sums, shards), "slot-map")
+    save_map(new, store)
+    return load_map(spark, store)
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, store: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version of every document.
+
+    ``store`` is the folder of the map's versions; without one a new store is begun.
+    """
+    rows = spread(records(docs, slots), shards, slots)
+    slot_map = next_map(rows, store or scratch_dir(docs.sparkSession, "slot-maps"), shards, slots)
     return placed(rows, slot_map).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version",
