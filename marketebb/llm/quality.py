@@ -2,7 +2,7 @@
 
 The rules count words, characters, symbols, repeated lines and repeated three-word runs of each whole text. Two of them
 reject by themselves (``base_failed``). For the rest an isolation forest, trees of random splits over ratios of such
-statistics, gives each document its mean path length: documents that few splits set apart are anomalous. The forest is
+statistics (symbols, word length, capitals, marks, and the shares of repeated lines and of repeated words), gives each document its mean path length: documents that few splits set apart are anomalous. The forest is
 grown and its threshold calibrated on labelled rows: at most ``sample`` of them, those of the least hash of doc_id. Half of
 them grow the trees, good rows (quality 1) with a share ``contamination`` of bad ones (quality 0), so that anomalies are as
 rare as the method assumes. On the other half the threshold is the one that finds most bad rows while it rejects at most
@@ -12,7 +12,8 @@ One pass over the documents, no shuffle of texts: only labelled texts meet the l
 rows.
 
 Nulls: a null text has no words and fails the rules. doc_id and further columns pass through. A label counts if quality is
-0 or 1 and doc_id is not null; a doc_id labelled twice takes the worse label.
+0 or 1 and doc_id is not null; a doc_id labelled twice takes the worse label. Texts are measured whole, one at a time. A score equal to the
+threshold keeps; equal rows get equal verdicts.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from marketebb.llm.shared import fresh, stage
 MIN_WORDS, REPEAT_SHARE = 50, 50
 SYMBOLS = b"#*$%&|<>"
 SAMPLE, TREES, TREE_ROWS, CLEAN_LOSS, CONTAMINATION = 20_000, 200, 256, 0.002, 0.015
+RATIOS = 6
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -54,7 +56,7 @@ def statistics(text: bytes) -> tuple[list[int], list[float]]:
     words = text.split()
     n = len(words)
     if not n:
-        return [0, 0, 0, 0, 0], [0.0] * 4
+        return [0, 0, 0, 0, 0], [0.0] * RATIOS
     inside = b"".join(words)
     codes = np.frombuffer(inside, np.uint8)
     chars = int(((codes & 0xC0) != 0x80).sum())
@@ -65,7 +67,7 @@ def statistics(text: bytes) -> tuple[list[int], list[float]]:
     kinds = np.bincount(codes, minlength=256)
     upper, lower, digits = int(kinds[65:91].sum()), int(kinds[97:123].sum()), int(kinds[48:58].sum())
     marks = int(kinds[33:127].sum()) - upper - lower - digits
-    ratios = [math.log1p(4 * symbols / n), chars / n / 8, upper / (upper + lower + 1), math.log1p(4 * marks / n)]
+    ratios = [math.log1p(4 * symbols / n), chars / n / 8, upper / (upper + lower + 1), math.log1p(4 * marks / n), dup / max(len(lines), 1), repeat / n]
     return [n, chars, symbols, dup, repeat], ratios
 
 
