@@ -18,7 +18,8 @@ reach the similarity: the shingles that only one of these texts has bound every
 band with a probability of 3 in a million. Every link is verified on the full shingle sets.
 
 Nulls and ties: null and word-less texts form classes of their own row group (equal texts stay apart unless they have
-words); rows with equal doc_id are rows like others; a class is named by its least doc_id (null if it has none).
+words); rows with equal doc_id are rows like others; ``class_id`` is the least doc_id of a class (null if it has none), which two classes may
+have in common where ids repeat; ``class_key``, a digest, names one class alone (null for rows without words).
 """
 
 from __future__ import annotations
@@ -255,16 +256,21 @@ def _leader_pairs(now: DataFrame, mixed: DataFrame, turn: int) -> DataFrame:
 
 
 def _rest_pairs(now: DataFrame, mixed: DataFrame, sets: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """(a, b, la, lb): the pairs of different classes in a bucket that can be links."""
+    """(a, b, la, lb): the pairs of different classes in a bucket that can be links.
+
+    The classes of a bucket meet first, then their members: texts of one class are never paired.
+    """
     rest = stage(now.join(mixed, "h").select("h", "key", "label"), "rest")
     bound = stage(linkable(sets, rest.select("key").distinct(), similar).join(texts.select("key", "bands"), "key"), "bound")
     rest = rest.join(bound, "key")
+    rest = stage(rest, "rest")
     one, two = (rest.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "bands", "n", "common"))) for k in "ab")
-    meet = (F.col("label_a") != F.col("label_b")) & (F.col("key_a") < F.col("key_b"))
-    meet &= F.least("common_a", "common_b") * (1 + similar) >= (F.col("n_a") + F.col("n_b")) * similar - 1e-6
+    left, right = (rest.select("h", F.col("label").alias(f"label_{k}")).distinct() for k in "ab")
+    apart = left.join(right, "h").where("label_a < label_b")
+    meet = F.least("common_a", "common_b") * (1 + similar) >= (F.col("n_a") + F.col("n_b")) * similar - 1e-6
     # of the buckets that a pair shares, the least one stands for it
     meet &= F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("h")
-    return one.join(two, "h").where(meet).select(*(F.col(c).alias(n) for c, n in (("key_a", "a"), ("key_b", "b"), ("label_a", "la"), ("label_b", "lb")))).distinct()
+    return apart.join(one, ["h", "label_a"]).join(two, ["h", "label_b"]).where(meet).select(*(F.col(c).alias(n) for c, n in (("key_a", "a"), ("key_b", "b"), ("label_a", "la"), ("label_b", "lb")))).distinct()
 
 
 def classes(
@@ -283,13 +289,14 @@ def classes(
     have = stage(nodes.select(F.col("key").alias("node"), F.col("key").alias("label")), "classes")
     for turn in range(leader_rounds + 1):
         now = stage(members.join(have, members.key == have.node).select("h", "key", "share", "label"), "now")
-        mixed = now.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
+        # written, so that joins with it deal the rows anew and large buckets can be split
+        mixed = stage(now.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h"), "mixed")
         found_pairs = _leader_pairs(now, mixed, turn) if turn < leader_rounds else _rest_pairs(now, mixed, sets, texts, similar)
         pairs = stage(found_pairs, "pairs")
         members_left = stage(now.join(mixed, "h").select("h", "key", "share"), "members")
         links = verified(pairs.select("a", "b"), sets, similar).join(pairs, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b"))
         links = stage(links.distinct(), "links")
-        discard(now, pairs, members)
+        discard(now, mixed, pairs, members)
         members = members_left
         if not links.isEmpty():
             old, have = have, _join_classes(have, links)
@@ -305,8 +312,8 @@ def classes(
 
 
 def near_dedup(docs: DataFrame, **how: float) -> DataFrame:
-    """doc_id, class_id of every document."""
-    return classes(docs, **how).select("doc_id", "class_id")
+    """doc_id, class_id, class_key (hex) of every document."""
+    return classes(docs, **how).select("doc_id", "class_id", F.lower(F.hex("class_key")).alias("class_key"))
 
 
 def keep_one(docs: DataFrame, bits: int = 24, **how: float) -> DataFrame:
@@ -317,7 +324,7 @@ def keep_one(docs: DataFrame, bits: int = 24, **how: float) -> DataFrame:
     """
     worded = stage(classes(docs, **how).where("class_key is not null"), "member")
     size = worded.groupBy("class_key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("stay"))
-    touched = worded.join(size.where("n > 1"), "class_key").select("doc_id", "key", F.expr("stay.key = key and stay.doc_id <=> doc_id").alias("stays")).distinct()
+    touched = worded.join(stage(size.where("n > 1"), "sizes"), "class_key").select("doc_id", "key", F.expr("stay.key = key and stay.doc_id <=> doc_id").alias("stays")).distinct()
     key, t_key, t_id, x, some, stays, nth = fresh(docs, "text_key", "touched_key", "touched_id", "name_hash", "held_back", "stays", "nth")
     touched = stage(touched.select(F.col("key").alias(t_key), F.col("doc_id").alias(t_id), F.xxhash64("key", "doc_id").alias(x), F.col("stays").alias(stays)), "touched")
     named = docs.withColumn(key, digest())
