@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marketebb.llm import files, idfile, packing, sharding, tokens, warc
-from marketebb.session import scratch_dir
+from marketebb.session import scratch_dir, stage
 from tests.llm.conftest import prose
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -210,3 +210,59 @@ def test_slot_map_versions(spark, odd):
 
 def test_sharding_empty(empty):
     assert sharding.shard(empty).count() == 0
+
+
+def test_packing_goes_on_while_bins_fit(spark, library, monkeypatch):
+    """Mostly bins that nothing fits, and a few small ones that fit each other: they all come together."""
+    monkeypatch.setattr(packing, "FIRST_GROUP", 40)
+    monkeypatch.setattr(packing, "GROUP", 60)
+    sizes = [1900] * 300 + [200] * 20
+    docs = spark.createDataFrame([(i, "word " * (n - 1)) for i, n in enumerate(sizes)], "doc_id long, text string").repartition(32)
+    want = [(i, [*library.encode("word " * (n - 1), add_special_tokens=False).ids, 0]) for i, n in enumerate(sizes)]
+    small = sum(len(ids) for _, ids in want[300:])
+    assert check_packing(packing.pack(docs, PATH).collect(), want) <= 300 + -(-small // 2000)
+
+
+def test_equal_rows_spread_over_groups(spark):
+    one = [{"doc_id": None, "piece": 0, "start": 0, "length": 1201, "ids_crc32": 1, "offset": 0}]
+    bins = spark.range(0, 5000, 1, 4).select(F.lit(1201).cast("long").alias("fill"), F.array(F.struct(*[F.lit(v).cast(t).alias(k) for (k, v), t in zip(one[0].items(), ("long", "int", "long", "long", "long", "long"), strict=True)])).alias("pieces"))
+    bins = stage(bins.withColumn("nth", F.monotonically_increasing_id()), "equal-bins")
+    groups = bins.groupBy(F.pmod(F.xxhash64("nth"), F.lit(8))).count().collect()
+    assert len(groups) == 8 and max(r["count"] for r in groups) < 800
+    assert packing.merge(bins, 8).count() == 5000
+
+
+def greedy(sizes, shards):
+    """Slot -> shard: the largest slot first into the lightest shard, empty slots in turn."""
+    loads, out = [0] * shards, {}
+    for slot in sorted(sizes, key=lambda s: (-sizes[s], s)):
+        k = slot % shards if not sizes[slot] else loads.index(min(loads))
+        loads[k] += sizes[slot]
+        out[slot] = k
+    return out
+
+
+def test_stored_map_is_the_greedy_one(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") * 37 % 101).cast("int")).alias("text"))
+    store = scratch_dir(spark, "slot-maps-test")
+    rows = sharding.shard(docs, slots=256, store=store).collect()
+    sizes = dict.fromkeys(range(256), 0)
+    for r in rows:
+        sizes[r.virtual_slot] += r.size
+    want = greedy(sizes, 24)
+    assert {r.virtual_slot: r.shard for r in sharding.load_map(spark, store).collect()} == want
+    assert all(r.shard == want[r.virtual_slot] and r.map_version == 1 for r in rows)
+    again = sharding.shard(docs, shards=25, slots=256, store=store).collect()
+    assert {r.map_version for r in again} == {2}
+    moved = {r.virtual_slot: r.shard for r in again if r.shard != want[r.virtual_slot]}
+    assert set(moved.values()) == {24}
+
+
+def test_many_rows_of_one_id_do_not_fill_a_shard(spark):
+    docs = spark.range(0, 6000, 1, 4).select(F.when(F.col("id") % 3 == 0, F.col("id")).alias("doc_id"), F.lit("same text").alias("text"))
+    rows = sharding.shard(docs).collect()
+    totals = [0] * 24
+    for r in rows:
+        totals[r.shard] += r.size
+    assert max(totals) <= 1.05 * sum(totals) / 24
+    assert len(rows) == 6000 and all(sorted(r.slot for r in rows if r.shard == k) == list(range(totals[k] // 17)) for k in range(24))

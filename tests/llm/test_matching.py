@@ -163,3 +163,26 @@ def test_content_once_against_twice(spark, leader_rounds):
 def test_near_dedup_empty(empty):
     assert near_dedup.near_dedup(empty).count() == 0
     assert near_dedup.keep_one(empty).columns == empty.columns
+
+
+def test_repeated_ids_of_different_texts(spark):
+    texts = [(1, prose(1, 60)), (1, prose(2, 60)), (2, prose(1, 60)), (3, prose(2, 60)), (None, prose(3, 60)), (None, prose(4, 60))]
+    got = near_dedup.near_dedup(spark.createDataFrame(rows(texts), SCHEMA)).collect()
+    assert len({r.class_key for r in got}) == 4
+    assert sorted(r.doc_id or -1 for r in got) == [-1, -1, 1, 1, 2, 3]
+    by = {}
+    for r in got:
+        by.setdefault(r.class_key, []).append(r.doc_id)
+    assert sorted((sorted(v, key=str) for v in by.values()), key=str) == [[1, 2], [1, 3], [None], [None]]
+
+
+def test_a_class_beside_a_stranger_makes_no_pairs_within(spark):
+    """One bucket of 400 texts of one class and one of another: as many pairs as members, not their square."""
+    key = lambda i: hashlib.md5(str(i).encode()).digest()
+    schema = "h long, key binary, share double, label binary"
+    now = spark.createDataFrame([(5, key(i), 1.0, key(0) if i else key(999)) for i in range(401)], schema)
+    shingles = np.arange(100, dtype=np.uint64).tobytes()
+    sets = spark.createDataFrame([(key(i), shingles) for i in range(401)], "key binary, shingles binary")
+    texts = spark.createDataFrame([(key(i), [5]) for i in range(401)], "key binary, bands array<long>")
+    mixed = spark.createDataFrame([(5,)], "h long")
+    assert near_dedup._rest_pairs(now, mixed, sets, texts, 0.8).count() == 400

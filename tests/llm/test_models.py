@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+import textwrap
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -218,8 +221,8 @@ def test_licences(spark, odd):
         "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "Licensed under CC BY-NC 4.0.",
         "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Foobar Source Licence.", None, "",
     ]
-    texts = [(100 + i, f"{prose(i, 60)}\n{t}\n{prose(i + 50, 30)}" if t else t) for i, t in enumerate(notes)]
-    texts += [(200 + i, prose(300 + i, 80) + "\n" + prose(400 + i, 40)) for i in range(40)]
+    texts = [(100 + i, f"{prose(i, 60)}.\n{t}\n{prose(i + 50, 30)}" if t else t) for i, t in enumerate(notes)]
+    texts += [(200 + i, prose(300 + i, 80) + ".\n" + prose(400 + i, 40)) for i in range(40)]
     table = spark.createDataFrame(rows(texts), SCHEMA).unionByName(odd)
     got = {r.doc_id: (r.paragraph, r.family) for r in licences.licences(table).collect()}
     want = {100: (1, "apache"), 101: (1, "mit"), 102: (1, "cc-by-nc"), 103: (1, "gpl")}
@@ -234,12 +237,104 @@ def test_licence_lines_that_the_sample_holds_are_found(spark):
         "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "unknown": "All rights reserved.",
     }
-    plain = "all seats are reserved and human rights\npermission was granted to a person\nthe source of binary numbers\nforms of use and charge"
-    texts = [(1000 * k + i, f"{prose(100 * k + i, 40)}\n{t}\n{prose(100 * k + i + 50, 20)}") for k, t in enumerate(notes.values(), 1) for i in range(40)]
-    texts += [(9000 + i, f"{prose(900 + i, 60)}\n{plain}\n{prose(1900 + i, 30)}") for i in range(120)]
+    plain = "all seats are reserved and human rights.\npermission was granted to a person.\nthe source of binary numbers.\nforms of use and charge."
+    texts = [(1000 * k + i, f"{prose(100 * k + i, 40)}.\n{t}\n{prose(100 * k + i + 50, 20)}") for k, t in enumerate(notes.values(), 1) for i in range(40)]
+    texts += [(9000 + i, f"{prose(900 + i, 60)}.\n{plain}\n{prose(1900 + i, 30)}") for i in range(120)]
     got = sorted((r.doc_id, r.paragraph, r.family) for r in licences.licences(spark.createDataFrame(rows(texts), SCHEMA)).collect())
     assert got == [(1000 * k + i, 1, f) for k, f in enumerate(notes, 1) for i in range(40)]
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_licence_notices_at_any_width(spark, mark):
+    notices = {
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    }
+    texts, want = [], []
+    for k, (family, notice) in enumerate(notices.items()):
+        for width in (200, 79, 60, 40):
+            head = [prose(k, 9) + ".", "", *textwrap.wrap(notice, width), "", prose(k + 9, 30)]
+            texts.append((100 * k + width, "\n".join(mark + x for x in head)))
+            want.append((100 * k + width, family))
+    texts += [(9000 + i, prose(300 + i, 80) + ".\n" + prose(400 + i, 40)) for i in range(40)]
+    got = sorted((r.doc_id, r.family) for r in licences.licences(spark.createDataFrame(rows(texts), SCHEMA)).collect())
+    assert got == sorted(want)
+
+
+def test_licence_scores_by_brute_force(spark):
+    """Probabilities and containment of a scan, recomputed in plain Python from the model's weights."""
+    notes = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This material is licensed for internal use only.", "All rights reserved."]
+    texts = [(i, f"{prose(i, 40)}.\n{t}\n{prose(i + 50, 20)}.") for i, t in enumerate(notes)] + [(100 + i, prose(900 + i, 60)) for i in range(60)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    model = licences.fit(docs)
+    got = {r.doc_id: r for r in licences.scan(docs, model).collect()}
+    for i, t in enumerate(notes):
+        ws = re.findall(r"[^\W_]+(?:\.[0-9]+)?", t.lower())
+        grams = {*ws, *(" ".join(p) for p in zip(ws, ws[1:], strict=False))}
+        logits = np.array(model.bias) + sum((np.array(model.weights[g]) for g in grams if g in model.weights), np.zeros(len(model.bias)))
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        best = int(p[1:].argmax()) + 1
+        if p[best] < model.least:
+            assert i not in got
+            continue
+        shares = [0.0]
+        for template in licences.TEMPLATES[model.families[best]] if model.families[best] != "unknown" else ():
+            ts = re.findall(r"[^\W_]+(?:\.[0-9]+)?", template.lower())
+            pairs = {" ".join(q) for q in zip(ts, ts[1:], strict=False)}
+            shares.append(len(pairs & grams) / len(pairs))
+        r = got[i]
+        assert abs(r.probability - p[best]) < 1e-9 and abs(r.containment - max(shares)) < 1e-12 and r.paragraph == 1
+        assert r.family == (model.families[best] if max(shares) >= licences.CONFIRM else "unknown")
+
+
+def test_no_language_is_left_out(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+
+    def text(k, i):
+        rng = random.Random(1000 * k + i)
+        own = random.Random(k).sample(letters, 6)
+        return " ".join("".join(rng.choice(own) for _ in range(rng.randint(2, 7))) for _ in range(40))
+
+    data, n = [], 0
+    for k in range(100):
+        for i in range(5 if k == 7 else 70):
+            while zlib.crc32(str(n).encode()) % 4 == 2:
+                n += 1
+            data.append((n, text(k, i), f"l{k}", "s", 1, "k", 1, "q", 0.0))
+            n += 1
+    got = language.language(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()
+    of = {r[0]: r[2] for r in data}
+    assert len({r.lang_pred for r in got}) == 100
+    assert any(r.lang_pred == "l7" for r in got if of[r.doc_id] == "l7")
+
+
+def test_path_lengths_by_recursion():
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(300, quality.RATIOS))
+    forest = quality.Forest(data, trees=20, tree_rows=64)
+
+    def walk(tree, row, at=0):
+        feature, cut, left, path = tree
+        return path[at] if feature[at] < 0 else walk(tree, row, left[at] + (row[feature[at]] >= cut[at]))
+
+    c = 2 * (math.log(63) + 0.5772156649) - 2 * 63 / 64
+    want = [2 ** -(sum(walk(t, r) for t in forest.trees) / 20 / c) for r in data]
+    assert np.allclose(forest.scores(data), want)
+
+
+def test_repeated_lines_are_anomalous(docs, labels):
+    model = quality.fit(docs, labels)
+    lines = [f"{prose(i, 2)}" for i in range(100)]
+    random.Random(3).shuffle(lines)
+    repeated = quality.statistics("\n".join([*[prose(i, 2) for i in range(100)], *lines]).encode())
+    clean = quality.statistics("\n".join(f"{prose(i, 12)}." for i in range(20)).encode())
+    assert repeated[0][3] == 100
+    a, b = model.scores(np.array([repeated[1], clean[1]]))
+    flat = model.scores(np.array([[*repeated[1][:4], 0.0, 0.0]]))[0]
+    assert a > b and a > flat
+
+
 def test_licences_empty(empty):
     assert licences.licences(empty).count() == 0
