@@ -6,7 +6,7 @@ from marketebb.plans import registry
 
 
 def _load() -> None:
-    from marketebb.plans import market, operations  # noqa: F401
+    from marketebb.plans import market, operations, streams  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

@@ -151,7 +151,7 @@ def stream_state_machine(spark, sf):
 
 @query(
     o.select(
-        "SELECT ip_id, hour_bucket, inflow, outflow, round(liquidity_index, 6) AS liquidity_index FROM hours",
+        "SELECT ip_id, hour_bucket, inflow, outflow, round(liquidity_index, 4) AS liquidity_index FROM hours",
         *HOURS,
     )
 )
@@ -162,8 +162,7 @@ def stream_hours(spark, sf):
     root = scratch_dir(spark, "flow")
     source = driver.observations_of(driver.stream_table(spark, sf, "events"))
     flow.start_on_observations(source, root, scratch_dir(spark, "flow-checkpoint")).awaitTermination()
-    rows = flow.hours(spark, root).select("ip_id", "hour_bucket", "inflow", "outflow", "liquidity_index")
-    return rounded(rows, "liquidity_index")
+    return flow.hours(spark, root).select("ip_id", "hour_bucket", "inflow", "outflow", F.col("liquidity_index").cast("double").alias("liquidity_index"))
 
 
 # --- hour rows ----------------------------------------------------------------------------------

@@ -57,6 +57,32 @@ def busy_observations(spark: SparkSession, sf_dir: str, minutes: int = 20) -> Da
     )
 
 
+def crawl_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result messages (arrival, value) of the busy events, one for each crawl of an entity, as JSON text.
+
+    They arrive in four lots. By entity and number of the crawl some come a lot late, some twice, some tell of a failed crawl and
+    some of a time 40 days ahead.
+    """
+    seen = busy_observations(spark, sf_dir, 360)
+    item = F.struct(
+        "pos", F.col("source_id").alias("sourceId"), "price", F.when(F.col("status") == "sold", "ITEM_STATUS_SOLD").alias("status")
+    )
+    crawls = seen.groupBy("ip_id", "crawl_ts").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    seconds = F.floor(times.micros(F.col("crawl_ts")) / times.US_PER_SECOND)
+    n = F.floor(seconds / 21600) + F.col("ip_id")
+    lot = F.least(F.floor((F.dayofmonth("crawl_ts") - 1) / 8) + (n % 11 == 3).cast("int"), F.lit(3))
+    told = seconds + F.when((n + F.col("ip_id")) % 97 == 7, 40 * 86400).otherwise(0)
+    message = F.struct(
+        F.col("ip_id").cast("string").alias("ipId"),
+        F.concat_ws("-", F.lit("t"), F.col("ip_id").cast("string"), seconds.cast("string")).alias("taskId"),
+        told.cast("string").alias("crawledAt"),
+        F.when(n % 13 == 5, "net::ERR_FAILED").alias("errorMessage"),
+        F.transform("items", lambda i: i.dropFields("pos")).alias("items"),
+    )
+    lots = F.when(n % 5 == 0, F.array_distinct(F.array(lot, F.least(lot + 1, F.lit(3))))).otherwise(F.array(lot))
+    return crawls.select(F.explode(lots.cast("array<int>")).alias("arrival"), F.to_json(message).alias("value"))
+
+
 def import_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An import list from ``customer``: known, new, repeated and nameless entries."""
     key = F.col("c_custkey")

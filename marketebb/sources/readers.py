@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marketebb import schemas
 from marketebb.functions import times
@@ -100,8 +101,9 @@ def seed_entries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored Parquet table with its fixed schema."""
-    return spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}")
+    """A stored Parquet table with its fixed schema, whatever columns it is partitioned by."""
+    stored = spark.read.schema(schemas.TABLES[name]).parquet(f"{root}/{name}")
+    return stored.select(StructType.fromDDL(schemas.TABLES[name]).fieldNames())
 
 
 def jdbc_table(

@@ -6,24 +6,27 @@ own partition. Buckets are replaced by dynamic partition overwrite.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, IntegerType, LongType, StructField, StructType
 
 from marketebb.session import stage
 
 
 def conform(df: DataFrame, ddl: str) -> DataFrame:
-    """Columns of the stored schema in order, cast to its types; missing ones are NULL."""
-    schema = StructType.fromDDL(ddl)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+    """Columns of the stored schema in order, cast to its types; missing ones, and missing fields of structs, are NULL."""
+
+    def typed(column: Column, have: DataType | None, want: DataType) -> Column:
+        if not isinstance(want, StructType) or not isinstance(have, StructType):
+            return (F.lit(None) if have is None else column).cast(want)
+        kinds = {f.name: f.dataType for f in have.fields}
+        fields = [typed(column[f.name], kinds.get(f.name), f.dataType).alias(f.name) for f in want.fields]
+        return F.when(column.isNotNull(), F.struct(*fields))
+
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[typed(F.col(f.name), kinds.get(f.name), f.dataType).alias(f.name) for f in StructType.fromDDL(ddl).fields])
 
 
 def overwrite_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
@@ -36,6 +39,53 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     overwrite_partitions(df.withColumn("batch_id", F.lit(batch_id).cast("long")), path, ["batch_id"])
 
 
+def before_batch(stored: DataFrame, batch_id: int) -> DataFrame:
+    """Rows of a table kept by :func:`upsert_buckets` as they were before a batch.
+
+    A row that the batch has changed already carries what it was, so a batch that runs again starts from the same rows.
+    """
+    fields = stored.schema["before"].dataType.fieldNames()
+    mine = F.col("changed_in") >= batch_id
+    there = stored.filter(~mine | F.col("before").isNotNull())
+    others = [c for c in stored.columns if c not in (*fields, "changed_in", "before")]
+    return there.select(
+        *others,
+        *[F.when(mine, F.col("before")[c]).otherwise(F.col(c)).alias(c) for c in fields],
+        F.least("changed_in", F.lit(batch_id - 1)).cast("long").alias("changed_in"),
+    )
+
+
+def upsert_buckets(updates: DataFrame, path: str, keys: Sequence[str], batch_id: int, keep: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Put one row for each key into its ``bucket``; only buckets with an update are read and written.
+
+    Each row says in which batch it changed and what it was before (:func:`before_batch`), so a batch may run again, and a
+    run that stopped between two buckets is completed by the next. ``keep`` filters the rows that are written.
+    """
+    spark = updates.sparkSession
+    fields = [c for c in updates.columns if c not in (*keys, "bucket")]
+    buckets = [r.bucket for r in updates.select("bucket").distinct().collect()]  # as many as the layout has, at most
+    if not buckets:
+        return
+    old = before_batch(bucketed(spark, path, updates.schema, keys).filter(F.col("bucket").isin(buckets)), batch_id)
+    old = old.select("bucket", *keys, F.struct(*fields).alias("old"), F.col("changed_in").alias("old_in"))
+    both = updates.select("bucket", *keys, F.struct(*fields).alias("new")).join(old, ["bucket", *keys], "full")
+    changed = F.col("new").isNotNull()
+    now = both.select(
+        "bucket", *keys, *[F.when(changed, F.col("new")[c]).otherwise(F.col("old")[c]).alias(c) for c in fields],
+        F.when(changed, F.lit(batch_id)).otherwise(F.col("old_in")).cast("long").alias("changed_in"), F.when(changed, F.col("old")).alias("before"),
+    )
+    now = stage(keep(now) if keep else now, "buckets")
+    overwrite_partitions(now.repartition("bucket"), path, ["bucket"])
+
+
+def bucketed(spark: SparkSession, path: str, row: StructType, keys: Sequence[str]) -> DataFrame:
+    """A table of :func:`upsert_buckets` whose updates have this schema; empty before its first batch."""
+    own = [f for f in row.fields if f.name != "bucket"]
+    before = StructType([f for f in own if f.name not in keys])
+    schema = StructType([*own, StructField("changed_in", LongType()), StructField("before", before), StructField("bucket", IntegerType())])
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def append(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
     df.write.mode("append").partitionBy(*by).parquet(path)
 

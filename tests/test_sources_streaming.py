@@ -192,7 +192,7 @@ def test_write_path_equals_batch_with_a_restart(spark, tmp_path):
     moved = T.transitions(whole)
     expected = hourly.hourly(T.crawl_flow(moved), hourly.sold_sample(moved))
     columns = ("ip_id", "hour_bucket", "inflow", "outflow", "avg_price", "median_price", "min_price", "sample_count")
-    assert rows(flow.hours(spark, root), *columns) == rows(expected, *columns)
+    assert rows(flow.hours(spark, root), *columns) == rows(sinks.conform(expected, schemas.HOURS), *columns)
     snap = ("ip_id", "source_id", "price", "status", "first_seen_at", "sold_at", "price_changed")
     assert rows(flow.snapshots(spark, root), *snap) == rows(snapshots.snapshot_delta(whole), *snap)
     assert not sinks.exists(spark, f"{root}/late/batch_id=0") and not sinks.exists(spark, f"{root}/late/batch_id=1")
@@ -205,13 +205,60 @@ def test_write_path_equals_batch_with_a_restart(spark, tmp_path):
     flow.process(spark.createDataFrame([r for r in data if r[4] < cut][:20], OBS), None, 2, root, entities)
     assert spark.read.parquet(f"{root}/late").count() == 20
     assert rows(flow.hours(spark, root), *columns) == before
-    # folding deltas and dropping old versions changes no result
-    kept = rows(flow.snapshots(spark, root), *snap)
-    flow.compact_snapshots(spark, root, 1)
-    flow.drop_old_versions(spark, root, 1)
-    assert rows(flow.snapshots(spark, root), *snap) == kept
-    assert not sinks.exists(spark, f"{root}/snapshots/batch_id=0") and not sinks.exists(spark, f"{root}/state/batch_id=0")
-    assert sinks.exists(spark, f"{root}/state/batch_id=1")
+    assert {r.reason for r in spark.read.parquet(f"{root}/late").collect()} == {"late"}
+    for name in ("ip_stats_hourly", "ip_alerts", "item_snapshots", "schedule"):
+        assert readers.table(spark, root, name).schema.simpleString() == sinks.conform(spark.range(0), schemas.TABLES[name]).schema.simpleString()
+
+
+def files_of(root, table):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.joinpath(table).rglob("*.parquet")}
+
+
+def test_a_batch_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    root, layout = tmp_path / "root", flow.Layout(4, 4)
+    data = [(ip, f"m{i}", "available", 100 + i, at("02 06:00"), i) for ip in range(6) for i in range(30)]
+    entities = spark.createDataFrame([(i, 1.0) for i in range(6)], "id long, weight double")
+
+    def run(rows_, batch):
+        flow.process(spark.createDataFrame(rows_, OBS), None, batch, str(root), entities, layout=layout)
+
+    run(data, 0)
+    second = [(3, "m1", "sold", 90, at("02 12:00"), 0), (3, "new", "available", 5, at("02 12:00"), 1)]
+    before = {t: files_of(root, t) for t in ("state", "item_snapshots", "schedule")}
+    run(second, 1)
+    touched = {r.b for r in spark.createDataFrame([(3, "m1"), (3, "new")], "ip_id long, source_id string").select(layout.listing().alias("b")).collect()}
+    for table in ("state", "item_snapshots"):
+        after = files_of(root, table)
+        assert {int(p.split("bucket=")[1].split("/")[0]) for p, _ in set(before[table].items()) ^ set(after.items())} == touched
+    assert len({p.split("/")[1] for p, _ in set(before["schedule"].items()) ^ set(files_of(root, "schedule").items())}) == 1
+
+    tables = ("ip_id", "source_id", "status", "price", "first_seen", "last_seen", "expires_at")
+    known = rows(flow.state(spark, str(root)), *tables)
+    whole = T.transitions(spark.createDataFrame(data + second, OBS))
+    assert known == rows(T.state_table(whole), *tables)
+    kept = {t: rows(readers.table(spark, str(root), t), "ip_id") for t in ("ip_stats_hourly", "ip_alerts", "item_snapshots")}
+    run(second, 1)  # again, as after a failure: the state is as before it
+    assert rows(flow.state(spark, str(root)), *tables) == known
+    assert {t: rows(readers.table(spark, str(root), t), "ip_id") for t in kept} == kept
+    assert rows(flow.hours(spark, str(root)).filter("hour_bucket = '2024-01-02 12:00'"), "inflow", "outflow") == [(1, 1)]
+    # listings that no batch has seen for longer than their time go when their bucket is next rewritten
+    run([(3, "new", "available", 6, at("05 12:00"), 0)], 2)
+    left = {r.source_id for r in flow.state(spark, str(root)).filter("ip_id = 3").collect()}
+    same_bucket = {r.source_id for r in spark.createDataFrame([(3, f"m{i}") for i in range(30)], "ip_id long, source_id string").select("source_id", layout.listing().alias("b")).collect() if r.b in {x.b for x in spark.createDataFrame([(3, "new")], "ip_id long, source_id string").select(layout.listing().alias("b")).collect()}}
+    assert left == {"new", *(f"m{i}" for i in range(30))} - same_bucket
+
+
+def test_messages_from_the_future_are_set_aside(spark, tmp_path):
+    when = datetime(2024, 1, 15, 12)
+    folder, root = tmp_path / "in", str(tmp_path / "root")
+    folder.mkdir()
+    lots = [[(1, "t1", when + timedelta(days=30))], [(1, "t2", when), (1, "", when)], [(1, "", when + timedelta(hours=1))]]
+    for i, lot in enumerate(lots):
+        (folder / f"{i}.json").write_text("\n".join(message(ip, task, t, [(f"m{i}", "available", 10)]) for ip, task, t in lot))
+        flow.start(readers.crawl_results(spark, str(folder), streaming=True, max_files=1), root, str(tmp_path / "cp"), now=when + timedelta(days=1)).awaitTermination()
+    assert rows(spark.read.parquet(f"{root}/late"), "source_id", "reason") == [("m0", "ahead")]
+    assert rows(flow.hours(spark, root), "hour_bucket") == [(when,), (when + timedelta(hours=1),)]
+    assert rows(spark.read.parquet(f"{root}/messages"), "task_id", "fate") == [("", "taken"), ("", "taken"), ("t1", "taken"), ("t2", "taken")]
 
 
 def test_message_stream_takes_each_task_once(spark, tmp_path):
