@@ -120,12 +120,15 @@ def processed_within(processed: DataFrame, now, hours: int = 24) -> DataFrame:
     return processed.filter(F.col("ts") > limit)
 
 
-def block_streaks(log: DataFrame, threshold: int = BLOCK_STREAK, ttl_s: int = STREAK_TTL_S, scope: str = "node") -> DataFrame:
+def block_streaks(
+    log: DataFrame, threshold: int = BLOCK_STREAK, ttl_s: int = STREAK_TTL_S, scope: str = "node", before: DataFrame | None = None
+) -> DataFrame:
     """Blocked runs per node with the count of blocks since the last success; with scope "all" one count over all nodes.
 
     A pause longer than ``ttl_s`` between runs also restarts the count. ``cooldown`` marks the block
     that reaches the threshold. Inside an hour of a node the count is the number of blocks so far minus
-    that number at the last restart; what an hour inherits comes from one summary row per node and hour.
+    that number at the last restart; what an hour inherits comes from one summary row per node and hour. ``before`` (node,
+    streak, ts) is what nodes had counted before these rows; it takes part as an hour ahead of theirs.
     """
     if scope == "all":
         log = log.withColumn("node", F.lit("all"))
@@ -155,6 +158,13 @@ def block_streaks(log: DataFrame, threshold: int = BLOCK_STREAK, ttl_s: int = ST
     hours = marked.groupBy("node", "slice").agg(
         F.sum("block").alias("n"), F.max("base").alias("base"), F.min("us").alias("first"), F.max("us").alias("last")
     )
+    if before is not None:
+        at = times.micros(F.col("ts"))
+        hours = hours.unionByName(
+            before.select(
+                "node", (times.plus_seconds(times.hour_floor(F.col("ts")), F.lit(-3600))).alias("slice"), F.col("streak").alias("n"), F.lit(0).cast("long").alias("base"), at.alias("first"), at.alias("last")
+            )
+        )
     over_hours = Window.partitionBy("node").orderBy("slice")
     past = over_hours.rowsBetween(Window.unboundedPreceding, 0)
     pause = F.col("last_before").isNull() | (F.col("first") - F.col("last_before") > ttl_us)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Callable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from marketebb.plans.market import ALERTS
 from marketebb.plans.registry import query, rounded
 from marketebb.session import scratch_dir
 from marketebb.sources import driver, readers
-from marketebb.streaming import flow
+from marketebb.streaming import flow, task_flow
 
 NOW = datetime(2024, 1, 31)
 
@@ -120,3 +121,79 @@ def stream_message_hours(spark, sf):
     """Hour rows of all lots, through the table contract; hours of crawls whose sightings were all late are left out."""
     rows: DataFrame = readers.table(spark, replay(spark, sf), "ip_stats_hourly")
     return rows.select("ip_id", "hour_bucket", "inflow", "outflow", F.col("liquidity_index").cast("double").alias("liquidity_index"))
+
+
+# Task events and run logs in four lots, every tenth event a lot late.
+
+LOT = "CAST(least((extract(day FROM ts) - 1) // 8 + CASE WHEN event_id % 10 = 3 THEN 1 ELSE 0 END, 3) AS INTEGER)"
+GATE = f"""
+ends AS (SELECT *, {LOT.replace("event_id", "seq")} AS lot FROM tasks WHERE event IN ('pushed', 'acked', 'dead')),
+judged AS (SELECT e.*, coalesce((SELECT max({{'ts': x.ts, 'seq': x.seq}}) FROM ends x WHERE x.ip_id = e.ip_id AND x.lot < e.lot) > {{'ts': e.ts, 'seq': e.seq}}, false) AS late FROM ends e),
+chained AS (SELECT *, lag(event) OVER (PARTITION BY ip_id ORDER BY ts, seq) AS before FROM judged WHERE NOT late)"""
+STUCK = f"""
+lots AS (SELECT *, {LOT.replace("event_id", "seq")} AS lot FROM tasks),
+upto AS (SELECT DISTINCT lot AS k, (SELECT max(ts) FROM lots y WHERE y.lot <= x.lot) - INTERVAL 2 HOUR AS clock FROM lots x),
+latest AS (
+  SELECT k, clock, task_id, arg_max(ip_id, {{'ts': ts, 'seq': seq}}) AS ip_id, arg_max(event, {{'ts': ts, 'seq': seq}}) AS event, max({{'ts': ts, 'seq': seq}}) AS last, arg_max(retry_count, {{'ts': ts, 'seq': seq}}) AS retry_count,
+         max(ts) FILTER (WHERE event = 'started') AS started_at
+  FROM upto JOIN lots ON lots.lot <= k GROUP BY k, clock, task_id),
+due AS (SELECT task_id, last, any_value(ip_id) AS ip_id, any_value(retry_count) AS retry_count, min(k) AS k FROM latest
+        WHERE event = 'started' AND started_at + INTERVAL 30 MINUTE < clock GROUP BY task_id, last)"""
+STREAK = f"""
+logged AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE node END AS node, task_id, ts, outcome, {LOT.replace("event_id", "task_id")} AS lot
+           FROM (SELECT *, task_id AS event_id FROM runs) WHERE outcome IN ('success', 'empty_result', '403_forbidden')),
+judged AS (SELECT e.*, coalesce((SELECT max(x.ts) FROM logged x WHERE x.node = e.node AND x.lot < e.lot) > e.ts, false) AS late FROM logged e),
+gaps AS (SELECT *, CASE WHEN outcome <> '403_forbidden' OR ts - lag(ts) OVER (PARTITION BY node ORDER BY ts, task_id) > INTERVAL 600 SECOND THEN 1 ELSE 0 END AS restart
+         FROM judged WHERE NOT late),
+parts AS (SELECT *, sum(restart) OVER (PARTITION BY node ORDER BY ts, task_id) AS part FROM gaps),
+counted AS (SELECT *, sum(CASE WHEN outcome = '403_forbidden' THEN 1 ELSE 0 END) OVER (PARTITION BY node, part ORDER BY ts, task_id) AS streak FROM parts)"""
+
+
+def _in_lots(spark: SparkSession, rows: DataFrame, number: str, name: str, step: Callable[..., None]) -> DataFrame:
+    """Results of a step after four lots, one start of the stream for each. The lots are further apart than records usually live."""
+    folder, root, checkpoint = (scratch_dir(spark, f"{name}-{part}") for part in ("in", "root", "checkpoint"))
+    lot = F.least(F.floor((F.dayofmonth("ts") - 1) / 8) + (F.col(number) % 10 == 3).cast("int"), F.lit(3))
+    for k in range(4):
+        rows.filter(lot == k).write.mode("append").parquet(folder)
+        task_flow.start(spark.readStream.schema(rows.schema).parquet(folder), step, root, checkpoint, ttl=timedelta(days=60)).awaitTermination()
+    return task_flow.results(spark, root, name)
+
+
+@query(
+    o.select(
+        """SELECT task_id, ip_id, ts, seq, before IS NULL OR before <> 'pushed' AS accepted, late FROM chained WHERE event = 'pushed'
+           UNION ALL SELECT task_id, ip_id, ts, seq, NULL, late FROM judged WHERE late AND event = 'pushed'""",
+        o.TASKS,
+        GATE,
+    )
+)
+def stream_gate_lots(spark, sf):
+    """The one-open-task rule over lots that overlap: late pushes come out marked."""
+    return _in_lots(spark, driver.task_events(spark, sf), "seq", "gate", task_flow.gate).drop("batch_id")
+
+
+@query(
+    o.select(
+        """SELECT task_id, ip_id, last.ts AS ts, last.seq AS seq, CAST(retry_count + 1 AS INTEGER) AS retry_count,
+                  CASE WHEN retry_count + 1 > 3 THEN 'dead' ELSE 'retry' END AS outcome FROM due""",
+        o.TASKS,
+        STUCK,
+    )
+)
+def stream_stuck_tasks(spark, sf):
+    """Tasks that did not end in time, told once for each start, over lots that overlap."""
+    return _in_lots(spark, driver.task_events(spark, sf), "seq", "stuck", task_flow.stuck).drop("batch_id")
+
+
+@query(
+    o.select(
+        """SELECT node, task_id, ts, CAST(streak AS BIGINT) AS streak, streak = 3 AS cooldown, late FROM counted WHERE outcome = '403_forbidden'
+           UNION ALL SELECT node, task_id, ts, NULL, NULL, late FROM judged WHERE late AND outcome = '403_forbidden'""",
+        o.RUNS,
+        STREAK,
+    )
+)
+def stream_streak_lots(spark, sf):
+    """Block streaks over lots that overlap, a third of all runs being of one node."""
+    log = driver.run_log(spark, sf).withColumn("node", F.when(F.col("task_id") % 3 == 0, "hot").otherwise(F.col("node")))
+    return _in_lots(spark, log, "task_id", "streak", task_flow.streak).drop("batch_id")
