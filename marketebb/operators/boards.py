@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 from typing import NamedTuple
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marketebb.functions import times
 from marketebb.functions.measures import hot_score
+from marketebb.session import scratch_dir, stage
 
 KINDS = ("hot", "inflow", "outflow")
 
@@ -129,8 +131,56 @@ def dashboard_totals(hot: DataFrame, inflow: DataFrame, outflow: DataFrame) -> D
     )
 
 
+class PagedList(NamedTuple):
+    """An ordered list laid out in ranges of its order, and for each range how many rows it and those before it have."""
+
+    rows: DataFrame
+    ranges: DataFrame
+    order: list[Column]
+
+
+def paged(df: DataFrame, order: list[Column]) -> PagedList:
+    """Write a list in ranges, each a folder; ties share one, so the order should end with a unique column."""
+    path = scratch_dir(df.sparkSession, "paged")
+    cut = df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    cut.write.partitionBy("__range").parquet(path)
+    rows = df.sparkSession.read.schema(cut.schema).parquet(path)
+    counts = stage(rows.groupBy("__range").agg(F.count(F.lit(1)).alias("n")), "ranges")
+    upto = F.sum("n").over(Window.orderBy("__range"))  # one row for each range
+    return PagedList(rows, stage(counts.withColumn("before", upto - F.col("n")), "ranges"), order)
+
+
+def page_of(listed: PagedList, number: int = 1, size: int = 20) -> DataFrame:
+    """One page, with the size of the whole list in ``total``; only the ranges that hold its rows are read."""
+    first = (positive("number", number) - 1) * positive("size", size)
+    held = listed.ranges.filter((F.col("before") < first + size) & (F.col("before") + F.col("n") > first)).collect()
+    total = listed.ranges.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    before = F.coalesce(*[F.when(F.col("__range") == r["__range"], F.lit(r["before"])) for r in held], F.lit(0))
+    at = F.row_number().over(Window.partitionBy("__range").orderBy(*listed.order)) + before
+    rows = listed.rows.filter(F.col("__range").isin([r["__range"] for r in held])).withColumn("__at", at)
+    rows = rows.filter((F.col("__at") > first) & (F.col("__at") <= first + size)).orderBy("__at")
+    return rows.drop("__at", "__range").withColumn("total", F.lit(total).cast("long"))
+
+
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:
     """One page of an ordered list, with the size of the whole list in ``total``."""
-    total = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    rows = df.orderBy(*order).offset((positive("number", number) - 1) * positive("size", size)).limit(size)
-    return rows.withColumn("total", total)
+    return page_of(paged(df, order), number, size)
+
+
+def page_after(df: DataFrame, keys: list[tuple[str, bool]], cursor: Sequence | None, size: int = 20) -> DataFrame:
+    """The rows that follow a cursor, the key values of the last row seen (None: from the start).
+
+    ``keys`` are (column, descending), together unique. Each partition gives its next ``size`` rows at most, however far the cursor is.
+    """
+    order = [F.desc(c) if down else F.asc(c) for c, down in keys]
+    if cursor is not None:
+        same, later = F.lit(True), F.lit(False)
+        for (c, down), value in zip(keys, cursor, strict=True):
+            column = F.col(c)
+            if value is None:  # nulls come first, or last where the order goes down
+                past = F.lit(False) if down else column.isNotNull()
+            else:
+                past = (column < F.lit(value)) | column.isNull() if down else column > F.lit(value)
+            later, same = later | (same & F.coalesce(past, F.lit(False))), same & column.eqNullSafe(F.lit(value))
+        df = df.filter(later)
+    return df.orderBy(*order).limit(positive("size", size))

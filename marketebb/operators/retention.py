@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketebb.functions import times
+from marketebb.session import stage
+from marketebb.sources import sinks
 
 HOUR_DAYS, DAY_DAYS, WEEK_DAYS, SNAPSHOT_LAG_DAYS = 7, 90, 365, 8
 
@@ -45,6 +47,27 @@ def keep_snapshots(snapshots: DataFrame, on) -> DataFrame:
     return snapshots.filter(~_spent(on))
 
 
+def clean_stored(spark: SparkSession, root: str, now: datetime) -> None:
+    """One clean-up run over the tables that the write path stores under a root.
+
+    Hour rows lie by day and what batches left behind by batch, so whole partitions go and the others are not read. Snapshots lie
+    in buckets: those that hold a spent row are rewritten without it. Run again, it finds nothing to do.
+    """
+    sinks.drop_partitions(spark, f"{root}/ip_stats_hourly", "day", hour_cutoff(now))
+    sinks.drop_partitions(spark, f"{root}/crawls", "day", hour_cutoff(now))
+    path, on = f"{root}/item_snapshots", now.date() - timedelta(days=SNAPSHOT_LAG_DAYS)
+    if sinks.exists(spark, path):
+        stored = spark.read.parquet(path)
+        hit = [r.bucket for r in stored.filter(_spent(on)).select("bucket").distinct().collect()]  # as many as the layout has, at most
+        if hit:
+            rows = stored.filter(F.col("bucket").isin(hit))
+            kept = stage(keep_snapshots(rows, on), "snapshots")
+            sinks.overwrite_partitions(kept.repartition("bucket"), path, ["bucket"])
+            full = {r.bucket for r in kept.select("bucket").distinct().collect()}
+            for bucket in set(hit) - full:
+                sinks.drop_partition(spark, path, f"bucket={bucket}")
+
+
 def clean_up(
     hours: DataFrame, days: DataFrame, weeks: DataFrame, snapshots: DataFrame, now: datetime
 ) -> dict[str, DataFrame]:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketebb.functions import times
+from marketebb.functions import text, times
 from marketebb.operators import slices
 from marketebb.session import stage
 
@@ -213,6 +213,14 @@ def outcome_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("outcome", "mode").agg(F.count(F.lit(1)).alias("runs"))
 
 
+def outcome_by_error(log: DataFrame) -> DataFrame:
+    """Runs by outcome, mode and error type, from (mode, error_text, items); runs without an error have no type."""
+    error = F.when(F.col("error_text").isNotNull(), text.error_class(F.col("low")))
+    typed = log.withColumn("low", F.lower("error_text")).withColumn("error_type", error)
+    outcome = text.run_outcome(F.col("error_type"), F.col("items")).alias("outcome")
+    return typed.groupBy(outcome, "mode", "error_type").agg(F.count(F.lit(1)).alias("runs"))
+
+
 def duration_histogram(log: DataFrame, bounds: Sequence[float] = DURATION_BOUNDS) -> DataFrame:
     """Runs per duration bucket; ``le`` is the inclusive upper bound, NULL for the open last one."""
     le = F.when(F.col("duration_s") <= bounds[0], F.lit(bounds[0]))

@@ -13,7 +13,7 @@ from marketebb.operators import boards, hourly, retention, rollup, snapshots, tr
 from marketebb.plans import oracle as o
 from marketebb.plans.registry import query, rounded
 from marketebb.session import scratch_dir, stage
-from marketebb.sources import driver
+from marketebb.sources import driver, sinks
 
 NOW = datetime(2024, 1, 31)
 
@@ -149,6 +149,24 @@ def stream_state_machine(spark, sf):
     return spark.read.schema(moved.schema).parquet(out)
 
 
+@query(
+    o.select(
+        """SELECT ip_id, source_id, arg_max(status, (crawl_ts, last_pos)) AS status, arg_max(price, (crawl_ts, last_pos)) AS price, max(crawl_ts) AS last_seen
+           FROM trans GROUP BY ip_id, source_id""",
+        *BASE,
+    )
+)
+def stream_state_lookup(spark, sf):
+    """What a stream remembers of each listing, read from its state store as a table."""
+    from marketebb.streaming.listing_state import stored_state, transition_stream
+
+    checkpoint = scratch_dir(spark, "lookup-checkpoint")
+    moved = transition_stream(driver.observations_of(driver.stream_table(spark, sf, "events")))
+    running = moved.writeStream.format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return stored_state(spark, checkpoint)
+
+
 @query(
     o.select(
         "SELECT ip_id, hour_bucket, inflow, outflow, round(liquidity_index, 4) AS liquidity_index FROM hours",
@@ -225,6 +243,20 @@ def hour_upsert(spark, sf):
     return _hour_prices(hourly.merge_hours(old, hourly.hours_from_crawls(crawls.filter(~early))))
 
 
+@query(o.select(_HOUR_SQL + _LAST + " FROM hours_last", *BUSY, o.HOURS_LAST))
+def hour_deltas(spark, sf):
+    """Hour rows folded from the deltas of their days; each delta is applied twice, as after a failure."""
+    crawls = stage(hourly.crawl_stats(*busy(spark, sf)).withColumn("day", F.col("crawl_ts").cast("date")), "crawls")
+    path = scratch_dir(spark, "hour-deltas")
+
+    def fold(rows: DataFrame) -> DataFrame:
+        return hourly.hours_from_crawls(rows).withColumn("day", F.col("hour_bucket").cast("date"))
+
+    for batch in (0, 1, 0, 1):
+        sinks.fold_deltas(crawls.filter((F.minute("crawl_ts") >= 20).cast("int") == batch), path, ["day"], batch, fold)
+    return _hour_prices(spark.read.parquet(f"{path}/table").drop("day"))
+
+
 @query(
     o.select(
         f"""SELECT m.id AS ip_id, arg_max(hour_bucket, hour_bucket) AS hour_bucket,
@@ -345,6 +377,20 @@ def monthly_rollup_items(spark, sf):
     return _rolled(rollup.monthly(rollup.weekly(ship_days(spark, sf))))
 
 
+@query(
+    o.select(
+        "SELECT ip_id, hour_bucket, inflow, outflow FROM hours WHERE hour_bucket >= TIMESTAMP '2024-01-24 00:00:00'",
+        *HOURS,
+    )
+)
+def clean_up(spark, sf):
+    """A clean-up run over stored hour rows: whole days go."""
+    root = scratch_dir(spark, "clean-up")
+    sinks.replace_buckets(hours(spark, sf), f"{root}/ip_stats_hourly", "hour_bucket")
+    retention.clean_stored(spark, root, NOW)
+    return spark.read.parquet(f"{root}/ip_stats_hourly").select("ip_id", "hour_bucket", "inflow", "outflow")
+
+
 @query(
     o.select(
         "SELECT ip_id, hour_bucket, inflow, outflow FROM hours WHERE hour_bucket >= TIMESTAMP '2024-01-24 00:00:00'",

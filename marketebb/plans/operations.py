@@ -288,6 +288,35 @@ def entity_page(spark, sf):
     return boards.page(rows, [F.desc("weight"), F.col("id")], 3, 20).drop("name_en", "name_cn")
 
 
+@query(
+    o.select(
+        """SELECT id, name, category, weight, status, count(*) OVER () AS total
+           FROM meta WHERE status <> 'deleted' ORDER BY weight DESC, id LIMIT 7 OFFSET 119""",
+        o.META,
+    )
+)
+def entity_page_far(spark, sf):
+    """A page far down the entity list: only its range of the list is read."""
+    listed = boards.paged(entities.entity_list(driver.metadata(spark, sf)), [F.desc("weight"), F.col("id")])
+    return boards.page_of(listed, 18, 7).drop("name_en", "name_cn")
+
+
+@query(
+    o.select(
+        "SELECT ip_id, source_id, price, last_seen_at FROM snap WHERE status = 'sold' ORDER BY last_seen_at DESC, ip_id, source_id LIMIT 25 OFFSET 50",
+        o.ITEMS,
+    )
+)
+def items_after_cursor(spark, sf):
+    """The third page of all sold items, each asked for by the cursor of the one before."""
+    rows = snapshots.items_page(driver.snapshots(spark, sf), None, "sold").select("ip_id", "source_id", "price", "last_seen_at")
+    keys, cursor = [("last_seen_at", True), ("ip_id", False), ("source_id", False)], None
+    for _ in range(2):
+        last = boards.page_after(rows, keys, cursor, 25).collect()[-1]
+        cursor = [last[c] for c, _ in keys]
+    return boards.page_after(rows, keys, cursor, 25)
+
+
 @query(
     o.select("SELECT ip_id, source_id, price, last_seen_at FROM snap WHERE ip_id = 7 AND status = 'on_sale'", o.ITEMS)
 )
@@ -1131,3 +1160,53 @@ def import_insert_only(spark, sf):
     meta = driver.metadata(spark, sf)
     plan = entities.import_plan(meta, driver.import_entries(spark, sf))
     return entities.apply_import(meta, plan, upsert=False).drop("name_en", "name_cn")
+
+
+@query(
+    f"""SELECT outcome, lang AS mode, error_class AS error_type, count(*) AS runs
+        FROM ({ORACLES["error_class"]}) JOIN documents USING (doc_id) WHERE text IS NOT NULL GROUP BY 1, 2, 3
+        UNION ALL SELECT 'empty_result', lang, NULL, count(*) FROM documents WHERE text IS NULL GROUP BY lang"""
+)
+def outcome_by_error(spark, sf):
+    """Runs by outcome, mode and error type, whole documents read as error messages."""
+    log = driver.table(spark, sf, "documents").select(F.col("lang").alias("mode"), F.col("text").alias("error_text"), F.lit(0).alias("items"))
+    return tasks.outcome_by_error(log)
+
+
+@query(
+    """SELECT CAST(c_custkey AS INTEGER) AS pos, c_name AS name, c_mktsegment AS category, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 5 AS DOUBLE) END AS weight,
+              CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS tags FROM customer"""
+)
+def seed_file_entries(spark, sf):
+    """Entries of a seed file written from the customers and read back; fields that are missing are NULL."""
+    key = F.col("c_custkey")
+    entry = F.struct(
+        F.col("c_name").alias("name"), F.col("c_mktsegment").alias("category"), F.when(key % 2 == 0, F.array(F.lit("a"), F.lit("b"))).alias("tags"),
+        F.when(key % 3 != 0, (key % 5).cast("double")).alias("weight"), F.format_string("%d", key).alias("external_id"),
+    )
+    folder = scratch_dir(spark, "seed")
+    rows = driver.table(spark, sf, "customer").select(F.format_string('{"ips": [%s]}', F.to_json(entry)).alias("value"))
+    rows.write.text(folder)
+    back = readers.seed_entries(spark, folder, lines=True)
+    return back.select(F.col("external_id").cast("int").alias("pos"), "name", "category", "weight", F.coalesce(F.size("tags"), F.lit(0)).alias("tags"))
+
+
+@query(
+    """SELECT o_orderkey AS page_id, 'm' || o_orderkey AS source_id, CASE WHEN o_orderkey % 2 = 0 THEN 'on_sale' ELSE 'sold' END AS status, CAST(round(o_totalprice) AS INTEGER) AS price
+       FROM orders WHERE o_orderkey % 5 NOT IN (2, 4)"""
+)
+def merged_status_pages(spark, sf):
+    """Items of on-sale and of sold pages together; the kind of page decides the status."""
+    found = listing_pages.items(driver.listing_pages(spark, sf)).filter(F.startswith("source_id", F.lit("m")))
+    even = F.col("page_id") % 2 == 0
+    merged = listing_pages.merge_status_pages(found.filter(even), found.filter(~even))
+    return merged.select("page_id", "source_id", "status", "price")
+
+
+@query(
+    o.select("SELECT id FROM (SELECT id, row_number() OVER (ORDER BY weight DESC, id) AS r FROM meta WHERE status <> 'deleted') WHERE r BETWEEN 101 AND 200", o.META)
+)
+def bounded_request_page(spark, sf):
+    """A page asked for with a size beyond the public bound: the request rules cut it to 100 rows."""
+    asked = boards.normalise_request(page=2, size=1000)
+    return boards.page(entities.entity_list(driver.metadata(spark, sf)), [F.desc("weight"), F.col("id")], asked.page, asked.size).select("id")

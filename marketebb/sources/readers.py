@@ -94,9 +94,9 @@ def task_events(
     )
 
 
-def seed_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a seed file ``{"ips": [...]}`` with their position."""
-    doc = spark.read.schema(schemas.SEED_FILE).option("multiLine", True).json(path)
+def seed_entries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entries of a seed file ``{"ips": [...]}`` with their position in it; with ``lines`` each line is such a document."""
+    doc = spark.read.schema(schemas.SEED_FILE).option("multiLine", not lines).json(path)
     return doc.select(F.posexplode("ips").alias("pos", "e")).select("pos", "e.*")
 
 

@@ -1,4 +1,4 @@
-"""Sinks on plain Parquet. Every write can be repeated without changing the result.
+"""Sinks on plain Parquet. Every write that names its batch can be repeated without changing the result.
 
 A table that grows by deltas stores them under their batch id; writing a batch again replaces its
 own partition. Buckets are replaced by dynamic partition overwrite.
@@ -7,6 +7,7 @@ own partition. Buckets are replaced by dynamic partition overwrite.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,7 @@ def bucketed(spark: SparkSession, path: str, row: StructType, keys: Sequence[str
 
 
 def append(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Plain append: done twice, the rows stand twice. Where a batch may run again, use :func:`write_batch`."""
     df.write.mode("append").partitionBy(*by).parquet(path)
 
 
@@ -101,16 +103,43 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def drop_partitions(spark: SparkSession, path: str, column: str, below: int) -> None:
-    """Remove the partition folders of an integer column below a value."""
+def drop_partitions(spark: SparkSession, path: str, column: str, below: int | date) -> None:
+    """Remove the partition folders of an integer or date column below a value; the rows of others are not read."""
+    if not exists(spark, path):
+        return
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     for entry in fs.listStatus(folder):
-        name, _, number = entry.getPath().getName().partition("=")
-        if name == column and number.isdigit() and int(number) < below:
+        name, _, text = entry.getPath().getName().partition("=")
+        if name != column:
+            continue
+        try:
+            value = date.fromisoformat(text) if isinstance(below, date) else int(text)
+        except ValueError:  # the partition of nulls
+            continue
+        if value < below:
             fs.delete(entry.getPath(), True)
 
 
+def drop_partition(spark: SparkSession, path: str, folder: str) -> None:
+    part = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{folder}")
+    part.getFileSystem(spark._jsc.hadoopConfiguration()).delete(part, True)
+
+
+def fold_deltas(delta: DataFrame, path: str, by: Sequence[str], batch_id: int, fold: Callable[[DataFrame], DataFrame]) -> None:
+    """Add a delta to a table whose rows are a fold over all deltas of their partition.
+
+    Deltas stay beside the table, by partition and batch; the partitions that this one touches are folded anew from theirs.
+    So a delta may be applied again, and one that stopped half way is completed by the next try.
+    """
+    spark, deltas = delta.sparkSession, f"{path}/deltas"
+    delta = stage(delta, "delta")
+    overwrite_partitions(delta.withColumn("batch_id", F.lit(batch_id).cast("long")), deltas, [*by, "batch_id"])
+    if exists(spark, deltas):
+        stored = spark.read.schema(delta.schema).parquet(deltas)
+        overwrite_partitions(fold(touched(stored, delta, by)), f"{path}/table", by)
+
+
 def touched(stored: DataFrame, delta: DataFrame, by: Sequence[str]) -> DataFrame:
     """Stored rows of the partitions that occur in a delta.
 
@@ -125,8 +154,8 @@ def touched(stored: DataFrame, delta: DataFrame, by: Sequence[str]) -> DataFrame
 def merge_partitions(delta: DataFrame, path: str, by: Sequence[str], merge) -> None:
     """Merge a delta into the partitions it touches: ``merge(old, delta) -> new``.
 
-    Only the touched partitions are read and written. Unlike :func:`write_batch`, the caller must not
-    apply one delta twice. The merged rows are staged first, so the partitions are not read while
+    Only the touched partitions are read and written. The caller must not apply one delta twice unless ``merge`` allows it;
+    :func:`fold_deltas` is for those that may come again. The merged rows are staged first, so the partitions are not read while
     they are replaced.
     """
     spark = delta.sparkSession
