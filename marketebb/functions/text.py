@@ -140,6 +140,7 @@ CONNECTION = (
 NORMAL_MARKUP = ("<body", "meremptystate", "item-cell", "search")
 EMPTY_DOCUMENT = "<html><head></head><body></body></html>"
 
+ERROR_CONTEXT = ("context deadline exceeded", "context canceled")
 ERROR_BLOCKED = (
     "blocked_page",
     "cloudflare",
@@ -276,7 +277,7 @@ def is_blocked(title: Column, url: Column, text: Column) -> Column:
 def error_class(low_message: Column) -> Column:
     """timeout, blocked, network_error, parse_error or unknown from a lowered message."""
     return (
-        F.when(has_any(low_message, ("context deadline exceeded", "context canceled")), "timeout")
+        F.when(has_any(low_message, ERROR_CONTEXT), "timeout")
         .when(has_any(low_message, ERROR_BLOCKED), "blocked")
         .when(has_any(low_message, ERROR_TIMEOUT), "timeout")
         .when(has_any(low_message, ERROR_NETWORK), "network_error")

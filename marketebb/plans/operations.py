@@ -794,7 +794,7 @@ def price_parse(spark, sf):
     f"""SELECT doc_id, error_class, error_class IN ('blocked', 'timeout', 'network_error') AS proxy_worthy,
                CASE error_class WHEN 'blocked' THEN '403_forbidden' ELSE 'error' END AS outcome
         FROM (SELECT doc_id, CASE
-                WHEN {_any('lower(text)', ('context deadline exceeded', 'context canceled'))} THEN 'timeout'
+                WHEN {_any('lower(text)', text.ERROR_CONTEXT)} THEN 'timeout'
                 WHEN {_any('lower(text)', text.ERROR_BLOCKED)} THEN 'blocked'
                 WHEN {_any('lower(text)', text.ERROR_TIMEOUT)} THEN 'timeout'
                 WHEN {_any('lower(text)', text.ERROR_NETWORK)} THEN 'network_error'
