@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketebb.functions import text
@@ -101,8 +101,92 @@ def _finished(cell: dict, boxes: list) -> dict:
     return cell
 
 
+# Cells of regular mark-up are taken apart by expressions; the tokenizer above serves the pages that have other ones.
+
+_INSIDE = r"[^<]*+(?:<(?!/?{}\b)[^<]*+)*+"
+_STRICT_CELL = rf'(<li\s[^<>]*\bdata-testid="{CELL}"[^<>]*>{_INSIDE.format("li")})</li>'
+_STRICT_TAG = r'</?[a-z][a-z0-9-]*+(?:\s++[a-zA-Z-]++(?:="[^"<>]*+")?)*+\s*+/?>'
+_OTHER_REFERENCE = r"&(?!(?:amp|lt|gt|quot|#39);)[a-zA-Z#]"
+_SKIPPED = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+_NUMBER = rf'<span\s(?:[^<>]*\s)?class="number[^"]*"[^<>]*>({_INSIDE.format("span")})</span>'
+_PRICE = r'<([a-z][a-z0-9-]*)\s(?:[^<>]*\s)?(?:class="(?:[^"]*\s)?merPrice(?:\s[^"]*)?"|class="merPrice[^"]*"|data-testid="price")[^<>]*>'
+_LONE_PRICE = rf"{_PRICE}({_INSIDE.format(chr(92) + '1')})</" + r"\1>"
+_NAMED = rf'<([a-z][a-z0-9-]*)\s(?:[^<>]*\s)?data-testid="{NAME}"[^<>]*>({_INSIDE.format(chr(92) + "1")})</' + r"\1>"
+
+
+def _plain(markup: Column) -> Column:
+    """Text of mark-up: without tags, its few character references decoded."""
+    out = F.regexp_replace(markup, "<[^<>]*>", "")
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        out = F.replace(out, F.lit(name), F.lit(sign))
+    return out
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag, NULL without one."""
+    pattern = rf'(?<![\w-]){name}="([^"]*)"'
+    return F.when(tag.rlike(pattern), _plain(F.regexp_extract(tag, pattern, 1)))
+
+
+def _tag(cell: Column, pattern: str) -> Column:
+    """The first tag of a cell that fits, NULL without one."""
+    return F.when(cell.rlike(pattern), F.regexp_extract(cell, f"({pattern})", 1))
+
+
+def _numbered(cell: Column) -> Column:
+    """Whether the first number node has a price; it then decides, if there is a price node at all."""
+    return text.price_value(_plain(F.regexp_extract(cell, _NUMBER, 1))).isNotNull()
+
+
+def _regular(cell: Column) -> Column:
+    """Whether a cell can be taken apart by expressions: strict tags, known references, a price in a number node or a single price node."""
+    image = _tag(cell, r"<img\b[^<>]*>")
+    return (
+        (F.regexp_count(cell, F.lit(_STRICT_TAG)) == F.regexp_count(cell, F.lit("<")))
+        & ~cell.rlike(_OTHER_REFERENCE)
+        & (image.isNull() | F.coalesce(_attribute(image, "alt"), _attribute(image, "src")).isNotNull())
+        & (~F.contains(cell, F.lit(NAME)) | cell.rlike(_NAMED))
+        & (~cell.rlike(_PRICE) | _numbered(cell) | (F.regexp_count(cell, F.lit(_PRICE)) == 1) & cell.rlike(_LONE_PRICE) & ~cell.rlike(_NUMBER))
+    )
+
+
+def regular_cells(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells of the pages whose cells are all regular, the other pages that speak of cells)."""
+    marked = pages.select("page_id", "html").filter(F.contains("html", F.lit(CELL)))
+    clean = F.regexp_replace("html", _SKIPPED, " ")
+    found = marked.withColumn("clean", clean).withColumn("cells", F.regexp_extract_all("clean", F.lit(_STRICT_CELL), F.lit(1)))
+    whole = (F.size("cells") == F.regexp_count("clean", F.lit(CELL))) & F.forall("cells", _regular)
+    found = found.withColumn("whole", whole)
+    cell = F.col("cell")
+    link, image, sticker = _tag(cell, r"<a\b[^<>]*>"), _tag(cell, r"<img\b[^<>]*>"), _tag(cell, rf'<[a-z][^<>]*\sdata-testid="{STICKER}"[^<>]*>')
+    rows = found.filter("whole").select("page_id", F.posexplode("cells").alias("pos", "cell"))
+    rows = rows.select(
+        "page_id",
+        "pos",
+        F.when(link.isNotNull(), F.coalesce(_attribute(link, "href"), F.lit(""))).alias("href"),
+        F.when(cell.rlike(_NAMED), F.trim(_plain(F.regexp_extract(cell, _NAMED, 2)))).alias("name"),
+        _attribute(image, "alt").alias("alt"),
+        _attribute(image, "src").alias("src"),
+        F.when(sticker.isNotNull(), F.coalesce(_attribute(sticker, "aria-label"), F.lit(""))).alias("sticker"),
+        F.when(~cell.rlike(_PRICE), F.array().cast("array<string>"))
+        .when(_numbered(cell), F.transform(F.regexp_extract_all(cell, F.lit(_NUMBER), F.lit(1)), _plain))
+        .otherwise(F.array(_plain(F.regexp_extract(cell, _LONE_PRICE, 2))))
+        .alias("prices"),
+    )
+    return rows, found.filter("NOT whole").select("page_id", "html")
+
+
 def cells(pages: DataFrame) -> DataFrame:
-    """One row per item cell of each page: link, name, image, sticker and price texts."""
+    """One row per item cell of each page: link, name, image, sticker and price texts.
+
+    Pages of regular mark-up stay in the JVM; the others go through the tokenizer.
+    """
+    regular, others = regular_cells(pages)
+    return regular.unionByName(tokenized_cells(others))
+
+
+def tokenized_cells(pages: DataFrame) -> DataFrame:
+    """The same by the tokenizer, which copes with any mark-up."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["page_id", "pos", "href", "name", "alt", "src", "sticker", "prices"]
