@@ -284,24 +284,3 @@ def test_reports(spark, meta):
     open_alerts = spark.createDataFrame([(False,), (True,)], "acknowledged boolean")
     s = reports.system_counts(meta, open_alerts, snaps).first()
     assert (s["active_entities"], s["open_alerts"], s["items_on_sale"]) == (1, 1, 10)
-
-
-def test_regular_cells_are_those_of_the_tokenizer(spark):
-    cell = '<li class="x" data-testid="item-cell">{}</li>'
-    bodies = [
-        '<a href="/item/m1?x=1&amp;y=2"><img alt="A &lt;b&gt;" src="s.jpg"><span class="merPrice"><span class="currency">¥</span><span class="number__1">1,200</span></span></a>',
-        '<a class="c" href="/item/m2"><div data-testid="thumbnail-sticker" aria-label="売り切れ"></div><p data-testid="thumbnail-item-name">A <b>fine</b> cup &amp; more </p><div data-testid="price">¥ 300</div></a>',
-        '<a href="/shops/product/abc"><img src="w.webp" /><span class="merPriceX">55</span></a>', "<a>no link</a>", '<a href="/item/m4">no price</a>', '<span class="number">7</span>',
-        '<a href="/item/m6"><span class="merPrice"><span class="number">none</span><span>9</span></span></a>', "<a href='/item/m7'><span class=\"merPrice\">9</span></a>",
-        '<a href="/item/m8" title="a > b"><span class="merPrice">9</span></a>', '<a href="/item/m9"><span class="merPrice">9&yen;</span></a>', '<div><a href="/item/m10"><span class="merPrice">9</a></div>',
-        '<a href="/item/m11"><span class="merPrice">1<span>2</span></span><div data-testid="price">4</div></a>', "", '<a data-href="/no" href="/item/m12"><img data-src="x" alt="y"></a>',
-    ]
-    pages = [(i, f"<script>item-cell</script><ul>{cell.format(b)}</ul><!-- {cell} -->") for i, b in enumerate(bodies)]
-    pages += [(100, "<ul>" + "".join(cell.format(b) for b in bodies[:6]) + "</ul>"), (101, "<li data-testid=item-cell><a href=x></a></li>"), (102, cell.format('<li data-testid="item-cell"></li>')), (103, None)]
-    table = spark.createDataFrame(pages, "page_id long, html string")
-    columns = ("page_id", "pos", "href", "name", "alt", "src", "sticker")
-    regular, others = listing_pages.regular_cells(table)
-    assert rows(listing_pages.cells(table), *columns) == rows(listing_pages.tokenized_cells(table), *columns)
-    assert {r.page_id for r in regular.collect()} >= {0, 1, 2, 3, 4, 5, 100} and {r.page_id for r in others.collect()} >= {6, 7, 8, 9, 11, 101}
-    first = lambda df: {(r.page_id, r.pos): r.prices[:1] for r in df.collect()}
-    assert first(regular) == {k: v for k, v in first(listing_pages.tokenized_cells(table)).items() if k[0] in {r.page_id for r in regular.collect()}}
