@@ -258,19 +258,18 @@ def _leader_pairs(now: DataFrame, mixed: DataFrame, turn: int) -> DataFrame:
 def _rest_pairs(now: DataFrame, mixed: DataFrame, sets: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """(a, b, la, lb): the pairs of different classes in a bucket that can be links.
 
-    The classes of a bucket meet first, then their members: texts of one class are never paired.
+    All that rules a pair out is a condition of one join, so what is written is only what must be compared. (To let the classes of a
+    bucket meet first, then their members, writes more: a pair stands there once for each band that it shares.)
     """
     rest = stage(now.join(mixed, "h").select("h", "key", "label"), "rest")
     bound = stage(linkable(sets, rest.select("key").distinct(), similar).join(texts.select("key", "bands"), "key"), "bound")
     rest = rest.join(bound, "key")
-    rest = stage(rest, "rest")
     one, two = (rest.select("h", *(F.col(c).alias(f"{c}_{k}") for c in ("key", "label", "bands", "n", "common"))) for k in "ab")
-    left, right = (rest.select("h", F.col("label").alias(f"label_{k}")).distinct() for k in "ab")
-    apart = left.join(right, "h").where("label_a < label_b")
-    meet = F.least("common_a", "common_b") * (1 + similar) >= (F.col("n_a") + F.col("n_b")) * similar - 1e-6
+    meet = (F.col("label_a") != F.col("label_b")) & (F.col("key_a") < F.col("key_b"))
+    meet &= F.least("common_a", "common_b") * (1 + similar) >= (F.col("n_a") + F.col("n_b")) * similar - 1e-6
     # of the buckets that a pair shares, the least one stands for it
     meet &= F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("h")
-    return apart.join(one, ["h", "label_a"]).join(two, ["h", "label_b"]).where(meet).select(*(F.col(c).alias(n) for c, n in (("key_a", "a"), ("key_b", "b"), ("label_a", "la"), ("label_b", "lb")))).distinct()
+    return one.join(two, "h").where(meet).select(*(F.col(c).alias(n) for c, n in (("key_a", "a"), ("key_b", "b"), ("label_a", "la"), ("label_b", "lb")))).distinct()
 
 
 def classes(
