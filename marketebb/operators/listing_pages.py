@@ -20,6 +20,8 @@ NAME = "thumbnail-item-name"
 SOLD_LABEL = "売り切れ"
 ALT_SUFFIX = "のサムネイル"
 
+#: Cells that a task holds before it hands them on.
+ROWS_AT_ONCE = 2_000
 CELL_SCHEMA = "href string, name string, alt string, src string, sticker string, prices array<string>"
 
 
@@ -107,11 +109,12 @@ def cells(pages: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["page_id", "pos", "href", "name", "alt", "src", "sticker", "prices"]
         for batch in batches:
-            rows = [
-                (page_id, pos, c["href"], c["name"], c["alt"], c["src"], c["sticker"], c["prices"])
-                for page_id, page in zip(batch["page_id"], batch["html"], strict=True)
-                for pos, c in enumerate(_cells_of(page or ""))
-            ]
+            rows = []
+            for page_id, page in zip(batch["page_id"], batch["html"], strict=True):
+                rows += [(page_id, pos, c["href"], c["name"], c["alt"], c["src"], c["sticker"], c["prices"]) for pos, c in enumerate(_cells_of(page or ""))]
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
             yield pd.DataFrame(rows, columns=columns)
 
     marked = pages.select("page_id", "html").filter(F.contains("html", F.lit(CELL)))
