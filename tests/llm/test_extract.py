@@ -8,7 +8,6 @@ import time
 import pytest
 
 from marketebb.llm import extract
-from marketebb.session import scratch_dir
 
 WORDS = "The quick survey of rivers found that most of them had changed course within a century , and two had not moved".split()
 
@@ -96,4 +95,3 @@ def test_extract(spark):
 
 def test_extract_empty(spark):
     assert extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-    assert scratch_dir(spark, "x")
