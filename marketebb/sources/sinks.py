@@ -64,6 +64,11 @@ def upsert_buckets(updates: DataFrame, path: str, keys: Sequence[str], batch_id:
     """
     spark = updates.sparkSession
     fields = [c for c in updates.columns if c not in (*keys, "bucket")]
+    if not exists(spark, path):
+        before = bucketed(spark, path, updates.schema, keys).schema["before"].dataType
+        first = updates.select("bucket", *keys, *fields, F.lit(batch_id).cast("long").alias("changed_in"), F.lit(None).cast(before).alias("before"))
+        overwrite_partitions((keep(first) if keep else first).repartition("bucket"), path, ["bucket"])
+        return
     buckets = [r.bucket for r in updates.select("bucket").distinct().collect()]  # as many as the layout has, at most
     if not buckets:
         return

@@ -101,7 +101,7 @@ def process(
 
     # each entity has its own clock: one that runs ahead or is replayed makes no other entity late
     horizon = stage(state.groupBy("ip_id").agg((F.max("last_seen") - F.lit(lateness)).alias("horizon")), "horizon")
-    fits = F.lit(True) if now is None else F.col("crawl_ts") <= F.lit(now + ahead)
+    fits = F.lit(True) if now is None else F.col("crawl_ts") <= times.ntz(now + ahead)
     old = F.coalesce(F.col("crawl_ts") < F.col("horizon"), F.lit(False))
     checked = seen.join(state.select(*LISTING, "last_seen"), LISTING, "left").join(horizon, "ip_id", "left")
     reason = F.when(~fits, "ahead").when(F.coalesce(F.col("crawl_ts") <= F.col("last_seen"), F.lit(False)) | old, "late")
@@ -146,14 +146,17 @@ def process(
 
 def _merge_snapshots(delta: DataFrame, path: str, sold_at: str) -> None:
     """Merge snapshots into the buckets they touch; merging the same ones again changes nothing."""
-    spark, delta = delta.sparkSession, stage(delta, "snapshots")
+    spark, ddl = delta.sparkSession, f"{schemas.SNAPSHOTS}, bucket int"
+    if not sinks.exists(spark, path):
+        sinks.overwrite_partitions(sinks.conform(delta, ddl).repartition("bucket"), path, ["bucket"])
+        return
+    delta = stage(delta, "snapshots")
     buckets = [r.bucket for r in delta.select("bucket").distinct().collect()]  # as many as the layout has, at most
     if not buckets:
         return
-    new = sinks.conform(delta, f"{schemas.SNAPSHOTS}, bucket int")
-    if sinks.exists(spark, path):
-        old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(buckets))
-        new = stage(upsert_snapshots(old, new, sold_at), "snapshots")
+    new = sinks.conform(delta, ddl)
+    old = spark.read.schema(new.schema).parquet(path).filter(F.col("bucket").isin(buckets))
+    new = stage(upsert_snapshots(old, new, sold_at), "snapshots")
     sinks.overwrite_partitions(new.repartition("bucket"), path, ["bucket"])
 
 

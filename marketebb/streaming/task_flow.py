@@ -51,7 +51,7 @@ def _records(rows: DataFrame, root: str, name: str, ddl: str, key: str, batch_id
 
 def _keeper(clock, ttl: timedelta, batch_id: int, done: Column | None = None) -> Callable[[DataFrame], DataFrame]:
     """Drops records that have been silent for longer than the time to live."""
-    limit = F.lit(clock - ttl) if clock is not None else F.lit(None).cast("timestamp_ntz")
+    limit = times.ntz(clock - ttl) if clock is not None else F.lit(None).cast("timestamp_ntz")
     open_ = F.lit(False) if done is None else ~done
     return lambda rows: rows.filter((F.col("changed_in") >= batch_id) | open_ | F.coalesce(F.col("ts") >= limit, F.lit(True)))
 
@@ -101,7 +101,7 @@ def stuck(
         F.max_by(F.struct(*fields), F.struct("ts", "seq", "told")).alias("e"), F.min("created_at").alias("created_at"), F.max("started_at").alias("started_at")
     ).select("task_id", "e.*", "created_at", "started_at")
     silent = known.join(touched, "task_id", "left_anti").filter(open_ & ~F.col("told")).drop("bucket")
-    age = times.micros(F.lit(clock - lateness)) - times.micros(F.coalesce("started_at", "created_at"))
+    age = times.micros(times.ntz(clock - lateness)) - times.micros(F.coalesce("started_at", "created_at"))
     now = now.unionByName(silent).withColumn("due", open_ & ~F.col("told") & (age > timeout_s * times.US_PER_SECOND))
     now = stage(now.join(touched.withColumn("__new", F.lit(True)), "task_id", "left").filter(F.col("due") | F.col("__new")), "stuck-now")
     retry = (F.col("retry_count") + 1).cast("int")
