@@ -1,12 +1,16 @@
-"""The listing life cycle as a stateful stream, one key per listing.
+"""The listing life cycle as a stateful stream, one small record per listing.
 
 Lowest latency form of :mod:`marketebb.operators.transitions`: each sighting comes out with its
-transition as soon as its micro-batch is done. Keys are (ip_id, source_id), so a hot entity is spread
-over all tasks. State is one small record per listing; event-time timers remove it at its TTL.
+transition as soon as its micro-batch is done. Listings are dealt over ``BUCKETS`` buckets by the hash of
+(ip_id, source_id), so a hot entity is spread over all tasks. A bucket is the key of the state and holds the records of its
+listings; a timer removes records at their TTL. What a key costs beyond its rows (a call, reads and writes of the state, an
+Arrow batch of results) is paid for each bucket that a micro-batch touches, not for each listing; the records of a touched
+bucket are written whole. The number of buckets must stay as it is for a checkpoint.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -24,9 +28,10 @@ OUTPUT = (
 # The record before the current crawl is kept beside the current one: sightings of one crawl are all
 # judged against the state before it, even when they arrive in different micro-batches.
 STATE = (
-    "t long, pos long, status string, price int, "
-    "before_status string, before_price int, ms long"
+    "listings array<struct<ip_id long, source_id string, t long, pos long, status string, price int, "
+    "before_status string, before_price int, ms long>>"
 )
+BUCKETS = 16_384
 
 
 class ListingLife(StatefulProcessor):
@@ -41,13 +46,35 @@ class ListingLife(StatefulProcessor):
         self.last = handle.getValueState("last", STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        ip_id, source_id = key
-        kept = self.last.get() if self.last.exists() else None
-        timer = kept[6] if kept else None
+        arrived = defaultdict(list)
+        for r in rows:
+            arrived[r.ip_id, r.source_id].append(r)
+        now = timerValues.getCurrentProcessingTimeInMs() if self.forget else None
+        records, timers = self._records(), set()
+        for listing, seen in arrived.items():
+            kept, out = self._step(listing, seen, records.get(listing), now)
+            records[listing] = kept
+            timers.add(kept[6])
+            yield from out
+        self._store(records)
+        if self.forget:
+            for expiry in timers.difference(self.handle.listTimers()):
+                self.handle.registerTimer(expiry)
+
+    def _records(self) -> dict[tuple, tuple]:
+        held = self.last.get()
+        return {tuple(r[:2]): tuple(r[2:]) for r in held[0]} if held else {}
+
+    def _store(self, records: dict[tuple, tuple]) -> None:
+        self.last.update(([(*listing, *record) for listing, record in records.items()],))
+
+    def _step(self, listing, rows, kept, now) -> tuple[tuple, list[Row]]:
+        """The record of a listing after these rows, and what comes out for them."""
+        out = []
         t, pos, status, price, before_status, before_price = kept[:6] if kept else (None,) * 6
         for r in sorted(rows, key=lambda row: (row.t, row.pos)):
             if t is not None and r.t < t:
-                yield self.out(ip_id, source_id, r.t, r.status, r.price, r.pos, None, None, None, True)
+                out.append(self.out(*listing, r.t, r.status, r.price, r.pos, None, None, None, True))
                 continue
             if t is None or r.t > t:
                 alive = t is not None and r.t < t + self.ttl[status]
@@ -56,15 +83,9 @@ class ListingLife(StatefulProcessor):
             if r.pos >= pos:
                 pos, status, price = r.pos, r.status, r.price
             kind = self._kind(r.status, r.price, before_status, before_price)
-            yield self.out(ip_id, source_id, r.t, r.status, r.price, r.pos, kind, before_status, before_price, False)
-        expiry = None
-        if self.forget:
-            expiry = timerValues.getCurrentProcessingTimeInMs() + self.ttl[status] // 1000
-            if timer is not None and timer != expiry:
-                self.handle.deleteTimer(timer)
-            if timer != expiry:
-                self.handle.registerTimer(expiry)
-        self.last.update((t, pos, status, price, before_status, before_price, expiry))
+            out.append(self.out(*listing, r.t, r.status, r.price, r.pos, kind, before_status, before_price, False))
+        expiry = now + self.ttl[status] // 1000 if self.forget else None
+        return (t, pos, status, price, before_status, before_price, expiry), out
 
     @staticmethod
     def _kind(status, price, before_status, before_price):
@@ -77,7 +98,13 @@ class ListingLife(StatefulProcessor):
         return "relisted" if status == "available" else None
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.last.clear()
+        # a listing seen since has a later time of its own
+        over = expiredTimerInfo.getExpiryTimeInMs()
+        left = {listing: record for listing, record in self._records().items() if record[6] > over}
+        if left:
+            self._store(left)
+        else:
+            self.last.clear()
         return iter(())
 
     def close(self) -> None:
@@ -107,7 +134,8 @@ def transition_stream(
             times.micros(F.col("crawl_ts")).alias("t"),
         )
     )
-    moved = keyed.groupBy(*LISTING).transformWithState(
+    bucket = F.pmod(F.xxhash64(*LISTING), F.lit(BUCKETS)).cast("int")
+    moved = keyed.withColumn("bucket", bucket).groupBy("bucket").transformWithState(
         ListingLife(available_hours, sold_hours, forget), OUTPUT, "Append", "ProcessingTime" if forget else "None"
     )
     return moved.withColumn("crawl_ts", times.from_micros(F.col("t"))).drop("t")
@@ -116,10 +144,5 @@ def transition_stream(
 def stored_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The listing state a stream has stored, as a table (one row per remembered listing)."""
     raw = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
-    return raw.select(
-        F.col("key.ip_id").alias("ip_id"),
-        F.col("key.source_id").alias("source_id"),
-        F.col("value.status").alias("status"),
-        F.col("value.price").alias("price"),
-        times.from_micros(F.col("value.t")).alias("last_seen"),
-    )
+    held = raw.select(F.explode("value.listings").alias("r"))
+    return held.select("r.ip_id", "r.source_id", "r.status", "r.price", times.from_micros(F.col("r.t")).alias("last_seen"))

@@ -154,6 +154,23 @@ def test_state_stream_equals_batch(spark, tmp_path):
     assert rows(known, *columns) == rows(T.state_table(moved), *columns)
 
 
+def test_a_bucket_of_listings_is_one_key(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(listing_state, "BUCKETS", 2)
+    data = random_observations(13, 300)
+    whole_crawl_files(spark, data, tmp_path / "in", 2)
+    run_stream(listing_state.transition_stream(obs_stream(spark, tmp_path / "in")), tmp_path, "out")
+    got = spark.read.parquet(str(tmp_path / "out"))
+    moved = T.transitions(spark.createDataFrame(data, OBS))
+    columns = ("ip_id", "source_id", "crawl_ts", "status", "price", "kind", "prev_status", "prev_price")
+    assert sorted(set(rows(got, *columns)), key=str) == rows(moved, *columns)
+    # the store holds one record for each bucket, not for each listing
+    stored = spark.read.format("statestore").option("stateVarName", "last").load(str(tmp_path / "out-cp"))
+    known = listing_state.stored_state(spark, str(tmp_path / "out-cp"))
+    assert stored.count() == 2 < known.count()
+    columns = ("ip_id", "source_id", "status", "price", "last_seen")
+    assert rows(known, *columns) == rows(T.state_table(moved), *columns)
+
+
 def test_late_sightings_come_out_marked(spark, tmp_path):
     for i, times_ in enumerate([["02 12:00"], ["02 06:00", "02 13:00"], ["02 01:00"]]):
         df = spark.createDataFrame([(1, "a", "available", 5, at(ts), i) for ts in times_], OBS)
