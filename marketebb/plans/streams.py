@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketebb.plans import oracle as o
 from marketebb.plans.market import ALERTS
 from marketebb.plans.registry import query, rounded
-from marketebb.session import scratch_dir
+from marketebb.session import scratch_dir, stage
 from marketebb.sources import driver, readers
 from marketebb.streaming import flow, task_flow
 
@@ -42,7 +42,7 @@ def replay(spark: SparkSession, sf: str) -> str:
     key = spark.sparkContext.applicationId, sf
     if key not in _REPLAYS:
         messages, root, checkpoint = scratch_dir(spark, "messages"), scratch_dir(spark, "message-flow"), scratch_dir(spark, "message-checkpoint")
-        rows = driver.crawl_messages(spark, sf)
+        rows = stage(driver.crawl_messages(spark, sf), "sent")
         for lot in range(4):
             rows.filter(F.col("arrival") == lot).select("value").write.mode("append").text(messages)
             results = readers.crawl_results(spark, messages, streaming=True, zone="UTC")

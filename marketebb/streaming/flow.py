@@ -179,11 +179,14 @@ def judged(results: DataFrame, root: str, batch_id: int, window: timedelta = tim
     untaken. Every message is in ``messages`` once.
     """
     spark, path = results.sparkSession, f"{root}/tasks"
-    rows = stage(results.withColumn("__id", F.monotonically_increasing_id()), "results")
-    order = F.struct("crawl_ts", "ip_id", F.xxhash64("error_message", F.to_json("items")), F.col("__id"))
+    whole = stage(results.withColumn("__id", F.monotonically_increasing_id()), "results")
+    # messages are judged on rows without their items; these meet their fates by id at the end
+    content = F.xxhash64("error_message", F.to_json("items")).alias("__content")
+    rows = stage(whole.select("__id", "task_id", "ip_id", "crawl_ts", "error_message", content), "headers")
+    order = F.struct("crawl_ts", "ip_id", "__content", "__id")
     first = rows.filter("task_id <> ''").groupBy("task_id").agg(F.min_by("__id", order).alias("__first")).select("__first")
     rows = rows.join(first, F.col("__id") == F.col("__first"), "left")
-    rows = rows.withColumn("__again", F.col("__first").isNull() & (F.col("task_id") != "")).drop("__id", "__first").withColumn("__taken", F.lit(False))
+    rows = rows.withColumn("__again", F.col("__first").isNull() & (F.col("task_id") != "")).drop("__first").withColumn("__taken", F.lit(False))
     if sinks.exists(spark, path):
         low, high = rows.agg(F.min("crawl_ts") - F.lit(window), F.max("crawl_ts") + F.lit(window)).first()
         if low is not None:
@@ -195,11 +198,11 @@ def judged(results: DataFrame, root: str, batch_id: int, window: timedelta = tim
             rows = rows.join(taken, same, "left_anti").unionByName(hit)
     failed = ~F.col("error_message").isin("", "no_items")
     fate = F.when(F.col("__taken") | F.col("__again"), "repeat").when(failed, "failed").otherwise("taken")
-    rows = stage(rows.withColumn("fate", fate).drop("__again", "__taken"), "judged")
-    sinks.write_batch(rows.select("task_id", "ip_id", "crawl_ts", "fate"), f"{root}/messages", batch_id)
-    marks = rows.filter("fate <> 'repeat'").select("task_id", F.col("crawl_ts").alias("taken_at"), F.col("crawl_ts").cast("date").alias("day"))
+    fates = stage(rows.select("__id", "task_id", "ip_id", "crawl_ts", fate.alias("fate")), "fates")
+    sinks.write_batch(fates.drop("__id"), f"{root}/messages", batch_id)
+    marks = fates.filter("fate <> 'repeat'").select("task_id", F.col("crawl_ts").alias("taken_at"), F.col("crawl_ts").cast("date").alias("day"))
     sinks.overwrite_partitions(marks.withColumn("batch_id", F.lit(batch_id).cast("long")), path, ["day", "batch_id"])
-    return rows
+    return whole.join(fates.select("__id", "fate"), "__id").drop("__id")
 
 
 def start(results: DataFrame, root: str, checkpoint: str, entities: DataFrame | None = None, now: datetime | None = None, **options):

@@ -304,6 +304,26 @@ def run_stream(df, tmp_path, name):
     return query
 
 
+def test_messages_are_judged_without_their_items(spark, tmp_path, monkeypatch):
+    wide = []
+
+    def noted(df, label):
+        if "items" in df.columns:
+            wide.append(label)
+        return stage(df, label)
+
+    monkeypatch.setattr(flow, "stage", noted)
+    folder, when = tmp_path / "messages", datetime(2024, 1, 15, 12)
+    folder.mkdir()
+    for i, task in enumerate(["t1", "t2", "t1"]):
+        (folder / f"{i}.json").write_text(message(1, task, when, [("m1", "available", 10)]))
+    got = flow.judged(readers.crawl_results(spark, str(folder)), str(tmp_path / "root"), 0)
+    assert rows(got, "task_id", "fate") == [("t1", "repeat"), ("t1", "taken"), ("t2", "taken")]
+    assert [len(r["items"]) for r in got.collect()] == [1, 1, 1]
+    # the items are written once, before the messages are judged
+    assert wide == ["results"]
+
+
 def test_task_streams(spark, tmp_path):
     t0 = datetime(2024, 1, 2, 10)
     schema = "task_id string, ip_id long, node string, event string, ts timestamp_ntz, retry_count int, seq long"
