@@ -289,6 +289,64 @@ def test_licence_scores_by_brute_force(spark):
         assert r.family == (model.families[best] if max(shares) >= licences.CONFIRM else "unknown")
 
 
+def test_licence_model_learns_from_every_paragraph(spark):
+    """Each word of the templates stands in one of many texts: none is an anchor, whatever text holds it."""
+    single = sorted({w for _, t in licences.sentences() for w in re.findall(r"[a-z]{3,}", t.lower())} - {*licences.ABOUT})
+    texts = [(i, prose(i, 6, "abcdefgh"[i % 8]) + f" n{i} {single[i // 16] if i % 16 == 0 and i // 16 < len(single) else ''}") for i in range(16 * len(single))]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    assert len(texts) > 1200 and not {*single} & {*licences.fit(docs).anchors}
+
+
+def test_licence_negatives_by_brute_force(spark):
+    """Every distinct paragraph counts once, unless it may be a licence line."""
+    def spoken(t):
+        return re.findall(r"[^\W_]+(?:\.[0-9]+)?", t.lower())
+
+    def grams(ws):
+        return {*ws, *(" ".join(p) for p in zip(ws, ws[1:], strict=False))}
+
+    own = sorted(set().union(*(grams(spoken(t)) for _, t in licences.sentences())))
+    rng = random.Random(4)
+    lines = [" ".join(rng.choice(["the", "of", "rights", "all", "reserved", "copy", "w1", "w2", "bsd", "charge"]) for _ in range(rng.randint(1, 9))) + "." for _ in range(3000)]
+    lines += ["no licence here.", "the copy; of the charge.", "free of charge to any w1 person w2 obtaining a copy."]
+    texts = [(i, "\n".join(rng.choice(lines) for _ in range(20))) for i in range(500)] + [(900, None), (901, ""), (902, "\n".join(lines[-3:]))]
+    want = {}
+    for line in {x for _, t in texts if t for x in t.split("\n")}:
+        ws, has = spoken(line), grams(spoken(line))
+        said = [spoken(t) for _, t in licences.sentences()]
+        runs = [t[i : i + 4] for t in said for i in range(max(len(t) - 4, 0) + 1)]
+        runs = [r for r in runs if len(r) < 4 or sum(w not in licences.SMALL for w in r) > 1]
+        near = any(len(has & (p := grams(t) - {*t})) >= max(3, len(p) / 4) for t in said)
+        if not ({*ws} & {*licences.ABOUT} or near or any(ws[i : i + len(r)] == r for r in runs for i in range(len(ws)))):
+            key = "\n".join(sorted(has & {*own})), "\n".join(sorted({*ws[:8]} & {*own}))
+            want[key] = want.get(key, 0) + 1
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {}
+    for r in licences.negatives(docs.unionByName(docs), own).collect():
+        got[r.grams, r.opening] = got.get((r.grams, r.opening), 0) + r.n
+    assert got == want and 0 < len(want) < len(lines)
+
+
+def test_licence_threshold_is_exact(spark):
+    rng = random.Random(6)
+    for values in ([], [0.5], [rng.random() / 2 + 0.5 for _ in range(400)], [0.9 + i * 1e-15 for i in range(50)] + [0.5], [0.75] * 9):
+        data = [(p, rng.randint(1, 5)) for p in values]
+        chances = spark.createDataFrame(data, "p double, n long")
+        each = sorted((p for p, n in data for _ in range(n)), reverse=True)
+        for most in (0, 3, 47, len(each)):
+            assert licences.least_letting(chances, most) == (each[most] if most < len(each) else None)
+
+
+def test_licence_lines_are_joined_as_by_plain_patterns(spark):
+    rng = random.Random(5)
+    marks = ["\n", "\n", " ", "\t", "*/", "-->", "a", "b.", "!", "\r", "# ", "//", "/*", "é", ")", "--"]
+    table = spark.createDataFrame([("".join(rng.choice(marks) for _ in range(rng.randint(0, 40))),) for _ in range(5000)], "text string")
+    plain = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"(?m)^[ \t]*+(?:/\*++|\*++/?|//++|#++|--++|;++|%++|<!--)?[ \t]*+", "")
+    plain = F.regexp_replace(plain, r"(?<![ \t])[ \t]*+(?:(?:\*/|-->)[ \t]*+)?(?=\n)", "")
+    plain = F.regexp_replace(plain, r"(?<![.!?][^\p{L}\p{N}\n]{0,8})(?<!\n)\n(?!\n)", " ")
+    assert table.where(plain != licences.unwrapped(F.col("text"))).count() == 0
+
+
 def test_no_language_is_left_out(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
 
