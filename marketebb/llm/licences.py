@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -100,22 +101,41 @@ def ngrams(ws: Column) -> Column:
     return F.array_distinct(_ngrams(ws))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
 def unwrapped(text: Column) -> Column:
     """The paragraphs of a text, one on each line."""
+    return _once(text, _unwrapped)
+
+
+def _unwrapped(text: Column) -> Column:
+    # the patterns begin with the characters they look for, and most texts have no line that ends in blanks or a mark
+    ends = reduce(or_, (text.contains(x) for x in ("\r", " \n", "\t\n", "*/\n", "-->\n")))
     text = F.regexp_replace(text, r"\r\n?", "\n")
     text = F.regexp_replace(text, r"(?m)^[ \t]*+(?:/\*++|\*++/?|//++|#++|--++|;++|%++|<!--)?[ \t]*+", "")
-    # patterns begin with the characters they look for, and look back from there
-    text = F.regexp_replace(text, r"[ \t](?<![ \t]{2})[ \t]*+(?:(?:\*/|-->)[ \t]*+)?(?=\n)|(?:\*/|-->)[ \t]*+(?=\n)", "")
+    text = F.when(ends, F.regexp_replace(text, r"[ \t](?<![ \t]{2})[ \t]*+(?:(?:\*/|-->)[ \t]*+)?(?=\n)|(?:\*/|-->)[ \t]*+(?=\n)", "")).otherwise(text)
     return F.regexp_replace(text, r"\n(?!\n)(?<!\n\n)(?<![.!?][^\p{L}\p{N}\n]{0,8}\n)", " ")
 
 
+def _search(anchors: list[str]) -> str:
+    """A pattern for texts with one of the anchors, sorted out by their first characters."""
+    apart = r"[^\p{L}\p{N}]++"
+    first: dict[str, list[str]] = {}
+    for a in sorted(anchors):
+        head, *rest = a.split(" ")
+        first.setdefault(head[0], []).append(apart.join(map(re.escape, [head[1:], *rest])))
+    return r"(?<![\p{L}\p{N}])(?:" + "|".join(f"{re.escape(c)}(?:{'|'.join(xs)})" for c, xs in first.items()) + r")(?![\p{L}\p{N}])"
+
+
 def paragraphs(docs: DataFrame, anchors: list[str]) -> DataFrame:
     """(doc_id, paragraph, grams): the paragraphs with an anchor, counted from 0 with all and with blank lines, and their n-grams.
 
     The nested lambdas see to it that words and n-grams of a line are computed once, however often they are used.
     """
-    apart = r"[^\p{L}\p{N}]++"
-    search = r"(?<![\p{L}\p{N}])(?:" + "|".join(apart.join(map(re.escape, a.split(" "))) for a in anchors) + r")(?![\p{L}\p{N}])"
+    search = _search(anchors)
     spoken = F.transform(F.split(unwrapped(F.lower("text")), "\n"), lambda x: F.when(x.rlike(search), words(x)))
     lines = F.transform(spoken, lambda ws: F.when(ws.isNotNull(), ngrams(ws)))
     some = docs.where(F.lower("text").rlike(search))
@@ -247,16 +267,14 @@ class Model:
     def add_probabilities(self, rows: DataFrame) -> DataFrame:
         """With ``p``, the softmax over the families as an array in their order, from ``grams``.
 
-        Step by step in columns: a column that a lambda reads is computed once for the row.
+        Nested lambdas see to it that no step is computed again for each element of the next, wherever the optimizer moves ``p``.
         """
         table = F.create_map(*(x for g, w in self.weights.items() for x in (F.lit(g), F.array(*map(F.lit, w)))))
         hits = F.filter(F.transform("grams", lambda g: F.try_element_at(table, g)), lambda w: w.isNotNull())
-        rows = rows.withColumn("hits", hits)
-        rows = rows.withColumn("logits", F.aggregate("hits", F.array(*map(F.lit, self.bias)), lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b)))
-        rows = rows.withColumn("top", F.array_max("logits"))
-        rows = rows.withColumn("e", F.transform("logits", lambda x: F.exp(x - F.col("top"))))
-        rows = rows.withColumn("total", F.aggregate("e", F.lit(0.0), lambda acc, x: acc + x))
-        return rows.withColumn("p", F.transform("e", lambda x: x / F.col("total"))).drop("hits", "logits", "top", "e", "total")
+        logits = F.aggregate(hits, F.array(*map(F.lit, self.bias)), lambda acc, w: F.zip_with(acc, w, lambda a, b: a + b))
+        shifted = _once(logits, lambda x: _once(F.array_max(x), lambda top: F.transform(x, lambda y: F.exp(y - top))))
+        shares = _once(shifted, lambda e: _once(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x), lambda total: F.transform(e, lambda x: x / total)))
+        return rows.withColumn("p", shares)
 
 
 def fit(docs: DataFrame, mass: int = MASS, false_share: float = FALSE_SHARE) -> Model:
@@ -288,8 +306,8 @@ def fit(docs: DataFrame, mass: int = MASS, false_share: float = FALSE_SHARE) ->
     # the array has none first
     wrong = model.add_probabilities(groups.where("held").select("grams", "n")).select(F.array_max(F.slice("p", 2, len(families))).alias("p"), "n")
     total = sizes.get(True, 0)
-    chances = stage(wrong.where(F.col("p") >= 0.5), "licence-chances")
-    model.least = least_letting(chances, total - math.ceil((1 - false_share) * total)) or 0.5
+    chances = stage(wrong, "licence-chances")
+    model.least = max(0.5, least_letting(chances, total - math.ceil((1 - false_share) * total)) or 0.0)
     discard(none, groups, learn, chances)
     return model
 
